@@ -47,7 +47,9 @@ SMALL = 64
 #: Elements in at least so many members are counted by matrix product, others by pairs of members.
 DENSE = 8
 
-ROW = np.dtype([("k", "<u8"), ("c", "S16")])
+#: A part region's key and the tag of a member: the first 64 bits of its identity. Members whose tags
+#: collide share a candidate region, no more.
+ROW = np.dtype([("k", "<u8"), ("c", "<i8")])
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -74,6 +76,12 @@ def most_apart(n: int, percent: int) -> int:
     return n * (100 - percent) // percent
 
 
+def parts_of(region: int, percent: int) -> int:
+    """Parts of a size region: 1.42 for each element in which its largest sets may differ, so that
+    these fill more parts than they may differ in, and smaller sets do so more easily."""
+    return int(1.42 * 2 * (100 - percent) * 100 / percent**2 * (1 << region))
+
+
 def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The part regions of a set, over its size regions. None if only equal sets link with it."""
     n = len(s)
@@ -86,7 +94,7 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
         salt = np.uint64((region + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         single = 1 << region < SMALL
         if not single:
-            part = (s >> np.uint64(11)) % np.uint64(max(1, int(0.35 * (1 << region))))
+            part = (s >> np.uint64(11)) % np.uint64(parts_of(region, percent))
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -173,7 +181,7 @@ def cells(s: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray], radi
 
 
 def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, keys): the set's size, its 128-bit identity and its part regions."""
+    """(doc_id, n_shingles, cls, tag, keys): the set's size, its 128-bit identity and its part regions."""
     C.ship_by_value(__name__)
 
     def emit(batches):
@@ -184,9 +192,10 @@ def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(part_keys(s, percent).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "cls", "keys"])
+            tags = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "cls", "tag", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n_shingles long, cls binary, keys binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n_shingles long, cls binary, tag long, keys binary")
 
 
 def _stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,9 +210,8 @@ def _stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """A spanning forest of the pairs, as rows (a, b)."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    trees = forest(zip(at[: len(a)].tolist(), at[len(a) :].tolist()), len(nodes))
-    pad = lambda x: bytes(x).ljust(16, b"\0")  # noqa: E731  numpy drops zero bytes at the end
-    return pa.RecordBatch.from_arrays([pa.array([pad(nodes[x]) for x, _ in trees], pa.binary()), pa.array([pad(nodes[r]) for _, r in trees], pa.binary())], ["a", "b"])
+    trees = np.array(forest(zip(at[: len(a)].tolist(), at[len(a) :].tolist()), len(nodes)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[trees[:, 0]]), pa.array(nodes[trees[:, 1]])], ["a", "b"])
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -218,12 +226,12 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     def combine(batches):
         for batch in batches:
-            held = {c: k for c, k in zip(batch.column("cls").to_pylist(), batch.column("keys").to_pylist()) if k}
+            held = {c: k for c, k in zip(batch.column("tag").to_pylist(), batch.column("keys").to_pylist()) if k}
             if not held:
                 continue
             rows = np.empty(sum(len(k) for k in held.values()) // 8, ROW)
             rows["k"] = np.frombuffer(b"".join(held.values()), "<u8")
-            rows["c"] = np.repeat(np.array(list(held), "S16"), [len(k) // 8 for k in held.values()])
+            rows["c"] = np.repeat(np.array(list(held), "<i8"), [len(k) // 8 for k in held.values()])
             first, a, b = _stars(rows)
             bucket = (first["k"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -234,17 +242,17 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             kind = [0] * len(data)
             if len(a):
                 e = _edges(a, b)
-                data.append(b"".join(x + y for x, y in zip(e.column(0).to_pylist(), e.column(1).to_pylist())))
+                data.append(np.stack([e.column(0).to_numpy(), e.column(1).to_numpy()], 1).tobytes())
                 number.append(number[0])
                 kind.append(1)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
 
     def meet(batches):
-        blobs, a, b = {}, [np.empty(0, "S16")], [np.empty(0, "S16")]
+        blobs, a, b = {}, [np.empty(0, "<i8")], [np.empty(0, "<i8")]
         for batch in batches:
             for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
-                    pairs = np.frombuffer(data, "S16").reshape(-1, 2)
+                    pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
                     a.append(pairs[:, 0])
                     b.append(pairs[:, 1])
                 else:
@@ -257,8 +265,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         if len(a):
             yield _edges(a, b)
 
-    packed = classes.where("n_shingles > 0").select("cls", "keys").mapInArrow(combine, "bucket long, kind int, data binary")
-    return packed.repartition(parts, "bucket").mapInArrow(meet, "a binary, b binary")
+    packed = classes.where("n_shingles > 0").select("tag", "keys").mapInArrow(combine, "bucket long, kind int, data binary")
+    return packed.repartition(parts, "bucket").mapInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -401,10 +409,12 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_equal) for every row: the smallest doc_id that links of
     similarity ``percent`` / 100 or more reach, and how many rows have the same set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = C.stage(classes_of(docs, n, percent), "sets")
-    classes = C.stage(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal")), "classes")
-    regions = components(candidate_edges(rows))
-    members = classes.join(regions, F.col("cls") == F.col("node")).select("doc_id", "cls", F.col("root").alias("region"))
+    keyed = C.Staged(classes_of(docs, n, percent), "keys")
+    regions = components(candidate_edges(keyed.df))
+    rows = C.stage(keyed.df.drop("keys"), "sets")
+    keyed.drop()
+    classes = C.stage(rows.where("n_shingles > 0").groupBy("cls", "tag").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal")), "classes")
+    members = classes.join(regions, F.col("tag") == F.col("node")).select("doc_id", "cls", F.encode(F.col("root").cast("string"), "UTF-8").alias("region"))
     units = leaf_units(member_sets(docs, C.stage(members, "regions"), n), percent)
     found = components(linked(units, percent)).withColumnRenamed("root", "group")
     grouped = classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("group", F.coalesce("group", "cls"))
