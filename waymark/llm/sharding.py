@@ -146,7 +146,7 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
             along = F.element_at(F.array(*DIMENSIONS), F.col("d"))
             left = (along < F.col("at")) | ((along == F.col("at")) & (F.col(TIE) <= F.col("upto")))
             child = 2 * F.col("node") + F.when(left, 1).otherwise(2)
-            rows = rows.join(F.broadcast(table), "node", "left").withColumn("node", F.coalesce(child, F.col("node"))).drop("d", "at", "upto")
+            rows = rows.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("d").isNull(), F.col("node")).otherwise(child)).drop("d", "at", "upto")
             rows = C.stage(rows, "regions")
         open_ = {}
         for c in cuts:  # a region without a cut has no rows
