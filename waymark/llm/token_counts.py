@@ -65,7 +65,7 @@ def count_pieces(words: DataFrame, model: bytes) -> DataFrame:
 def _least_frequent(vocabulary: DataFrame, most: int) -> int:
     """The lowest power of two that at most ``most`` pre-tokens reach in frequency (64 rows to the driver)."""
     steps = vocabulary.groupBy(F.floor(F.log2("freq")).alias("k")).count().orderBy(F.desc("k")).collect()
-    total, least = 0, 63
+    total, least = 0, 62
     for row in steps:
         total += row["count"]
         if total > most:
