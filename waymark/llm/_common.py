@@ -86,6 +86,11 @@ def _release() -> None:
         shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
 
 
+def own(name: str) -> str:
+    """A column name that no caller's table has."""
+    return f"__waymark_{name}"
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -136,8 +136,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **law) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage."""
-    bad = C.stage(leaks(docs, benchmark, **law).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(C.bounded(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    bad = C.stage(leaks(docs, benchmark, **law).select(F.col("doc_id").alias(C.own("id"))).distinct(), "leaks")
+    return docs.join(C.bounded(bad), F.col("doc_id").eqNullSafe(F.col(C.own("id"))), "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

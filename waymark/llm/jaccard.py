@@ -429,8 +429,8 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def one_of_each(docs: DataFrame, **law) -> DataFrame:
     """``docs`` without the rows whose group has a smaller doc_id; of rows with one id, one stays."""
     joined = C.stage(jaccard_join(docs, **law), "joined")
-    later = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(C.bounded(later), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    later = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(C.own("id"))).distinct()
+    kept = docs.join(C.bounded(later), F.col("doc_id").eqNullSafe(F.col(C.own("id"))), "left_anti")
     twice = joined.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if twice else kept
 

@@ -103,9 +103,10 @@ def mix(docs: DataFrame, cycle: list[int] = (3, 1, 2), share: float = 1.5, most_
 def mix_documents(docs: DataFrame, **law) -> DataFrame:
     """``docs`` with each row as often as the mix takes it. Rows sharing id, source and size draw alike."""
     copies = mix(docs, **law).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words() == F.col("_size"))
-    return docs.join(copies, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    copies = copies.select(*[F.col(c).alias(C.own(c)) for c in copies.columns])
+    same = F.col("doc_id").eqNullSafe(F.col(C.own("doc_id"))) & F.col("source").eqNullSafe(F.col(C.own("source"))) & (n_words() == F.col(C.own("size")))
+    turns = F.explode(F.sequence(F.lit(1), F.col(C.own("copies")).cast("int"))).alias(C.own("turn"))
+    return docs.join(copies, same).select(*docs.columns, turns).drop(C.own("turn"))
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:

@@ -114,16 +114,17 @@ def keep_good(docs: DataFrame, **law) -> DataFrame:
     """The rows of ``docs`` that are not rejected, as they are."""
     bad = judge_quality(docs, **law).where(~F.col("kept"))
     # the verdict depends on id, host and text alone; the figures tell repeated ids apart
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n"), F.col("word_chars").alias("_c")).distinct()
+    bad = bad.select(F.col("doc_id").alias(C.own("id")), F.col("n_words").alias(C.own("n")), F.col("word_chars").alias(C.own("c"))).distinct()
     text = _text()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.regexp_count(text, F.lit(C.WORD)) == F.col("_n")) & (F.length(F.translate(text, C.SPACES, "")) == F.col("_c"))
+    same = F.col("doc_id").eqNullSafe(F.col(C.own("id"))) & (F.regexp_count(text, F.lit(C.WORD)) == F.col(C.own("n"))) & (F.length(F.translate(text, C.SPACES, "")) == F.col(C.own("c")))
     return docs.join(C.bounded(C.stage(bad, "rejected")), same, "left_anti")
 
 
 def remove_common(docs: DataFrame, max_docs: int = MAX_DOCS, host: str = "source") -> DataFrame:
     """(doc_id, text): texts without the lines above the limit (joined back in their order)."""
     common = C.bounded(C.stage(common_lines(docs, max_docs, host), "common")).withColumnsRenamed({"_host": "_h", "_line": "_l"})
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", F.col(host).alias("_host"), F.posexplode(F.split(_text(), "\n", -1)).alias("_i", "_x"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", F.col(host).alias("_host"), F.split(_text(), "\n", -1).alias("_all"))
+    rows = rows.select("_rid", "doc_id", "_host", F.posexplode("_all").alias("_i", "_x"))
     left = rows.join(common, F.col("_host").eqNullSafe(F.col("_h")) & (line_hash(F.col("_x")) == F.col("_l")) & (F.trim(F.col("_x"), F.lit(C.SPACES)) != ""), "left")
     kept = left.groupBy("_rid", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("_l").isNull() | F.col("doc_id").eqNullSafe(F.col("_first")), F.struct("_i", "_x")))).alias("_k"))
     return kept.select("doc_id", F.concat_ws("\n", F.col("_k._x")).alias("text"))
