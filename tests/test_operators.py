@@ -245,3 +245,26 @@ def test_stream_is_answered(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert rows(spark.read.parquet(str(tmp_path / "out0")).where("rank = 1"), "query_id", "item_id") == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from waymark.__main__ import main
+
+    rng = np.random.default_rng(1)
+    for loc in ("hall", "stairs"):
+        a = rng.integers(0, 256, (24, 32, 3)).astype(np.uint8)
+        for i in range(3):
+            png(tmp_path / "raw" / loc / f"img{i}.png", a)
+            png(tmp_path / "query" / loc / f"q{i}.png", a)
+    at = lambda x: f"file://{tmp_path}/{x}"
+    main(["preprocess", "--raw", at("raw"), "--out", at("done"), "--width", "64", "--height", "48"])
+    assert store.read_manifest(spark, at("done/manifest.csv")).count() == 6 * 22
+    main(["stats", "--data", at("done"), "--out", at("results")])
+    main(["split", "--data", at("done"), "--out", at("split"), "--include-aug"])
+    assert spark.read.option("header", "true").csv(at("split/test")).count() == 2
+    main(["extract", "--data", at("done"), "--models", at("models"), "--method", "orb"])
+    main(["index", "--models", at("models"), "--method", "orb", "--index-type", "ivf", "--nlist", "2"])
+    main(["query", "--query", at("query"), "--models", at("models"), "--method", "orb", "--k", "2"])
+    main(["evaluate", "--query", at("query"), "--models", at("models"), "--method", "orb", "--save", at("eval")])
+    main(["demo", "--query", at("query"), "--models", at("models"), "--method", "orb", "--index-type", "ivf", "--nprobe", "2"])
+    assert spark.read.option("header", "true").csv(at("eval")).first()["n_queries"] == "6"

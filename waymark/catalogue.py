@@ -289,6 +289,55 @@ def resume_listing(spark, sf_dir):
     return left.select(F.col("url").alias("path"), "kind")
 
 
+@register(f"WITH {_MANIFEST} SELECT count(*) AS n_records, count(DISTINCT location) AS n_locations, count(*) FILTER (augmented = 'no') AS n_originals, count(*) FILTER (augmented <> 'no') AS n_augmented FROM m")
+def manifest_summary(spark, sf_dir):
+    return manifest.summary(synthetic_manifest(spark, sf_dir))
+
+
+_FILES = """f AS (SELECT 'data/processed/' || label || '/' || vec_id || ext AS path, label || '/' || vec_id AS id, ext FROM (SELECT *, CASE WHEN vec_id % 3 = 0 THEN ['.png', '.jpg'] WHEN vec_id % 3 = 1 THEN ['.JPEG', '.txt'] ELSE ['.gif'] END AS e FROM embeddings), unnest(e) AS t(ext))"""
+
+
+def _files(spark, sf_dir):
+    n = F.col("vec_id") % 3
+    ends = F.when(n == 0, F.array(F.lit(".png"), F.lit(".jpg"))).when(n == 1, F.array(F.lit(".JPEG"), F.lit(".txt"))).otherwise(F.array(F.lit(".gif")))
+    return table(spark, sf_dir, "embeddings").withColumn("ext", F.explode(ends)).select(F.concat(F.lit("data/processed/"), F.col("label"), F.lit("/"), F.col("vec_id"), F.col("ext")).alias("path"))
+
+
+@register(f"WITH {_FILES} SELECT label || '/' || vec_id AS image_id, CASE vec_id % 3 WHEN 0 THEN 'data/processed/' || label || '/' || vec_id || '.jpg' WHEN 1 THEN 'data/processed/' || label || '/' || vec_id || '.JPEG' END AS path FROM embeddings")
+def processed_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").select(F.concat_ws("/", "label", "vec_id").alias("image_id"))
+    return manifest.lookup_processed(ids, _files(spark, sf_dir))
+
+
+@register(f"WITH {_FILES} SELECT path, split_part(id, '/', 1) AS gt_location, split_part(id, '/', 2) AS query_id FROM f WHERE lower(ext) IN ('.png', '.jpg', '.jpeg')")
+def batch_queries(spark, sf_dir):
+    return manifest.batch_queries(_files(spark, sf_dir), "data/query")
+
+
+@register(f"WITH {_FILES} SELECT path, split_part(id, '/', 1) AS gt_location, id AS query_id FROM f WHERE lower(ext) IN ('.png', '.jpg', '.jpeg')")
+def folder_queries(spark, sf_dir):
+    return manifest.folder_queries(_files(spark, sf_dir), "data/processed")
+
+
+@register(f"""WITH {_MANIFEST} SELECT 'p/' || image_id || '.jpg' AS path, location AS gt_location, image_id AS query_id FROM m WHERE augmented <> 'no' AND aug_type IN ('aug_blur', 'aug_dark', 'aug_bright', 'aug_skew_h') AND location <> '3'
+ORDER BY md5('42/' || image_id), image_id LIMIT 30""")
+def synthetic_queries(spark, sf_dir):
+    """The query set of an evaluation without a query folder: synthetic, not indexed, subsampled."""
+    m = synthetic_manifest(spark, sf_dir).withColumn("path", F.concat(F.lit("p/"), F.col("image_id"), F.lit(".jpg")))
+    return manifest.collect_queries(None, "", m, None, m.where("location = '3'"), most=30)
+
+
+@register(f"WITH {_FILES} SELECT path, id AS image_id, split_part(id, '/', 1) AS location, false AS augmented FROM f WHERE lower(ext) IN ('.png', '.jpg', '.jpeg')")
+def walk_database(spark, sf_dir):
+    return manifest.collect_walk(_files(spark, sf_dir))
+
+
+@register("SELECT CASE WHEN page_id % 7 = 0 THEN 'failed' WHEN page_id % 4 = 0 THEN 'skipped' ELSE 'downloaded' END AS status, count(*) AS n FROM pages GROUP BY 1")
+def transfer_counts(spark, sf_dir):
+    status = F.when(F.col("page_id") % 7 == 0, "failed").when(F.col("page_id") % 4 == 0, "skipped").otherwise("downloaded")
+    return manifest.transfer_counts(table(spark, sf_dir, "pages").select("url", status.alias("status")))
+
+
 # Vectors, codebooks and global descriptors
 
 
@@ -408,6 +457,13 @@ def dark_bright(spark, sf_dir):
     return stats.outliers(_image_records(spark, sf_dir)).select("location", "filename", F.round("brightness", 6).alias("brightness"), "kind")
 
 
+@register(f"WITH {_RECORDS} SELECT count(*) AS n_listed, count(*) FILTER (mean_r > 5) AS n_read FROM i")
+def read_counts(spark, sf_dir):
+    """Files listed against files read (here: those with any red)."""
+    rows = _image_records(spark, sf_dir)
+    return stats.read_counts(rows, rows.where("mean_r > 5"))
+
+
 # Names and presentation
 
 

@@ -112,3 +112,45 @@ def classify_listing(listing: DataFrame) -> DataFrame:
     """Adds ``kind``: folder, image or other, by MIME type."""
     mime = F.col("mime_type")
     return listing.withColumn("kind", F.when(mime.endswith("folder"), "folder").when(mime.startswith("image/"), "image").otherwise("other"))
+
+
+def lookup_processed(ids: DataFrame, files: DataFrame, extensions=("jpg", "jpeg", "png")) -> DataFrame:
+    """(image_id, path): the processed file of each id of the form location/stem, the first extension
+    in order; null where there is none."""
+    rank = F.array_position(F.array(*map(F.lit, extensions)), extension_of("path"))
+    found = files.select("path", F.concat_ws("/", parent_of("path"), stem_of("path")).alias("id"), rank.alias("rank")).where("rank > 0")
+    best = found.groupBy("id").agg(F.min_by("path", "rank").alias("path"))
+    two_parts = F.size(F.split("image_id", "/")) == 2
+    return ids.join(best, two_parts & (F.col("image_id") == F.col("id")), "left").select("image_id", "path")
+
+
+def summary(manifest: DataFrame) -> DataFrame:
+    """One row: records, locations, originals and augmented."""
+    made = is_augmented(manifest)
+    return manifest.agg(F.count("*").alias("n_records"), F.count_distinct("location").alias("n_locations"), F.count_if(~made).alias("n_originals"), F.count_if(made).alias("n_augmented"))
+
+
+def batch_queries(files: DataFrame, root: str, extensions=QUERY_EXTENSIONS) -> DataFrame:
+    """(path, gt_location, query_id) of every image below a folder; the parent folder is the truth
+    unless it is the folder itself or called query."""
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    parent = parent_of("path")
+    rows = files.where(extension_of("path").isin(*extensions))
+    return rows.select("path", F.when(~parent.isin(name, "query", "."), parent).alias("gt_location"), stem_of("path").alias("query_id"))
+
+
+def collect_queries(query_files: DataFrame | None, query_root: str, manifest: DataFrame | None, files: DataFrame | None, indexed: DataFrame | None = None, aug_types=SYNTHETIC_QUERIES, most: int | None = None, seed: int = 42) -> DataFrame:
+    """(path, gt_location, query_id): a query folder if there is one, else synthetic queries of the
+    manifest, else of the processed files. Synthetic ones that are indexed drop out."""
+    if query_files is not None:
+        found = folder_queries(query_files, query_root)
+    else:
+        found = manifest_queries(manifest, aug_types) if manifest is not None else walk_queries(files, aug_types)
+        if indexed is not None:
+            found = found.join(indexed.select(F.col("image_id").alias("query_id")), "query_id", "left_anti").select("path", "gt_location", "query_id")
+    return subsample(found, most, seed)
+
+
+def transfer_counts(log: DataFrame) -> DataFrame:
+    """(status, n) of a download log (path, status): downloaded, skipped or failed."""
+    return log.groupBy("status").agg(F.count("*").alias("n"))
