@@ -18,14 +18,24 @@ def sample_per_image(local: DataFrame, most: int, seed: int = 42) -> DataFrame:
 
 
 def fit(sample: DataFrame, k: int, seeds=(1, 2, 3, 4, 5), iterations: int = 100, tolerance: float = 0.2) -> DataFrame:
-    """(word_id, centroid): the best of several k-means runs. Fit once and store the table."""
-    data = sample.select(array_to_vector("vec").alias("features")).cache()
+    """(word_id, centroid): the best of several k-means runs. Fit once and store the table.
+
+    Equal vectors are one weighted point. With no more points than words, the points are the words.
+    """
+    points = sample.groupBy("vec").agg(F.count("*").cast("double").alias("weight")).cache()
     try:
-        models = [KMeans(k=k, maxIter=iterations, tol=tolerance, seed=s).fit(data) for s in seeds]
+        n = points.count()
+        if n <= k:
+            rows = points.orderBy("vec").collect()
+            rows = [(i, [float(x) for x in r["vec"]]) for i, r in enumerate(rows)]
+        else:
+            data = points.select(array_to_vector("vec").alias("features"), "weight")
+            mode = "k-means||" if n > 20 * k else "random"  # the parallel start may find too few centres among few points
+            models = [KMeans(k=k, maxIter=iterations, tol=tolerance, seed=s, initMode=mode, weightCol="weight").fit(data) for s in seeds]
+            best = min(models, key=lambda m: m.summary.trainingCost)
+            rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     finally:
-        data.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
+        points.unpersist()
     return sample.sparkSession.createDataFrame(rows, "word_id int, centroid array<double>")
 
 
