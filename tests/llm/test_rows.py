@@ -275,13 +275,15 @@ def test_jaccard_join(spark, docs, n, percent):
 def test_voronoi_regions_lose_nothing(spark, monkeypatch):
     """Leaves and pivots so few that regions are cut again and again, and dense ones go block by block."""
     monkeypatch.setattr(jaccard, "LEAF", 12)
-    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 6)
     table = near_copies(9, groups=4, size=60, sole=20)
     df = spark.createDataFrame(table, "doc_id long, text string")
     classes = _common.stage(jaccard.classes_of(df, 3, 90), "t").where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     members = classes.withColumn("region", F.encode(F.lit("all"), "UTF-8"))  # one region of everything
     units = _common.stage(jaccard.leaf_units(jaccard.member_sets(df, members, 3), 90), "units")
-    assert units.select("unit").distinct().count() > 20
+    ids = [bytes(r["unit"]) for r in units.select("unit").distinct().collect()]
+    assert len(ids) > 20 and any(len(u) == 16 for u in ids), "cells of drawn pivots"
+    assert any(len(u) > 16 or u.startswith(b"all") for u in ids), "blocks of dense regions"
     found = {r["node"]: r["root"] for r in jaccard.components(jaccard.linked(units, 90)).collect()}
     ids = {r["cls"]: r["doc_id"] for r in classes.collect()}
     group = collections.defaultdict(list)
@@ -293,6 +295,20 @@ def test_voronoi_regions_lose_nothing(spark, monkeypatch):
     assert len(group) == len({g for i, g in want.items() if i in ids.values()})
 
 
+def test_thinning_keeps_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 12)
+    table = near_copies(5, groups=5, size=30, sole=80)
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    rows_ = _common.stage(jaccard.classes_of(df, 3, 90), "t")
+    classes = rows_.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    members = _common.stage(jaccard.member_sets(df, classes.withColumn("region", F.encode(F.lit("all"), "UTF-8")), 3), "m")
+    left = jaccard.thinned(members, 90)
+    assert 0 < left.count() < members.count()
+    found = jaccard.components(jaccard.linked(left.withColumnRenamed("region", "unit").select("unit", "cls", "data"), 90)).groupBy("root").count()
+    want = collections.Counter(g for i, _, g in brute_components([(r["doc_id"], dict(table)[r["doc_id"]]) for r in classes.collect()], 3, 90))
+    assert sorted(r["count"] for r in found.collect()) == sorted(n for n in want.values() if n > 1)
+
+
 def test_component_rounds(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 5), (100, 100)]
     out = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -10,10 +10,12 @@ from each other. The join therefore cuts in three steps, each exact:
    elements, hence in at most D parts; of the first D + 1 parts that either has, one is equal in both
    and not empty. Each distinct part content is a pivot with a region of its own; sets meet there.
    Stars within these regions, joined into components, give candidate regions without any pairs.
+   Where one is large, members of which more than D parts belong to no other member drop out, and the
+   others form regions anew: this undoes chains of texts that share a passage, and no more.
 3. Voronoi regions. A candidate region over LEAF members gets PIVOTS pivots. A set joins the cell of
-   pivot p if d(p) <= d(nearest) + 2r and d(p) < 1, and the far cell if d(nearest) >= 1 - 2r: any two
-   sets within r share a cell (proof in ``cells``). Cells over LEAF members are cut again; a cell that
-   does not shrink is compared block against block.
+   pivot p if d(p) <= d(nearest) + 2r and d(p) < CORE + r, and the far cell if d(nearest) >= CORE - r:
+   any two sets within r share a cell (proof in ``cells``). Cells over LEAF members are cut again; a
+   cell that does not shrink is compared block against block.
 
 In a leaf, members with more elements of their own than a link allows drop out, which repeats until
 nothing changes; shared elements of the others are counted, and links found exactly. Only a spanning
@@ -42,6 +44,10 @@ LEAF = 512
 #: Pivots of a region over LEAF, and how many such regions are cut in one round (their pivots are broadcast).
 PIVOTS = 32
 REGIONS_A_ROUND = 16
+#: What a cut must save of the pairs to compare, and how often it may copy members.
+GAIN, COPIES = 0.3, 4
+#: Distance from its pivot up to which a set belongs to a cell alone.
+CORE = 0.5
 #: Size regions below this use single elements as parts.
 SMALL = 64
 #: Elements in at least so many members are counted by matrix product, others by pairs of members.
@@ -82,27 +88,51 @@ def parts_of(region: int, percent: int) -> int:
     return int(1.42 * 2 * (100 - percent) * 100 / percent**2 * (1 << region))
 
 
+def size_regions(n: int, percent: int) -> list[int]:
+    """Where a set of size n meets sets linked to it: its own region, and the one below within reach."""
+    own = n.bit_length() - 1
+    return [own, own - 1] if own and n * percent < (1 << own) * 100 else [own]
+
+
+def _salt(region: int) -> np.uint64:
+    return np.uint64((region + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
+def element_tokens(s: np.ndarray, region: int) -> np.ndarray:
+    return mixed(s + _salt(region) + np.uint64(1))
+
+
+def part_tokens(s: np.ndarray, region: int, percent: int) -> np.ndarray:
+    """A set's parts in a size region, largest first; single elements in small regions.
+
+    The order depends on a part's content alone, so the first parts of linked sets still have one in
+    common: what comes before their first common part differs, and that is at most D. Large parts are
+    shared by chance least."""
+    if 1 << region < SMALL:
+        return element_tokens(s, region)
+    part = (s >> np.uint64(11)) % np.uint64(parts_of(region, percent))
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    tokens = mixed(np.add.reduceat(mixed(s[order]), first) + mixed(part[first] + _salt(region)))
+    return tokens[np.lexsort((tokens, -np.diff(np.r_[first, len(s)])))]
+
+
 def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The part regions of a set, over its size regions. None if only equal sets link with it."""
-    n = len(s)
-    d = most_apart(n, percent)
+    """The part regions of a set, over its size regions. None if only equal sets link with it.
+
+    A set with too few parts to be sure of an equal one gives all of them and single elements also: a
+    pair with one such set meets in the other's parts, a pair of such sets in its elements.
+    """
+    d = most_apart(len(s), percent)
     if d == 0:
         return np.empty(0, np.uint64)
-    own = n.bit_length() - 1
     out = []
-    for region in [own, own - 1] if n * percent < (1 << own) * 100 else [own]:
-        salt = np.uint64((region + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        single = 1 << region < SMALL
-        if not single:
-            part = (s >> np.uint64(11)) % np.uint64(parts_of(region, percent))
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            content = np.add.reduceat(mixed(s[order]), first)
-            out.append(mixed(content + mixed(part[first] + salt))[: d + 1])
-            single = len(first) <= d  # too few parts to be sure: such sets meet by single elements also
-        if single:
-            out.append(mixed(s[: d + 1] + salt + np.uint64(1)))
+    for region in size_regions(len(s), percent):
+        tokens = part_tokens(s, region, percent)
+        out.append(tokens[: d + 1])
+        if len(tokens) <= d:
+            out.append(element_tokens(s, region)[: d + 1])
     return np.concatenate(out)
 
 
@@ -165,9 +195,9 @@ def forest(pairs, n: int) -> list[tuple[int, int]]:
 def cells(s: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray], radius: float) -> list[int]:
     """The Voronoi cells of a set; the number of pivots stands for the far cell.
 
-    Let d(x, y) <= r and p be the pivot nearest to x, at a. If a < 1 - r then d(y, p) <= a + r < 1, and
-    d(y, p) <= d(x, p') + r <= d(y, p') + 2r for the pivot p' nearest to y, so y joins p's cell as x
-    does. Else y is at 1 - 2r or more from its nearest pivot, and both join the far cell.
+    Let d(x, y) <= r and p be the pivot nearest to x, at a. If a < CORE then d(y, p) <= a + r < CORE + r
+    and, for the pivot q nearest to y, d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r: y joins
+    p's cell as x does. Else y is at CORE - r or more from every pivot, and both join the far cell.
     """
     element, of, size = pivots
     lo, hi = np.searchsorted(element, s, "left"), np.searchsorted(element, s, "right")
@@ -176,8 +206,8 @@ def cells(s: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray], radi
     d = 1 - inter / (len(s) + size - inter)
     near = d.min()
     slack = 1e-9
-    out = [int(j) for j in np.flatnonzero((d <= near + 2 * radius + slack) & (inter > 0))]
-    return out + [len(size)] * bool(near >= 1 - 2 * radius - slack)
+    out = [int(j) for j in np.flatnonzero((d <= near + 2 * radius + slack) & (d < CORE + radius + slack))]
+    return out + [len(size)] * bool(near >= CORE - radius - slack)
 
 
 def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -265,36 +295,34 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         if len(a):
             yield _edges(a, b)
 
-    packed = classes.where("n_shingles > 0").select("tag", "keys").mapInArrow(combine, "bucket long, kind int, data binary")
+    packed = classes.select("tag", "keys").mapInArrow(combine, "bucket long, kind int, data binary")
     return packed.repartition(parts, "bucket").mapInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b), by alternating large and small stars.
 
-    Every round leaves an edge table in the shared folder; its size and hash say when it stands still.
+    Every round leaves an edge table in the shared folder; the rounds end when its edges are stars:
+    every node has one root, and no root has one itself.
     """
-    edges = C.Staged(edges.where("a <> b").distinct(), "edges")
-    mark = None
+    edges = C.Staged(edges.where("a <> b"), "edges")
     while True:
         e = edges.df
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = down.join(low, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = C.Staged(small, "edges")
-        now = new.df.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
         edges.drop()
-        edges = new
-        if now == mark:
-            return edges.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.df.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = now
+        edges, roots = new, new.df.select(F.col("b").alias("root")).distinct()
+        rows, nodes = new.df.agg(F.count("*"), F.count_distinct("a")).first()
+        if rows == nodes and not new.df.join(roots, F.col("a") == F.col("root"), "left_semi").limit(1).count():
+            return new.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("root").alias("node"), "root"))
 
 
 def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(region, cls, data): the sets of ``members`` (doc_id, cls, region), computed from their texts."""
+    """(region, tag, cls, data): the sets of ``members`` (doc_id, cls, region), computed from their texts."""
     C.ship_by_value(__name__)
 
     def emit(batches):
@@ -304,40 +332,126 @@ def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 data = shingle_set(text or b"", n).tobytes()
                 if xxhash.xxh3_128_digest(data) == cls:  # ids may be shared by different texts
                     out.append((region, cls, data))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(3)], ["region", "cls", "data"])
+            tags = pa.array([int.from_bytes(x[1][:8], "little", signed=True) for x in out], pa.int64())
+            region, cls, data = (pa.array([x[k] for x in out], pa.binary()) for k in range(3))
+            yield pa.RecordBatch.from_arrays([region, tags, cls, data], ["region", "tag", "cls", "data"])
 
     members = members.select(F.col("doc_id").alias("id"), "cls", "region")
     joined = docs.select("doc_id", "text").join(C.bounded(members), F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.select("text", "cls", "region").mapInArrow(emit, "region binary, cls binary, data binary")
+    return joined.select("text", "cls", "region").mapInArrow(emit, "region binary, tag long, cls binary, data binary")
+
+
+def _largest(members: DataFrame) -> int:
+    return members.groupBy("region").count().agg(F.max("count")).first()[0] or 0
+
+
+def lonely(members: DataFrame, percent: int) -> DataFrame:
+    """(tag): members of which more parts than a link allows belong to no other member, in each of
+    their size regions. (A set of too few parts is none.) Parts are combined where they are read, then met by bucket, as in
+    ``candidate_edges``; only counts leave the tasks."""
+    C.ship_by_value(__name__)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+    row = np.dtype([("k", "<u8"), ("c", "<i8"), ("r", "u1"), ("m", "u1")])
+
+    def combine(batches):
+        for batch in batches:
+            pieces = []
+            for tag, data in dict(zip(batch.column("tag").to_pylist(), batch.column("data").to_pylist())).items():
+                s = np.frombuffer(data, "<u8")
+                for region in size_regions(len(s), percent):
+                    tokens = part_tokens(s, region, percent)
+                    piece = np.zeros(len(tokens), row)
+                    piece["k"], piece["c"], piece["r"] = tokens, tag, region
+                    pieces.append(piece)
+            if not pieces:
+                continue
+            held = np.concatenate(pieces)
+            held = held[np.argsort(held["k"], kind="stable")]
+            first = np.flatnonzero(np.r_[True, held["k"][1:] != held["k"][:-1]])
+            many = np.diff(np.r_[first, len(held)]) > 1
+            held = held[first]
+            held["m"] = many
+            bucket = (held["k"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            held, bucket = held[order], bucket[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([x.tobytes() for x in np.split(held, cut[1:])], pa.binary())], ["bucket", "data"])
 
+    def meet(batches):
+        blobs = {}
+        for batch in batches:
+            for bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
+                blobs.setdefault(bucket, []).append(data)
+        for data in blobs.values():
+            held = np.frombuffer(b"".join(data), row)
+            held = held[np.argsort(held["k"], kind="stable")]
+            first = np.flatnonzero(np.r_[True, held["k"][1:] != held["k"][:-1]])
+            alone = held[first[(np.diff(np.r_[first, len(held)]) == 1) & (held["m"][first] == 0)]]
+            who, n = np.unique(alone[["c", "r"]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(who["c"]), pa.array(who["r"].astype(np.int32)), pa.array(n)], ["tag", "r", "own"])
+
+    packed = members.select("tag", "data").mapInArrow(combine, "bucket long, data binary")
+    own = packed.repartition(parts, "bucket").mapInArrow(meet, "tag long, r int, own long").groupBy("tag", "r").agg(F.sum("own").alias("own"))
+    n = F.octet_length("data") / 8
+    allowed = F.floor(n.cast("long") * (100 - percent) / percent)
+    log = F.floor(F.log2(n)).cast("int")
+    reach = F.when((log > 0) & (n * percent < F.call_function("shiftleft", F.lit(1), log) * 100), 2).otherwise(1)
+    sizes = members.groupBy("tag").agg(F.max(allowed).alias("allowed"), F.max(reach).alias("regions"))
+    return own.join(sizes, "tag").where("own > allowed").groupBy("tag").agg(F.count("*").alias("n"), F.max("regions").alias("regions")).where("n = regions").select("tag")
+
+
+def thinned(members: DataFrame, percent: int) -> DataFrame:
+    """Members without the lonely ones, in regions of their own; the same while that helps and some
+    region is over LEAF."""
+    C.ship_by_value(__name__)
+
+    def keyed(batches):
+        for batch in batches:
+            keys = [part_keys(np.frombuffer(d, "<u8"), percent).tobytes() for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(keys, pa.binary())], ["tag", "keys"])
+
+    while _largest(members) > LEAF:
+        before = members.count()
+        stay = C.Staged(members.join(lonely(members, percent), "tag", "left_anti").drop("region"), "stay")
+        regions = components(candidate_edges(stay.df.select("tag", "data").mapInArrow(keyed, "tag long, keys binary")))
+        found = stay.df.join(regions, F.col("tag") == F.col("node")).select(F.encode(F.col("root").cast("string"), "UTF-8").alias("region"), "tag", "cls", "data")
+        members = C.stage(found, "members")
+        stay.drop()
+        if members.count() > 0.9 * before:
+            break
+    return members
 
-def _cut(members: DataFrame, region_ids: list[bytes], sizes: dict[bytes, int], depth: int, percent: int) -> DataFrame:
-    """The Voronoi cells of some regions, as new regions."""
-    spark = members.sparkSession
+
+def _pivots(members: DataFrame, sizes: dict[bytes, int], depth: int) -> dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each region of ``sizes``, about PIVOTS members drawn by hash: their elements in order, whose
+    each is, and the set sizes. At most REGIONS_A_ROUND * PIVOTS sets come to the driver."""
     draw = F.pmod(F.xxhash64("cls", F.lit(depth)), F.lit(1 << 30))
-    least = F.create_map(*[F.lit(x) for r in region_ids for x in (F.hex(F.lit(r)), min(1 << 30, (1 << 30) * 3 * PIVOTS // sizes[r]))])
+    least = F.create_map(*[F.lit(x) for r, n in sizes.items() for x in (r.hex().upper(), min(1 << 30, (1 << 30) * 3 * PIVOTS // n))])
     drawn = members.where(draw < F.element_at(least, F.hex("region"))).groupBy("region").agg(F.slice(F.sort_array(F.collect_set(F.struct(draw.alias("draw"), "cls", "data"))), 1, PIVOTS).alias("p"))
-    pivots = {}
+    out = {}
     for row in drawn.collect():
         sets = [np.frombuffer(x["data"], "<u8") for x in row["p"]]
         element, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(element, kind="stable")
-        pivots[bytes(row["region"])] = (element[order], of[order], np.array([len(s) for s in sets]))
-    shared = spark.sparkContext.broadcast(pivots)
+        out[bytes(row["region"])] = (element[order], of[order], np.array([len(s) for s in sets]))
+    return out
+
+
+def _dealt(members: DataFrame, pivots: dict, percent: int) -> DataFrame:
+    """(region, cell, cls, data): members of the pivots' regions in each cell they belong to."""
+    shared = members.sparkSession.sparkContext.broadcast(pivots)
     radius = (100 - percent) / 100
 
     def deal(batches):
         for batch in batches:
-            region, cls, data = [], [], []
+            out = []
             for r, c, d in zip(*(batch.column(k).to_pylist() for k in ("region", "cls", "data"))):
-                of = shared.value.get(r)
-                for cell in cells(np.frombuffer(d, "<u8"), of, radius) if of else [0]:
-                    region.append(xxhash.xxh3_128_digest(r + b"%d/%d" % (depth, cell)))
-                    cls.append(c)
-                    data.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (region, cls, data)], ["region", "cls", "data"])
+                out += [(r, cell, c, d) for cell in cells(np.frombuffer(d, "<u8"), shared.value[r], radius)]
+            region, cell, cls, data = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(region, pa.binary()), pa.array(cell, pa.int32()), pa.array(cls, pa.binary()), pa.array(data, pa.binary())], ["region", "cell", "cls", "data"])
 
-    return members.mapInArrow(deal, "region binary, cls binary, data binary")
+    return _in_regions(members, list(pivots)).mapInArrow(deal, "region binary, cell int, cls binary, data binary")
 
 
 def _in_regions(members: DataFrame, ids: list[bytes], inside: bool = True) -> DataFrame:
@@ -345,28 +459,38 @@ def _in_regions(members: DataFrame, ids: list[bytes], inside: bool = True) -> Da
     return members.where(found if inside else ~found)
 
 
+def _blocks(members: DataFrame, region: bytes, size: int) -> DataFrame:
+    """(unit, cls, data): a region as blocks of half a leaf, each with each."""
+    g = -(-size // (LEAF // 2))
+    i = F.pmod(F.xxhash64("cls"), F.lit(g))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.concat(F.col("region"), F.encode(F.concat_ws("/", F.least(i, j).cast("string"), F.greatest(i, j).cast("string")), "UTF-8")))
+    return _in_regions(members, [region]).select(F.explode(pairs).alias("unit"), "cls", "data")
+
+
 def leaf_units(members: DataFrame, percent: int) -> DataFrame:
-    """Cuts regions over LEAF members until they fit a task: (unit, cls, data)."""
-    ready, open_, depth = [], C.stage(members, "members"), 0
-    before: dict[bytes, int] = {}
+    """Cuts regions over LEAF members until they fit a task: (unit, cls, data).
+
+    The cells are counted first; a region is cut if that saves GAIN of the pairs to compare and copies
+    its members no more than COPIES times. Any other is dense and goes block by block instead.
+    """
+    C.ship_by_value(__name__)
+    ready, open_, depth = [], C.stage(members.select("region", "cls", "data"), "members"), 0
     while True:
-        sizes = {bytes(r["region"]): r["n"] for r in open_.groupBy("region").agg(F.count_distinct("cls").alias("n")).where(F.col("n") > LEAF).orderBy(F.desc("n"), "region").limit(REGIONS_A_ROUND).collect()}
+        large = open_.groupBy("region").agg(F.count_distinct("cls").alias("n")).where(F.col("n") > LEAF).orderBy(F.desc("n"), "region").limit(REGIONS_A_ROUND)
+        sizes = {bytes(r["region"]): r["n"] for r in large.collect()}
         if not sizes:
             return _union([*ready, open_.withColumnRenamed("region", "unit")])
-        parent = max(before.values(), default=None)
-        stuck = [r for r, n in sizes.items() if parent and n > 0.7 * parent]
-        if stuck:  # the windows hold nearly all of it: blocks of half a leaf, each against each
-            for r in stuck:
-                g = -(-sizes[r] // (LEAF // 2))
-                i = F.pmod(F.xxhash64("cls"), F.lit(g))
-                pairs = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.concat(F.col("region"), F.encode(F.concat_ws("/", F.least(i, j).cast("string"), F.greatest(i, j).cast("string")), "UTF-8")))
-                ready.append(_in_regions(open_, [r]).select(F.explode(pairs).alias("unit"), "cls", "data"))
-            open_ = C.stage(_in_regions(open_, stuck, False), "members")
-            before = {}
-            continue
-        cut = _cut(_in_regions(open_, list(sizes)), list(sizes), sizes, depth, percent)
-        open_ = C.stage(_in_regions(open_, list(sizes), False).unionByName(cut), "members")
-        before, depth = sizes, depth + 1
+        dealt = _dealt(open_, _pivots(_in_regions(open_, list(sizes)), sizes, depth), percent)
+        counts: dict[bytes, list[int]] = {}
+        for r in dealt.groupBy("region", "cell").count().collect():
+            counts.setdefault(bytes(r["region"]), []).append(r["count"])
+        good = [r for r, c in counts.items() if sum(x * x for x in c) <= (1 - GAIN) * sizes[r] ** 2 and sum(c) <= COPIES * sizes[r]]
+        ready += [_blocks(open_, r, n) for r, n in sizes.items() if r not in good]
+        rest = _in_regions(open_, list(sizes), False)
+        if good:
+            named = F.unhex(F.md5(F.concat(F.col("region"), F.encode(F.concat_ws("/", F.lit(depth), "cell"), "UTF-8"))))
+            rest = rest.unionByName(_in_regions(dealt, good).select(named.alias("region"), "cls", "data"))
+        open_, depth = C.stage(rest, "members"), depth + 1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -410,12 +534,13 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     similarity ``percent`` / 100 or more reach, and how many rows have the same set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = C.Staged(classes_of(docs, n, percent), "keys")
-    regions = components(candidate_edges(keyed.df))
+    regions = components(candidate_edges(keyed.df.where("n_shingles > 0")))
     rows = C.stage(keyed.df.drop("keys"), "sets")
     keyed.drop()
     classes = C.stage(rows.where("n_shingles > 0").groupBy("cls", "tag").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal")), "classes")
     members = classes.join(regions, F.col("tag") == F.col("node")).select("doc_id", "cls", F.encode(F.col("root").cast("string"), "UTF-8").alias("region"))
-    units = leaf_units(member_sets(docs, C.stage(members, "regions"), n), percent)
+    members = C.stage(member_sets(docs, C.stage(members, "regions"), n), "members")
+    units = leaf_units(thinned(members, percent), percent)
     found = components(linked(units, percent)).withColumnRenamed("root", "group")
     grouped = classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("group", F.coalesce("group", "cls"))
     grouped = C.stage(grouped.select("cls", "group", "doc_id", "n_equal"), "groups")
