@@ -44,6 +44,8 @@ LEAF = 512
 #: Pivots of a region over LEAF, and how many such regions are cut in one round (their pivots are broadcast).
 PIVOTS = 32
 REGIONS_A_ROUND = 16
+#: Rows whose sets a worker holds at once.
+SLICE = 1000
 #: What a cut must save of the pairs to compare, and how often it may copy members.
 GAIN, COPIES = 0.3, 4
 #: Distance from its pivot up to which a set belongs to a cell alone.
@@ -210,12 +212,19 @@ def cells(s: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray], radi
     return out + [len(size)] * bool(near >= CORE - radius - slack)
 
 
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    """A worker holds the sets of at most SLICE rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, cls, tag, keys): the set's size, its 128-bit identity and its part regions."""
     C.ship_by_value(__name__)
 
     def emit(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, ids, keys = [], [], []
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
                 s = shingle_set(text or b"", n)
@@ -255,7 +264,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     buckets = 4 * parts
 
     def combine(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             held = {c: k for c, k in zip(batch.column("tag").to_pylist(), batch.column("keys").to_pylist()) if k}
             if not held:
                 continue
@@ -279,7 +288,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     def meet(batches):
         blobs, a, b = {}, [np.empty(0, "<i8")], [np.empty(0, "<i8")]
-        for batch in batches:
+        for batch in _slices(batches):
             for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
                     pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
@@ -326,7 +335,7 @@ def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     C.ship_by_value(__name__)
 
     def emit(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text, cls, region in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("cls").to_pylist(), batch.column("region").to_pylist()):
                 data = shingle_set(text or b"", n).tobytes()
@@ -355,7 +364,7 @@ def lonely(members: DataFrame, percent: int) -> DataFrame:
     row = np.dtype([("k", "<u8"), ("c", "<i8"), ("r", "u1"), ("m", "u1")])
 
     def combine(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             pieces = []
             for tag, data in dict(zip(batch.column("tag").to_pylist(), batch.column("data").to_pylist())).items():
                 s = np.frombuffer(data, "<u8")
@@ -380,7 +389,7 @@ def lonely(members: DataFrame, percent: int) -> DataFrame:
 
     def meet(batches):
         blobs = {}
-        for batch in batches:
+        for batch in _slices(batches):
             for bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
                 blobs.setdefault(bucket, []).append(data)
         for data in blobs.values():
@@ -407,7 +416,7 @@ def thinned(members: DataFrame, percent: int) -> DataFrame:
     C.ship_by_value(__name__)
 
     def keyed(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             keys = [part_keys(np.frombuffer(d, "<u8"), percent).tobytes() for d in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(keys, pa.binary())], ["tag", "keys"])
 
@@ -444,7 +453,7 @@ def _dealt(members: DataFrame, pivots: dict, percent: int) -> DataFrame:
     radius = (100 - percent) / 100
 
     def deal(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for r, c, d in zip(*(batch.column(k).to_pylist() for k in ("region", "cls", "data"))):
                 out += [(r, cell, c, d) for cell in cells(np.frombuffer(d, "<u8"), shared.value[r], radius)]
@@ -506,7 +515,7 @@ def linked(units: DataFrame, percent: int) -> DataFrame:
 
     def runs(batches) -> Iterator[dict[bytes, np.ndarray]]:
         unit, held = None, {}
-        for batch in batches:
+        for batch in _slices(batches):
             for u, c, d in zip(*(batch.column(k).to_pylist() for k in ("unit", "cls", "data"))):
                 if u != unit:
                     if len(held) > 1:
