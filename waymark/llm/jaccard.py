@@ -265,12 +265,12 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     def combine(batches):
         for batch in _slices(batches):
-            held = {c: k for c, k in zip(batch.column("tag").to_pylist(), batch.column("keys").to_pylist()) if k}
+            held = list({(c, k) for c, k in zip(batch.column("tag").to_pylist(), batch.column("keys").to_pylist()) if k})
             if not held:
                 continue
-            rows = np.empty(sum(len(k) for k in held.values()) // 8, ROW)
-            rows["k"] = np.frombuffer(b"".join(held.values()), "<u8")
-            rows["c"] = np.repeat(np.array(list(held), "<i8"), [len(k) // 8 for k in held.values()])
+            rows = np.empty(sum(len(k) for _, k in held) // 8, ROW)
+            rows["k"] = np.frombuffer(b"".join(k for _, k in held), "<u8")
+            rows["c"] = np.repeat(np.array([c for c, _ in held], "<i8"), [len(k) // 8 for _, k in held])
             first, a, b = _stars(rows)
             bucket = (first["k"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -366,7 +366,7 @@ def lonely(members: DataFrame, percent: int) -> DataFrame:
     def combine(batches):
         for batch in _slices(batches):
             pieces = []
-            for tag, data in dict(zip(batch.column("tag").to_pylist(), batch.column("data").to_pylist())).items():
+            for tag, data in set(zip(batch.column("tag").to_pylist(), batch.column("data").to_pylist())):
                 s = np.frombuffer(data, "<u8")
                 for region in size_regions(len(s), percent):
                     tokens = part_tokens(s, region, percent)
@@ -402,9 +402,9 @@ def lonely(members: DataFrame, percent: int) -> DataFrame:
 
     packed = members.select("tag", "data").mapInArrow(combine, "bucket long, data binary")
     own = packed.repartition(parts, "bucket").mapInArrow(meet, "tag long, r int, own long").groupBy("tag", "r").agg(F.sum("own").alias("own"))
-    n = F.octet_length("data") / 8
-    allowed = F.floor(n.cast("long") * (100 - percent) / percent)
-    log = F.floor(F.log2(n)).cast("int")
+    n = F.shiftright(F.octet_length("data"), 3)
+    allowed = F.floor(n * (100 - percent) / percent)
+    log = F.length(F.bin(n)) - 1
     reach = F.when((log > 0) & (n * percent < F.call_function("shiftleft", F.lit(1), log) * 100), 2).otherwise(1)
     sizes = members.groupBy("tag").agg(F.max(allowed).alias("allowed"), F.max(reach).alias("regions"))
     return own.join(sizes, "tag").where("own > allowed").groupBy("tag").agg(F.count("*").alias("n"), F.max("regions").alias("regions")).where("n = regions").select("tag")
