@@ -448,3 +448,27 @@ def test_licenses(spark, docs):
     assert labels[100].split(",")[:2] == ["apache", "apache-2.0"] and "gpl-3.0" in labels[101] and labels[102] == "gpl-2.0" and labels[110] == ""
     assert len(licenses.rules()) > 300
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def every_rule(t):
+    """Labels and score by every regex, without gates and keywords."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    line = f" {' '.join(w)} "
+    base = {label for phrase, label in licenses.BASE if f" {phrase} " in line}
+    found = [(m.start() + 1, m.end(), tier, order, label) for _, tier, order, label, regex in licenses.rules() for m in re.finditer(regex, line)]
+    found.sort(key=lambda f: (f[0], -f[1], -f[2], f[3]))
+    kept = [f for k, f in enumerate(found) if not any(e[1] >= f[1] and e[2] >= f[2] for e in found[:k])]
+    return ",".join(sorted(base | {f[4] for f in kept})), max([licenses.SCORES[f[2]] for f in kept], default=licenses.BASE_SCORE if base else 0.0)
+
+
+def test_gates_drop_nothing(spark):
+    said = {
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "Neither the name of the Foo Project nor the names of its contributors": "bsd-3-clause",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "MPL 2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "CDDL 1.0": "cddl-1.0", "EUPL 1.2": "eupl-1.2", "OFL 1.1": "ofl-1.1", "0BSD": "0bsd", "CeCILL 2.1": "cecill-2.1",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc", "under the same terms as Perl itself": "perl", "MIT No Attribution": "mit-0", "All rights reserved. No part": "proprietary",
+        "see https://www.mozilla.org/MPL/": "mpl", "Zero-Clause BSD": "0bsd", "nothing of the kind": "",
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: every_rule(t) for i, t in enumerate(said)}
+    assert [got[i][0] for i in range(len(said))] == list(said.values())

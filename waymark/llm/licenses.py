@@ -14,6 +14,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ from . import _common as C
 
 #: The base phrases and labels.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: A text without any of these substrings (lower-cased) holds no base phrase and no signature.
-GATES = ("licen", "gpl", "cc", "spdx", "commons", "domain", "wtfpl", "copyleft", "copying")
 #: Tiers: a declared identifier or address, a name with its version, a bare name or notice.
 DECLARED, VERSIONED, NAMED = 3, 2, 1
 SCORES = {DECLARED: 1.0, VERSIONED: 0.9, NAMED: 0.7}
@@ -47,7 +47,8 @@ FAMILIES = [
     ("bsd-2-clause", "bsd", "(simplified|freebsd|2 clause|two clause) bsd license", [], "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(new|modified|revised|3 clause|three clause) bsd license", [], "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(original|old|4 clause|four clause) bsd license", [], "spdx org licenses bsd 4 clause"),
-    ("0bsd", "0bsd", "(zero clause bsd|0bsd)( license)?", [], "opensource org licenses 0bsd"),
+    ("0bsd", "0bsd", "0bsd( license)?", [], "opensource org licenses 0bsd"),
+    ("0bsd", "zero clause bsd", "zero clause bsd( license)?", [], None),
     ("isc", "isc", "isc license", [], "opensource org licenses isc"),
     ("mpl", "mozilla", "mozilla public license", ["1 0", "1 1", "2 0"], "mozilla org mpl"),
     ("mpl", "mpl", "mpl", ["1 0", "1 1", "2 0"], "mozilla org en us mpl"),
@@ -142,6 +143,28 @@ def rules() -> list[tuple[str, int, int, str, str]]:
     return [(k, tier, i, label, f"{regex}(?= )") for i, (k, tier, label, regex) in enumerate(sorted(out, key=lambda r: -r[1]))]
 
 
+def _literals(regex: str) -> list[str]:
+    """Runs of letters and digits that every match of the regex holds within one word."""
+    plain, before = regex, None
+    while plain != before:
+        plain, before = re.sub("\\([^()]*\\)(\\?|\\{[^}]*\\})?", "~", plain), plain
+    plain = re.sub(".\\?", "~", re.sub("\\[[^]]*\\][+?]?", "~", plain))
+    return re.findall("[a-z0-9]+", plain)
+
+
+def _gates() -> tuple[str, ...]:
+    """Literals of which every match of a base phrase or a rule holds one."""
+    chosen: list[str] = ["licen"]
+    for needed in sorted(map(_literals, [p for p, _ in BASE] + [r[4] for r in rules()]), key=len):
+        if not any(g in w for g in chosen for w in needed):
+            chosen.append(max(needed, key=len))
+    return tuple(chosen)
+
+
+#: A text without any of these substrings (lower-cased) holds no base phrase and no signature.
+GATES = _gates()
+
+
 def _places(w: Column, phrase: str) -> Column:
     """Word places where the phrase stands."""
     said = phrase.split(" ")
