@@ -472,3 +472,22 @@ def test_gates_drop_nothing(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
     assert got == {i: every_rule(t) for i, t in enumerate(said)}
     assert [got[i][0] for i in range(len(said))] == list(said.values())
+
+
+def test_keywords_drop_nothing(spark):
+    said = {
+        "Zero-Clause BSD": "0bsd", "0BSD license": "0bsd", "PSF License 2.0": "python-2.0", "Python Software Foundation License v2": "python-2.0", "Python license": "python",
+        "PNG Reference Library License": "libpng", "PNG Reference Library License version 2.0": "libpng-2.0", "libpng license 1.0": "libpng-1.0", "under the terms of the PSF license": "python",
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: every_rule(t) for i, t in enumerate(said)}
+    assert [got[i][0] for i in range(len(said))] == list(said.values())
+
+
+def test_keywords_are_literals_of_their_rules():
+    for keyword, _, _, _, regex in licenses.rules():
+        plain = regex
+        while "(" in plain:  # optional and alternative parts, and the look-ahead, are not in every match
+            plain = re.sub(r"\([^()]*\)(\?|\{[^}]*\})?", " ", plain)
+        assert f" {keyword}" in re.sub(r"\[[^]]*\]|.\?", " ", plain), (keyword, regex)

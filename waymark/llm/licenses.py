@@ -30,7 +30,7 @@ BASE_SCORE = 0.6
 WORD_COUNT = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
-#: label, keyword, name (regex over words), versions, address (regex over words, or None).
+#: label, keyword (in every match of the name), name (regex over words), versions, address (regex over words, or None).
 FAMILIES = [
     ("gpl", "gpl", "(gnu )?gpl", ["1 0", "2 0", "3 0"], "gnu org licenses( old licenses)? gpl"),
     ("gpl", "general public license", "(gnu )?general public license", ["1 0", "2 0", "3 0"], "gnu org copyleft gpl"),
@@ -66,10 +66,12 @@ FAMILIES = [
     ("sspl", "server side public", "server side public license", ["1 0"], "mongodb com licensing server side"),
     ("elastic", "elastic", "elastic license", ["1 0", "2 0"], "elastic co licensing elastic license"),
     ("zlib", "zlib", "zlib( libpng)? license", [], "opensource org licenses zlib"),
-    ("libpng", "libpng", "(png reference library|libpng) license", ["1 0", "2 0"], "libpng org pub png src libpng license"),
+    ("libpng", "libpng", "libpng license", ["1 0", "2 0"], "libpng org pub png src libpng license"),
+    ("libpng", "png reference library", "png reference library license", ["1 0", "2 0"], None),
     ("openssl", "openssl", "openssl license", [], "openssl org source license"),
     ("curl", "curl", "curl license", [], "curl se docs copyright"),
-    ("python", "python", "(python software foundation|psf|python) license", ["2 0"], "docs python org license"),
+    ("python", "python", "python( software foundation)? license", ["2 0"], "docs python org license"),
+    ("python", "psf", "psf license", ["2 0"], None),
     ("php", "php", "php license", ["3 0", "3 01"], "php net license"),
     ("ruby", "ruby", "ruby license", [], "ruby lang org en about license"),
     ("perl", "perl", "same terms as perl( itself)?", [], "dev perl org licenses"),
