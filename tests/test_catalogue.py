@@ -3,6 +3,7 @@ from oracle import connection, same
 
 import __spark_entry__
 from waymark import catalogue
+from waymark.operators import knn
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,14 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 50
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("name", ["ivf_trained", "lsh_ann"])
+def test_recall(spark, name, sf_dir):
+    q, db = catalogue.sides(spark, sf_dir)
+    pairs = lambda df: {(r[0], r[1]) for r in df.select("query_id", "item_id").collect()}
+    exact, found = pairs(knn.knn(q, db, catalogue.K)), pairs(catalogue.QUERIES[name](spark, sf_dir))
+    recall = len(exact & found) / len(exact)
+    print(name, sf_dir, recall)
+    assert recall >= 0.9
