@@ -491,3 +491,19 @@ def test_keywords_are_literals_of_their_rules():
         while "(" in plain:  # optional and alternative parts, and the look-ahead, are not in every match
             plain = re.sub(r"\([^()]*\)(\?|\{[^}]*\})?", " ", plain)
         assert f" {keyword}" in re.sub(r"\[[^]]*\]|.\?", " ", plain), (keyword, regex)
+
+
+def test_uneven_weights_are_found(spark):
+    """Windows at a weighted similarity of 0.8 and more in which one word became a long token."""
+    rng = random.Random(12)
+    items = [(i, [f"{rng.choice('abcdefg')}{rng.randint(0, 99999)}" for _ in range(300)]) for i in range(40)]
+    table = [(i, w[:150] + ["x" * 300] + w[151:]) for i, w in items]
+    frame = lambda rows_, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows_], f"{name} long, text string")
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    size = lambda s: sum(len("".join(x)) for x in s)
+    want = {i for (i, w), (_, x) in zip(items, table) if size(shingles(w) & shingles(x)) >= 0.8 * size(shingles(w) | shingles(x))}
+    got = {r["doc_id"] for r in decontam.leaks(frame(table, "doc_id"), frame(items, "item_id")).collect()}
+    assert len(want) == 40 and got == want
