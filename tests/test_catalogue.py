@@ -38,3 +38,9 @@ def test_recall(spark, name, sf_dir):
     recall = len(exact & found) / len(exact)
     print(name, sf_dir, recall)
     assert recall >= 0.9
+
+
+def test_k_beyond_a_large_database(spark, tmp_path):
+    made = spark.range(111_130).where("id = 0 OR id % 10 <> 0").selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), 1F) AS embedding", "0 AS label")
+    made.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalogue.QUERIES["knn_k_gt_n"](spark, str(tmp_path)).count() == 100_017
