@@ -4,7 +4,8 @@ A run is a table (h1, h2, n_docs, keeper), sorted by the 128-bit line hash withi
 hash: in how many documents a line was met and the largest doc_id among them. Each batch of documents
 adds one run at level 0; as soon as a level holds ``fanout`` runs they are merged into one run of the
 next level, so a store of n batches has O(fanout * log n) runs and rewrites each entry O(log n) times.
-Batches anti-join the runs by merge join, run by run.
+The query counts through the compacted runs; ``first_seen`` alone anti-joins batches against the runs,
+by merge join, run by run.
 
 Defined results: a null or empty text is one empty line; each row is a document, so repeated rows
 count one by one and share their fate; a null doc_id is smaller than any other; other columns are
