@@ -507,3 +507,11 @@ def test_uneven_weights_are_found(spark):
     want = {i for (i, w), (_, x) in zip(items, table) if size(shingles(w) & shingles(x)) >= 0.8 * size(shingles(w) | shingles(x))}
     got = {r["doc_id"] for r in decontam.leaks(frame(table, "doc_id"), frame(items, "item_id")).collect()}
     assert len(want) == 40 and got == want
+
+
+def test_a_failing_first_document_keeps_nothing(spark):
+    """The smallest id with a shared passage fails the base rules: the next one keeps the passage."""
+    passage = " ".join(f"p{k}" for k in range(45))
+    table = [(0, passage, "s")] + [(i, passage + "\n" + " ".join(f"d{i}x{k}" for k in range(6)), "s") for i in range(1, 31)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string")
+    assert [r["doc_id"] for r in quality.keep_good(df).collect()] == [1]

@@ -4,8 +4,9 @@ Base rules look at one document: its words, symbols, repeated lines and repeated
 method then hashes normalised lines and counts, for each host (the documents' source), the distinct
 documents that hold a line; exact copies count as one, so that a copied document does not condemn
 itself. Lines in more than ``max_docs`` documents of a host are removed from all but the first of them
-(the smallest doc_id, so that nothing is lost to the corpus), and documents left with less than
-``min_left`` of their words are rejected. That limit is a number of documents, the same at any size.
+(the smallest doc_id), and documents left with less than ``min_left`` of their words are rejected. For
+the pipeline (``keep_good``) the first of them is taken among the documents that pass the base rules,
+so that nothing is lost to the corpus; ``op7_quality`` takes it among all, as its SQL says. That limit is a number of documents, the same at any size.
 
 All per-document figures come from arrays within the row, without a shuffle: 3-word windows are
 compared by 64-bit hashes, sorted next to each other as packed (hash part, place) numbers.
@@ -90,7 +91,22 @@ def common_lines(docs: DataFrame, max_docs: int, host: str = "source") -> DataFr
     return counts.where(F.col("n") > max_docs).select("_host", "_line", "_first")
 
 
-def _judged(docs: DataFrame, max_docs: int, min_left: float, host: str) -> DataFrame:
+def _kept_by_passing(each: DataFrame, keep: list[str]) -> DataFrame:
+    """Figures of the lines in ``each``, a common line staying in the smallest id that passes the base
+    rules. The keeper is sought among the few common lines alone; texts are read once."""
+    hit = F.col("_l").isNotNull()
+    held = F.collect_list(F.when(hit, F.struct(F.col("_l"), F.col("l.w").alias("w"))))
+    per = C.stage(each.groupBy("_rid", "_host", *keep).agg(F.coalesce(F.sum(F.when(~hit, F.col("l.w"))), F.lit(0)).alias("_own"), held.alias("_held")), "held")
+    lines = per.select("_rid", "_host", "doc_id", "base_failed", F.explode("_held").alias("x")).select("_rid", "_host", "doc_id", "base_failed", "x._l", "x.w")
+    first = lines.where(~F.col("base_failed")).groupBy(F.col("_host").alias("_h"), F.col("_l").alias("_k")).agg(F.min("doc_id").alias("_first"))
+    lines = lines.join(C.bounded(C.stage(first, "keepers")), F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_l") == F.col("_k")), "left")
+    lost = ~F.col("doc_id").eqNullSafe(F.col("_first"))
+    sums = lines.groupBy("_rid").agg(F.count(F.when(lost, 1)).alias("_lost"), F.sum(F.when(~lost, F.col("w"))).alias("_stay"))
+    zero = F.lit(0).cast("long")
+    return per.join(sums, "_rid", "left").select("_rid", *keep, F.coalesce("_lost", zero).alias("n_common_lines"), (F.col("_own") + F.coalesce("_stay", zero)).cast("long").alias("words_left"))
+
+
+def _judged(docs: DataFrame, max_docs: int, min_left: float, host: str, passing: bool) -> DataFrame:
     """One row per row of ``docs`` with base figures, n_common_lines, words_left and kept."""
     common = C.bounded(C.stage(common_lines(docs, max_docs, host), "common"))
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -99,20 +115,23 @@ def _judged(docs: DataFrame, max_docs: int, min_left: float, host: str) -> DataF
     each = rows.select("_rid", "_host", *keep, F.explode_outer(each).alias("l"))
     marked = common.withColumnsRenamed({"_host": "_h", "_line": "_l"})
     each = each.join(marked, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("l.h") == F.col("_l")), "left")
-    hit = F.col("_l").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_first"))
-    out = each.groupBy("_rid", *keep).agg(F.count(F.when(hit, 1)).alias("n_common_lines"), F.coalesce(F.sum(F.when(~hit, F.col("l.w"))), F.lit(0)).cast("long").alias("words_left"))
+    if passing:
+        out = _kept_by_passing(each, keep)
+    else:
+        hit = F.col("_l").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_first"))
+        out = each.groupBy("_rid", *keep).agg(F.count(F.when(hit, 1)).alias("n_common_lines"), F.coalesce(F.sum(F.when(~hit, F.col("l.w"))), F.lit(0)).cast("long").alias("words_left"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))).drop("_rid")
 
 
-def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, host: str = "source") -> DataFrame:
+def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, host: str = "source", passing: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_common_lines, words_left, kept) for every row."""
-    return _judged(docs, max_docs, min_left, host)
+    return _judged(docs, max_docs, min_left, host, passing)
 
 
 def keep_good(docs: DataFrame, **law) -> DataFrame:
     """The rows of ``docs`` that are not rejected, as they are."""
-    bad = judge_quality(docs, **law).where(~F.col("kept"))
+    bad = judge_quality(docs, passing=True, **law).where(~F.col("kept"))
     # the verdict depends on id, host and text alone; the figures tell repeated ids apart
     bad = bad.select(F.col("doc_id").alias(C.own("id")), F.col("n_words").alias(C.own("n")), F.col("word_chars").alias(C.own("c"))).distinct()
     text = _text()
