@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,41 +273,69 @@ def test_jaccard_join(spark, docs, n, percent):
     assert jaccard.jaccard_join(docs.limit(0), n, percent).count() == 0
 
 
-def test_voronoi_regions_lose_nothing(spark, monkeypatch):
-    """Leaves and pivots so few that regions are cut again and again, and dense ones go block by block."""
-    monkeypatch.setattr(jaccard, "LEAF", 12)
-    monkeypatch.setattr(jaccard, "PIVOTS", 6)
-    table = near_copies(9, groups=4, size=60, sole=20)
+def test_every_way_of_joining_cells_loses_nothing(spark, monkeypatch):
+    """Through the public function, with leaves and pivots so few that cells are spread, dealt anew, cut into
+    Voronoi regions again and again, and compared block by block."""
+    monkeypatch.setattr(jaccard, "LEAF", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    seen = collections.Counter()
+
+    def counted(name, what):
+        plain = getattr(jaccard, name)
+
+        def call(*args, **more):
+            seen[what(args)] += 1
+            return plain(*args, **more)
+
+        monkeypatch.setattr(jaccard, name, call)
+
+    counted("cell_links", lambda a: f"deal {a[3] if len(a) > 3 else 0}")
+    counted("_dealt", lambda a: "regions")
+    counted("_dense", lambda a: "dense")
+    table = near_copies(9, groups=2, size=40, sole=20)
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    table += [(1000 + i, " ".join(passage + [f"o{i}x{k}" for k in range(rng.randint(3, 25))])) for i in range(60)]
     df = spark.createDataFrame(table, "doc_id long, text string")
-    classes = _common.stage(jaccard.classes_of(df, 3, 90), "t").where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members = classes.withColumn("region", F.encode(F.lit("all"), "UTF-8"))  # one region of everything
-    units = _common.stage(jaccard.leaf_units(jaccard.member_sets(df, members, 3), 90), "units")
-    ids = [bytes(r["unit"]) for r in units.select("unit").distinct().collect()]
-    assert len(ids) > 20 and any(len(u) == 16 for u in ids), "cells of drawn pivots"
-    assert any(len(u) > 16 or u.startswith(b"all") for u in ids), "blocks of dense regions"
-    found = {r["node"]: r["root"] for r in jaccard.components(jaccard.linked(units, 90)).collect()}
-    ids = {r["cls"]: r["doc_id"] for r in classes.collect()}
-    group = collections.defaultdict(list)
-    for c, i in ids.items():
-        group[bytes(found.get(c, c))].append(i)
-    want = {i: g for i, _, g in brute_components(table, 3, 90)}
-    for g in group.values():
-        assert {want[i] for i in g} == {min(g)} or min(g) not in want
-    assert len(group) == len({g for i, g in want.items() if i in ids.values()})
+    got = jaccard.jaccard_join(df, 3, 90).select("doc_id", "n_shingles", "component_id")
+    assert rows(got) == brute_components(table, 3, 90)
+    assert seen["deal 0"] == 1 and seen["deal 1"] and seen["regions"] and seen["dense"], seen
 
 
-def test_thinning_keeps_every_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 12)
+def test_cells_are_joined_whole(spark):
+    """Each part's pivot and the points that share the part: linked points share a cell."""
     table = near_copies(5, groups=5, size=30, sole=80)
     df = spark.createDataFrame(table, "doc_id long, text string")
-    rows_ = _common.stage(jaccard.classes_of(df, 3, 90), "t")
-    classes = rows_.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members = _common.stage(jaccard.member_sets(df, classes.withColumn("region", F.encode(F.lit("all"), "UTF-8")), 3), "m")
-    left = jaccard.thinned(members, 90)
-    assert 0 < left.count() < members.count()
-    found = jaccard.components(jaccard.linked(left.withColumnRenamed("region", "unit").select("unit", "cls", "data"), 90)).groupBy("root").count()
-    want = collections.Counter(g for i, _, g in brute_components([(r["doc_id"], dict(table)[r["doc_id"]]) for r in classes.collect()], 3, 90))
-    assert sorted(r["count"] for r in found.collect()) == sorted(n for n in want.values() if n > 1)
+    points = _common.stage(jaccard.points_of(df, 3, 90), "t").where("n_shingles > 0")
+    cell = collections.defaultdict(set)
+    for r in jaccard.drawn_pivots(points).distinct().collect():
+        cell[r["x"]].add(r["p"])
+        cell[r["p"]].add(r["p"])
+    sets = {r["tag"]: jaccard.shingle_set(dict(table)[r["doc_id"]].encode(), 3) for r in points.collect()}
+    tags, linked = list(sets), 0
+    for i, a in enumerate(tags):
+        for b in tags[:i]:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                linked += 1
+                assert cell[a] & cell[b]
+    assert linked > 100
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_windows_connect_what_links_connect(percent):
+    rng = random.Random(percent)
+    for turn in range(60):
+        base = rng.sample(range(1, 1 << 40), rng.choice([5, 20, 60]))
+        sets = []
+        for _ in range(rng.randint(2, 40)):
+            own = set(base) if rng.random() < 0.8 else set(rng.sample(range(1, 1 << 40), 30))
+            for _ in range(rng.choice([0, 1, 2, 5, 9])):
+                own.discard(rng.choice(base))
+                own.add(rng.randint(1, 1 << 40))
+            sets.append(np.array(sorted(own), np.uint64))
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(b := np.intersect1d(sets[i], sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - len(b))]
+        assert jaccard.forest(jaccard.metric_links(sets, percent), len(sets)) == jaccard.forest(want, len(sets))
 
 
 def test_component_rounds(spark):
@@ -321,6 +350,16 @@ def test_one_of_each(spark, docs):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()) == sorted((i is not None, i or 0) for i in {i for i, _, _ in TEXTS})
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    table = [(3, x), (7, x), (7, y), (None, x), (None, z), (None, None), (None, None), (9, ""), (4, y + " more"), (4, y + " more")]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("mark", F.lit("m"))
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert rows(kept.drop("mark")) == sorted([(3, x), (None, z), (None, None), (None, None), (9, ""), (4, y + " more")], key=repr)
+    assert rows(jaccard.one_of_each(df, n=5, percent=100).drop("mark")) == sorted([(3, x), (7, y), (None, z), (None, None), (None, None), (9, ""), (4, y + " more")], key=repr)
+
+
 # Quality
 
 

@@ -1,35 +1,43 @@
 """Exact Jaccard join of documents over word n-grams, as a metric-space join.
 
 1 - Jaccard similarity is a metric, so a link within radius r obeys the triangle inequality for every
-pivot. Random pivots alone cannot cut a corpus, as unrelated texts all lie at distance 1 from them and
-from each other. The join therefore cuts in three steps, each exact:
-
-1. Size regions. The distance to the universe of all n-grams depends on a set's size alone; regions
-   are powers of two, and sets whose window reaches below their region join the one below too.
-2. Part regions. A region's universe is dealt into parts by hash. Linked sets differ in at most D
-   elements, hence in at most D parts; of the first D + 1 parts that either has, one is equal in both
-   and not empty. Each distinct part content is a pivot with a region of its own; sets meet there.
-   Stars within these regions, joined into components, give candidate regions without any pairs.
-   Where one is large, members of which more than D parts belong to no other member drop out, and the
-   others form regions anew: this undoes chains of texts that share a passage, and no more.
-3. Voronoi regions. A candidate region over LEAF members gets PIVOTS pivots. A set joins the cell of
-   pivot p if d(p) <= d(nearest) + 2r and d(p) < CORE + r, and the far cell if d(nearest) >= CORE - r:
-   any two sets within r share a cell (proof in ``cells``). Cells over LEAF members are cut again; a
-   cell that does not shrink is compared block against block.
-
-In a leaf, members with more elements of their own than a link allows drop out, which repeats until
-nothing changes; shared elements of the others are counted, and links found exactly. Only a spanning
-forest leaves the task. Documents with equal sets are one member throughout, whatever their number.
+pivot. Pivots drawn at random cannot cut a corpus, as unrelated texts all lie at distance 1 from them
+and from each other; so pivots are drawn where they are near something:
+
+1. Points. Documents with equal sets are one point, whatever their number.
+2. Pivots. The universe of a size region (sizes within 3:2; a set whose window reaches below its region
+   joins the one below too) is dealt into parts by hash. Linked sets differ in at most D elements,
+   hence in at most D parts; of the first D + 1 parts that either has, one is equal in both and not
+   empty. The least point of those that share a part becomes a pivot, and they join its cell. Any two
+   linked points so share a cell.
+3. Cells. The distance of each point to its cell's pivot is computed exactly. Points within r of it are
+   linked to it and thus with each other; the others, the ring, can be linked only with points whose
+   distance to the pivot differs by at most r (``metric_links``). What the windows leave is joined in the
+   same way with a new pivot out of the ring, until it no longer shrinks; then shared elements are
+   counted.
+4. Large cells are spread over tasks, each with a copy of the pivot, for the distances. What their
+   windows leave is, where it is far from the pivot (texts that share a passage), dealt anew by other
+   parts within the cell, which draws new pivots; else it is cut into Voronoi regions: a point joins the
+   region of pivot p if d(p) <= d(nearest) + 2r and d(p) < CORE + r, and the far region if
+   d(nearest) >= CORE - r, so that any two points within r share a region (proof in ``cells``). Regions
+   over LEAF points are cut again. Of one that does not shrink, points within r of its pivots are
+   grouped by them, and blocks are compared against blocks unless both are of one group.
+
+Everything is exact; only spanning forests of links leave a task, and components are formed of links
+alone. A part shared by a third of all points reaches a task as one row for each slice read.
 
 Defined results: null, empty and blank texts have no n-grams and link with nothing; texts under n
 words are one n-gram; repeated rows are equal sets; null ids are no component's smallest id unless
-it has no other; an empty table gives an empty result; other columns are ignored.
+it has no other; very long texts are one set, held whole by one worker at a time; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +47,32 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Members of a region that one task compares.
-LEAF = 512
-#: Pivots of a region over LEAF, and how many such regions are cut in one round (their pivots are broadcast).
-PIVOTS = 32
-REGIONS_A_ROUND = 16
-#: Rows whose sets a worker holds at once.
-SLICE = 1000
-#: What a cut must save of the pairs to compare, and how often it may copy members.
+#: Points, and bytes of their sets, that one task compares.
+LEAF, LEAF_BYTES = 512, 32 << 20
+#: Part keys that meet in one task, and bytes of sets that one task verifies.
+TASK_KEYS, TASK_BYTES = 1 << 20, 24 << 20
+#: Rows, and bytes of texts or sets, that a worker holds at once (one row at least).
+SLICE, SLICE_BYTES = 1000, 8 << 20
+#: A large cell is dealt anew so often while its points are far from its pivot.
+DEALS = 3
+#: Pivots of a Voronoi region over LEAF, and bytes of pivots that one round broadcasts.
+PIVOTS, PIVOT_BYTES = 32, 32 << 20
+#: What a cut must save of the pairs to compare, and how often it may copy points.
 GAIN, COPIES = 0.3, 4
-#: Distance from its pivot up to which a set belongs to a cell alone.
+#: Distance from its pivot up to which a set belongs to a Voronoi region alone.
 CORE = 0.5
-#: Size regions below this use single elements as parts.
-SMALL = 64
-#: Elements in at least so many members are counted by matrix product, others by pairs of members.
+#: Elements in at least so many sets are counted by matrix product, others by pairs of sets.
 DENSE = 8
+#: Rounding of distances.
+SLACK = 1e-9
 
-#: A part region's key and the tag of a member: the first 64 bits of its identity. Members whose tags
-#: collide share a candidate region, no more.
+#: Lower bounds of the size regions.
+BOUNDS = [1]
+while BOUNDS[-1] < 1 << 40:
+    BOUNDS.append(max(BOUNDS[-1] + 1, BOUNDS[-1] * 3 // 2))
+
+#: A part's key and the tag of a point: the first 64 bits of its identity. Points whose tags collide
+#: share their cells, no more.
 ROW = np.dtype([("k", "<u8"), ("c", "<i8")])
 
 
@@ -79,49 +95,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def salt_of(number: int) -> np.uint64:
+    return np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
 def most_apart(n: int, percent: int) -> int:
     """Elements in which a set of size n and one linked to it may differ."""
     return n * (100 - percent) // percent
 
 
-def parts_of(region: int, percent: int) -> int:
-    """Parts of a size region: 1.42 for each element in which its largest sets may differ, so that
-    these fill more parts than they may differ in, and smaller sets do so more easily."""
-    return int(1.42 * 2 * (100 - percent) * 100 / percent**2 * (1 << region))
-
-
 def size_regions(n: int, percent: int) -> list[int]:
-    """Where a set of size n meets sets linked to it: its own region, and the one below within reach."""
-    own = n.bit_length() - 1
-    return [own, own - 1] if own and n * percent < (1 << own) * 100 else [own]
-
-
-def _salt(region: int) -> np.uint64:
-    return np.uint64((region + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    """Where a set of size n meets sets linked to it that are not larger, and those that are."""
+    return list(range(bisect_right(BOUNDS, -(-n * percent // 100)) - 1, bisect_right(BOUNDS, n)))
 
 
-def element_tokens(s: np.ndarray, region: int) -> np.ndarray:
-    return mixed(s + _salt(region) + np.uint64(1))
+def parts_of(region: int, percent: int) -> int:
+    """Parts of a size region: more than its sets may differ in, and as many again as chance leaves empty."""
+    d = most_apart(BOUNDS[region + 1] - 1, percent) + 1
+    return int(d * (1 + 2 * exp(-percent / (100 - percent)))) if percent < 100 else 1
 
 
-def part_tokens(s: np.ndarray, region: int, percent: int) -> np.ndarray:
-    """A set's parts in a size region, largest first; single elements in small regions.
+def part_tokens(s: np.ndarray, region: int, percent: int, deal: int = 0) -> np.ndarray:
+    """A set's parts in a size region, largest first.
 
     The order depends on a part's content alone, so the first parts of linked sets still have one in
     common: what comes before their first common part differs, and that is at most D. Large parts are
     shared by chance least."""
-    if 1 << region < SMALL:
-        return element_tokens(s, region)
-    part = (s >> np.uint64(11)) % np.uint64(parts_of(region, percent))
+    at = mixed(s + salt_of(deal)) if deal else s >> np.uint64(11)
+    part = at % np.uint64(parts_of(region, percent))
     order = np.argsort(part, kind="stable")
     part = part[order]
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    tokens = mixed(np.add.reduceat(mixed(s[order]), first) + mixed(part[first] + _salt(region)))
+    tokens = mixed(np.add.reduceat(mixed(s[order]), first) + mixed(part[first] + salt_of(region)))
     return tokens[np.lexsort((tokens, -np.diff(np.r_[first, len(s)])))]
 
 
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The part regions of a set, over its size regions. None if only equal sets link with it.
+def part_keys(s: np.ndarray, percent: int, deal: int = 0) -> np.ndarray:
+    """The parts by which a set draws pivots, over its size regions; none if only equal sets link with it.
 
     A set with too few parts to be sure of an equal one gives all of them and single elements also: a
     pair with one such set meets in the other's parts, a pair of such sets in its elements.
@@ -131,15 +141,16 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = []
     for region in size_regions(len(s), percent):
-        tokens = part_tokens(s, region, percent)
+        tokens = part_tokens(s, region, percent, deal)
         out.append(tokens[: d + 1])
         if len(tokens) <= d:
-            out.append(element_tokens(s, region)[: d + 1])
+            out.append(np.sort(mixed(s + salt_of(deal) + salt_of(region) + np.uint64(1)))[: d + 1])
     return np.concatenate(out)
 
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """All (i, j), i < j, of sets that link."""
+    """All (i, j), i < j, of sets that link, by counting shared elements. Sets with more elements of
+    their own than a link allows drop out first, again and again."""
     size = np.array([len(s) for s in sets], np.int64)
     alive = np.flatnonzero(size > 0)
     while len(alive) > 1:
@@ -157,13 +168,13 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     m = len(alive)
     if m < 2:
         return []
-    shared = np.zeros((m, m), np.float32)
+    shared = np.zeros((m, m), np.float64)  # exact up to 2^53 shared elements
     flat = shared.reshape(-1)
     for d in np.unique(df[(df > 1) & (df < DENSE)]):
         owners = owner[first[df == d][:, None] + np.arange(d)]
         for i in range(d):
             for j in range(i + 1, d):
-                np.add.at(flat, owners[:, i] * m + owners[:, j], np.float32(1))
+                np.add.at(flat, owners[:, i] * m + owners[:, j], 1.0)
     dense = np.flatnonzero(df >= DENSE)
     for k in range(0, len(dense), 4096):
         some = dense[k : k + 4096]
@@ -177,6 +188,38 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return [(int(alive[a]), int(alive[b])) for a, b in zip(i, j)]
 
 
+def to_pivot(sets: list[np.ndarray], pivot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, linked) of each set, none empty, to a pivot."""
+    size = np.array([len(s) for s in sets], np.int64)
+    element = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(pivot, element), len(pivot) - 1)
+    both = np.bincount(np.repeat(np.arange(len(sets)), size)[pivot[at] == element], minlength=len(sets))
+    either = size + len(pivot) - both
+    return 1 - both / either, 100 * both >= percent * either
+
+
+def metric_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all links connect; sets[0] is the first pivot.
+
+    With d the distance to the pivot, sets of d <= r are linked to it, hence need no links among each
+    other. A pair with one of the ring (d > r) in it has distances that differ by r at most, so sets below
+    the ring's least distance less r drop out, the pivot among them.
+    """
+    alive, pivot, out = np.arange(len(sets)), 0, []
+    while len(alive) > 1:
+        distance, linked = to_pivot([sets[i] for i in alive], sets[pivot], percent)
+        out += [(pivot, int(x)) for x in alive[linked] if x != pivot]
+        if linked.all():
+            return out
+        stay = ~linked | (distance >= distance[~linked].min() - (100 - percent) / 100 - SLACK)
+        stay[alive == pivot] = False
+        pivot = int(alive[np.argmax(np.where(linked, -1.0, distance))])
+        before, alive = len(alive), alive[stay]
+        if len(alive) > 0.9 * before:
+            break
+    return out + [(int(alive[i]), int(alive[j])) for i, j in links([sets[i] for i in alive], percent)]
+
+
 def forest(pairs, n: int) -> list[tuple[int, int]]:
     """(member, root) for members of ``pairs`` that are not their component's root."""
     up = list(range(n))
@@ -194,33 +237,58 @@ def forest(pairs, n: int) -> list[tuple[int, int]]:
     return [(x, r) for x in range(n) if (r := root(x)) != x]
 
 
+def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All elements in order, whose each is, and the set sizes."""
+    element, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(element, kind="stable")
+    return element[order], of[order], np.array([len(s) for s in sets])
+
+
+def shared_with(s: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    element, of, size = pivots
+    lo, hi = np.searchsorted(element, s, "left"), np.searchsorted(element, s, "right")
+    hit = np.concatenate([of[a:b] for a, b in zip(lo, hi) if a < b] or [np.empty(0, np.int64)])
+    return np.bincount(hit, minlength=len(size))
+
+
 def cells(s: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray], radius: float) -> list[int]:
-    """The Voronoi cells of a set; the number of pivots stands for the far cell.
+    """The Voronoi regions of a set; the number of pivots stands for the far region.
 
     Let d(x, y) <= r and p be the pivot nearest to x, at a. If a < CORE then d(y, p) <= a + r < CORE + r
     and, for the pivot q nearest to y, d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r: y joins
-    p's cell as x does. Else y is at CORE - r or more from every pivot, and both join the far cell.
+    p's region as x does. Else y is at CORE - r or more from every pivot, and both join the far region.
     """
-    element, of, size = pivots
-    lo, hi = np.searchsorted(element, s, "left"), np.searchsorted(element, s, "right")
-    hit = np.concatenate([of[a:b] for a, b in zip(lo, hi) if a < b] or [np.empty(0, np.int64)])
-    inter = np.bincount(hit, minlength=len(size))
-    d = 1 - inter / (len(s) + size - inter)
+    both = shared_with(s, pivots)
+    d = 1 - both / (len(s) + pivots[2] - both)
     near = d.min()
-    slack = 1e-9
-    out = [int(j) for j in np.flatnonzero((d <= near + 2 * radius + slack) & (d < CORE + radius + slack))]
-    return out + [len(size)] * bool(near >= CORE - radius - slack)
+    out = [int(j) for j in np.flatnonzero((d <= near + 2 * radius + SLACK) & (d < CORE + radius + SLACK))]
+    return out + [len(d)] * bool(near >= CORE - radius - SLACK)
 
 
 def _slices(batches) -> Iterator[pa.RecordBatch]:
-    """A worker holds the sets of at most SLICE rows at once."""
+    """Batches of at most SLICE rows and about SLICE_BYTES."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _tasks(amount: int | None, each: int) -> int:
+    return max(1, -(-int(amount or 0) // each))
 
 
-def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, tag, keys): the set's size, its 128-bit identity and its part regions."""
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+POINT = "doc_id long, mark long, n_shingles long, cls binary, tag long, keys binary"
+
+
+def points_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): a hash of its text, its set's size, 128-bit
+    identity and tag, and the parts by which it draws pivots."""
     C.ship_by_value(__name__)
 
     def emit(batches):
@@ -232,36 +300,35 @@ def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(part_keys(s, percent).tobytes())
             tags = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "cls", "tag", "keys"])
+            yield _batch(POINT, batch.column("doc_id"), batch.column("mark"), sizes, ids, tags, keys)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n_shingles long, cls binary, tag long, keys binary")
+    return marked(docs).mapInArrow(emit, POINT)
 
 
-def _stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First row of each key, and the rows that share a key with another member: (firsts, a, b)."""
-    rows = rows[np.argsort(rows["k"], kind="stable")]
-    new = np.r_[True, rows["k"][1:] != rows["k"][:-1]]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-    other = rows["c"] != rows["c"][first]
-    return rows[new], rows["c"][first[other]], rows["c"][other]
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): rows of one id with different texts are told apart by the mark."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """A spanning forest of the pairs, as rows (a, b)."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    trees = np.array(forest(zip(at[: len(a)].tolist(), at[len(a) :].tolist()), len(nodes)), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(nodes[trees[:, 0]]), pa.array(nodes[trees[:, 1]])], ["a", "b"])
+def _stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, other) of the different points of each key."""
+    rows = rows[np.lexsort((rows["c"], rows["k"]))]
+    new = np.r_[True, rows["k"][1:] != rows["k"][:-1]]
+    once = new | np.r_[True, rows["c"][1:] != rows["c"][:-1]]
+    rows, new = rows[once], new[once]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    return rows["c"][first[~new]], rows["c"][~new]
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): stars over the members of each part region, thinned to forests.
+def drawn_pivots(keyed: DataFrame) -> DataFrame:
+    """(p, x): each point that shares a part, with the pivot that the part draws. ``keyed``: (tag, keys).
 
-    A region's members are first combined where they are read: only the first of each batch goes on,
-    packed by bucket, so that a region with a third of all members reaches a task as a few rows.
+    Keys are packed by bucket where they are read, equal points of a slice being one; a worker holds one
+    bucket at a time. A pair is given once for each part that finds it, so rows grow as the points do.
     """
     C.ship_by_value(__name__)
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    tasks = _tasks(keyed.agg(F.sum(F.octet_length("keys"))).first()[0], 8 * TASK_KEYS)
+    buckets = 8 * tasks
 
     def combine(batches):
         for batch in _slices(batches):
@@ -271,185 +338,163 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             rows = np.empty(sum(len(k) for _, k in held) // 8, ROW)
             rows["k"] = np.frombuffer(b"".join(k for _, k in held), "<u8")
             rows["c"] = np.repeat(np.array([c for c, _ in held], "<i8"), [len(k) // 8 for _, k in held])
-            first, a, b = _stars(rows)
-            bucket = (first["k"] % np.uint64(buckets)).astype(np.int64)
+            bucket = (rows["k"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            first, bucket = first[order], bucket[order]
+            rows, bucket = rows[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            data = [x.tobytes() for x in np.split(first, cut[1:])]
-            number = bucket[cut].tolist()
-            kind = [0] * len(data)
-            if len(a):
-                e = _edges(a, b)
-                data.append(np.stack([e.column(0).to_numpy(), e.column(1).to_numpy()], 1).tobytes())
-                number.append(number[0])
-                kind.append(1)
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+            yield _batch("bucket long, data binary", bucket[cut], [x.tobytes() for x in np.split(rows, cut[1:])])
 
     def meet(batches):
-        blobs, a, b = {}, [np.empty(0, "<i8")], [np.empty(0, "<i8")]
-        for batch in _slices(batches):
-            for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind:
-                    pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
-                    a.append(pairs[:, 0])
-                    b.append(pairs[:, 1])
-                else:
-                    blobs.setdefault(bucket, []).append(data)
-        for data in blobs.values():
-            _, x, y = _stars(np.frombuffer(b"".join(data), ROW))
-            a.append(x)
-            b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield _edges(a, b)
-
-    packed = classes.select("tag", "keys").mapInArrow(combine, "bucket long, kind int, data binary")
-    return packed.repartition(parts, "bucket").mapInArrow(meet, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b), by alternating large and small stars.
-
-    Every round leaves an edge table in the shared folder; the rounds end when its edges are stars:
-    every node has one root, and no root has one itself.
-    """
-    edges = C.Staged(edges.where("a <> b"), "edges")
-    while True:
-        e = edges.df
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = C.Staged(small, "edges")
-        edges.drop()
-        edges, roots = new, new.df.select(F.col("b").alias("root")).distinct()
-        rows, nodes = new.df.agg(F.count("*"), F.count_distinct("a")).first()
-        if rows == nodes and not new.df.join(roots, F.col("a") == F.col("root"), "left_semi").limit(1).count():
-            return new.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("root").alias("node"), "root"))
-
-
-def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(region, tag, cls, data): the sets of ``members`` (doc_id, cls, region), computed from their texts."""
+        for _, held in _runs(batches, ["bucket"], ["data"]):
+            p, x = _stars(np.frombuffer(b"".join(d for (d,) in held), ROW))
+            if len(p):
+                yield _batch("p long, x long", p, x)
+
+    packed = keyed.select("tag", "keys").mapInArrow(combine, "bucket long, data binary")
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "p long, x long")
+
+
+def _runs(batches, by: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of consecutive rows with equal keys."""
+    key, held = None, []
+    for batch in _slices(batches):
+        for *new, row in zip(*(batch.column(c).to_pylist() for c in by), zip(*(batch.column(c).to_pylist() for c in columns))):
+            if new != key:
+                if held:
+                    yield tuple(key), held
+                key, held = new, []
+            held.append(row)
+    if held:
+        yield tuple(key), held
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(tag, cls, data): the sets of ``wanted`` (id, its_mark, cls), made again from their texts."""
     C.ship_by_value(__name__)
 
     def emit(batches):
         for batch in _slices(batches):
             out = []
-            for text, cls, region in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("cls").to_pylist(), batch.column("region").to_pylist()):
+            for text, cls in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("cls").to_pylist()):
                 data = shingle_set(text or b"", n).tobytes()
-                if xxhash.xxh3_128_digest(data) == cls:  # ids may be shared by different texts
-                    out.append((region, cls, data))
-            tags = pa.array([int.from_bytes(x[1][:8], "little", signed=True) for x in out], pa.int64())
-            region, cls, data = (pa.array([x[k] for x in out], pa.binary()) for k in range(3))
-            yield pa.RecordBatch.from_arrays([region, tags, cls, data], ["region", "tag", "cls", "data"])
+                if xxhash.xxh3_128_digest(data) == cls:  # marks may collide
+                    out.append((int.from_bytes(cls[:8], "little", signed=True), cls, data))
+            yield _batch("tag long, cls binary, data binary", *(list(zip(*out)) or [()] * 3))
+
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its_mark"))
+    return marked(docs).join(C.bounded(wanted), same).select("text", "cls").mapInArrow(emit, "tag long, cls binary, data binary")
+
 
-    members = members.select(F.col("doc_id").alias("id"), "cls", "region")
-    joined = docs.select("doc_id", "text").join(C.bounded(members), F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.select("text", "cls", "region").mapInArrow(emit, "region binary, tag long, cls binary, data binary")
+FOUND = "a binary, b binary, p long, d double, linked boolean"
 
 
-def _largest(members: DataFrame) -> int:
-    return members.groupBy("region").count().agg(F.max("count")).first()[0] or 0
+def _spread(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, s, spread, kind, cls, data): points (kind 1) by cell and share of it, each share with the pivot
+    (kind 0) in front. Cells over LEAF have several shares."""
+    size = sets.groupBy(F.col("tag").alias("x")).agg(F.max(F.octet_length("data")).alias("b"))
+    sizes = C.Staged(pairs.join(size, "x").groupBy("p").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("b") / LEAF_BYTES)).cast("int").alias("shares"), F.sum("b").alias("b")), "sizes")
+    tasks = _tasks(sizes.df.agg(F.sum("b")).first()[0], TASK_BYTES)
+    large = C.bounded(C.stage(sizes.df.where("shares > 1").select(F.col("p").alias("cell"), "shares"), "large"))
+    shares = F.coalesce("shares", F.lit(1))
+    points = pairs.join(large, F.col("p") == F.col("cell"), "left").select("p", F.pmod(F.xxhash64("x"), shares).cast("int").alias("s"), (shares > 1).alias("spread"), F.lit(1).alias("kind"), "x")
+    pivots = sizes.df.select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), (F.col("shares") > 1).alias("spread"), F.lit(0).alias("kind"), F.col("p").alias("x"))
+    rows = points.unionByName(pivots).join(sets, F.col("x") == F.col("tag")).select("p", "s", "spread", "kind", "cls", "data")
+    return rows.repartition(tasks, "p", "s").sortWithinPartitions("p", "s", "kind", "cls")
 
 
-def lonely(members: DataFrame, percent: int) -> DataFrame:
-    """(tag): members of which more parts than a link allows belong to no other member, in each of
-    their size regions. (A set of too few parts is none.) Parts are combined where they are read, then met by bucket, as in
-    ``candidate_edges``; only counts leave the tasks."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> C.Staged:
+    """Links (a, b) that connect the points of each cell of ``pairs`` (p, x). Of cells in several shares,
+    only links to the pivot, and a row (a, p, d, linked) for each point: its distance to the pivot."""
     C.ship_by_value(__name__)
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    row = np.dtype([("k", "<u8"), ("c", "<i8"), ("r", "u1"), ("m", "u1")])
 
-    def combine(batches):
-        for batch in _slices(batches):
-            pieces = []
-            for tag, data in set(zip(batch.column("tag").to_pylist(), batch.column("data").to_pylist())):
-                s = np.frombuffer(data, "<u8")
-                for region in size_regions(len(s), percent):
-                    tokens = part_tokens(s, region, percent)
-                    piece = np.zeros(len(tokens), row)
-                    piece["k"], piece["c"], piece["r"] = tokens, tag, region
-                    pieces.append(piece)
-            if not pieces:
+    def compare(batches):
+        for (p, _, spread), held in _runs(batches, ["p", "s", "spread"], ["kind", "cls", "data"]):
+            ids, sets_ = [x[1] for x in held], [np.frombuffer(x[2], "<u8") for x in held]
+            if held[0][0] or len(held) < 2:
                 continue
-            held = np.concatenate(pieces)
-            held = held[np.argsort(held["k"], kind="stable")]
-            first = np.flatnonzero(np.r_[True, held["k"][1:] != held["k"][:-1]])
-            many = np.diff(np.r_[first, len(held)]) > 1
-            held = held[first]
-            held["m"] = many
-            bucket = (held["k"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            held, bucket = held[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([x.tobytes() for x in np.split(held, cut[1:])], pa.binary())], ["bucket", "data"])
+            if not spread:
+                trees = forest(metric_links(sets_, percent), len(ids))
+                yield _batch(FOUND, [ids[x] for x, _ in trees], [ids[r] for _, r in trees], [None] * len(trees), [None] * len(trees), [None] * len(trees))
+                continue
+            distance, linked = to_pivot(sets_[1:], sets_[0], percent)
+            yield _batch(FOUND, ids[1:], [ids[0] if x else None for x in linked], [p] * len(linked), distance, linked)
 
-    def meet(batches):
-        blobs = {}
-        for batch in _slices(batches):
-            for bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
-                blobs.setdefault(bucket, []).append(data)
-        for data in blobs.values():
-            held = np.frombuffer(b"".join(data), row)
-            held = held[np.argsort(held["k"], kind="stable")]
-            first = np.flatnonzero(np.r_[True, held["k"][1:] != held["k"][:-1]])
-            alone = held[first[(np.diff(np.r_[first, len(held)]) == 1) & (held["m"][first] == 0)]]
-            who, n = np.unique(alone[["c", "r"]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(who["c"]), pa.array(who["r"].astype(np.int32)), pa.array(n)], ["tag", "r", "own"])
-
-    packed = members.select("tag", "data").mapInArrow(combine, "bucket long, data binary")
-    own = packed.repartition(parts, "bucket").mapInArrow(meet, "tag long, r int, own long").groupBy("tag", "r").agg(F.sum("own").alias("own"))
-    n = F.shiftright(F.octet_length("data"), 3)
-    allowed = F.floor(n * (100 - percent) / percent)
-    log = F.length(F.bin(n)) - 1
-    reach = F.when((log > 0) & (n * percent < F.call_function("shiftleft", F.lit(1), log) * 100), 2).otherwise(1)
-    sizes = members.groupBy("tag").agg(F.max(allowed).alias("allowed"), F.max(reach).alias("regions"))
-    return own.join(sizes, "tag").where("own > allowed").groupBy("tag").agg(F.count("*").alias("n"), F.max("regions").alias("regions")).where("n = regions").select("tag")
-
-
-def thinned(members: DataFrame, percent: int) -> DataFrame:
-    """Members without the lonely ones, in regions of their own; the same while that helps and some
-    region is over LEAF."""
+    return C.Staged(_spread(pairs, sets).mapInArrow(compare, FOUND), "verified")
+
+
+def cell_links(pairs: DataFrame, sets: DataFrame, percent: int, deal: int = 0) -> list[DataFrame]:
+    """Tables (a, b) of links that connect the points of each cell of ``pairs`` (p, x), recursively."""
+    radius = (100 - percent) / 100
+    found = verified(pairs, sets, percent).df
+    out = [found.where("b IS NOT NULL").select("a", "b")]
+    apart = found.where("p IS NOT NULL")
+    least = apart.groupBy(F.col("p").alias("cell")).agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"), F.avg((F.col("d") > 3 * radius).cast("int")).alias("far")).where("least IS NOT NULL")
+    left = apart.join(C.bounded(C.stage(least, "least")), F.col("p") == F.col("cell")).where(~F.col("linked") | (F.col("d") >= F.col("least") - radius - SLACK))
+    left = C.stage(left.select("p", F.col("a").alias("cls"), (F.col("far") > 0.5).alias("far")).distinct(), "left")
+    if not left.limit(1).count():
+        return out
+    held = left.join(sets.withColumnRenamed("cls", "point"), F.col("cls") == F.col("point"))
+    near = held.where(~F.col("far")) if deal < DEALS else held
+    regions = near.select(F.encode(F.col("p").cast("string"), "UTF-8").alias("region"), "cls", "data")
+    out += region_links(regions, percent)
+    if deal < DEALS:
+        again = C.stage(_dealt_anew(held.where("far"), percent, deal + 1), "keys")
+        again = C.stage(drawn_pivots(again).distinct(), "pivots")
+        if again.limit(1).count():
+            out += cell_links(again, sets, percent, deal + 1)
+    return out
+
+
+def _dealt_anew(members: DataFrame, percent: int, deal: int) -> DataFrame:
+    """(tag, keys): parts of another deal that only points of the same cell share."""
     C.ship_by_value(__name__)
 
-    def keyed(batches):
+    def emit(batches):
         for batch in _slices(batches):
-            keys = [part_keys(np.frombuffer(d, "<u8"), percent).tobytes() for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(keys, pa.binary())], ["tag", "keys"])
-
-    while _largest(members) > LEAF:
-        before = members.count()
-        stay = C.Staged(members.join(lonely(members, percent), "tag", "left_anti").drop("region"), "stay")
-        regions = components(candidate_edges(stay.df.select("tag", "data").mapInArrow(keyed, "tag long, keys binary")))
-        found = stay.df.join(regions, F.col("tag") == F.col("node")).select(F.encode(F.col("root").cast("string"), "UTF-8").alias("region"), "tag", "cls", "data")
-        members = C.stage(found, "members")
-        stay.drop()
-        if members.count() > 0.9 * before:
-            break
-    return members
+            keys = []
+            for p, data in zip(batch.column("p").to_pylist(), batch.column("data").to_pylist()):
+                keys.append(mixed(part_keys(np.frombuffer(data, "<u8"), percent, deal) ^ np.uint64(p & (1 << 64) - 1)).tobytes())
+            yield _batch("tag long, keys binary", batch.column("tag"), keys)
+
+    return members.select("p", "tag", "data").mapInArrow(emit, "tag long, keys binary")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b), by alternating large and small stars.
+
+    Every round leaves an edge table in the shared folder; the rounds end when its edges are stars:
+    every node has one root, and no root has one itself. The least neighbours are combined before any
+    shuffle and staged, so that the joins with them can split the rows of a hub.
+    """
+    edges = C.Staged(edges.where("a <> b"), "edges")
+    while True:
+        e = edges.df
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = C.Staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "low")
+        large = C.Staged(both.where("b > a").join(low.df, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = C.Staged(large.df.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "low")
+        small = large.df.join(least.df, F.col("a") == F.col("u")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        new = C.Staged(small, "edges")
+        for old in (edges, low, large, least):
+            old.drop()
+        edges, roots = new, new.df.select(F.col("b").alias("root")).distinct()
+        rows, nodes = new.df.agg(F.count("*"), F.count_distinct("a")).first()
+        if rows == nodes and not new.df.join(roots, F.col("a") == F.col("root"), "left_semi").limit(1).count():
+            return new.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("root").alias("node"), "root"))
 
 
-def _pivots(members: DataFrame, sizes: dict[bytes, int], depth: int) -> dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each region of ``sizes``, about PIVOTS members drawn by hash: their elements in order, whose
-    each is, and the set sizes. At most REGIONS_A_ROUND * PIVOTS sets come to the driver."""
+def _pivots(members: DataFrame, sizes: dict[bytes, int], depth: int) -> dict[bytes, list[tuple[bytes, np.ndarray]]]:
+    """For each region of ``sizes``, about PIVOTS members (cls, set) drawn by hash. At most PIVOT_BYTES
+    come to the driver, as the caller limits the regions, and the members over their share are left out."""
     draw = F.pmod(F.xxhash64("cls", F.lit(depth)), F.lit(1 << 30))
     least = F.create_map(*[F.lit(x) for r, n in sizes.items() for x in (r.hex().upper(), min(1 << 30, (1 << 30) * 3 * PIVOTS // n))])
     drawn = members.where(draw < F.element_at(least, F.hex("region"))).groupBy("region").agg(F.slice(F.sort_array(F.collect_set(F.struct(draw.alias("draw"), "cls", "data"))), 1, PIVOTS).alias("p"))
-    out = {}
-    for row in drawn.collect():
-        sets = [np.frombuffer(x["data"], "<u8") for x in row["p"]]
-        element, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(element, kind="stable")
-        out[bytes(row["region"])] = (element[order], of[order], np.array([len(s) for s in sets]))
-    return out
+    return {bytes(row["region"]): [(bytes(x["cls"]), np.frombuffer(x["data"], "<u8")) for x in row["p"]] for row in drawn.collect()}
 
 
 def _dealt(members: DataFrame, pivots: dict, percent: int) -> DataFrame:
-    """(region, cell, cls, data): members of the pivots' regions in each cell they belong to."""
-    shared = members.sparkSession.sparkContext.broadcast(pivots)
+    """(region, cell, cls, data): members of the pivots' regions in each Voronoi region they belong to."""
+    shared = members.sparkSession.sparkContext.broadcast({r: inverted([s for _, s in p]) for r, p in pivots.items()})
     radius = (100 - percent) / 100
 
     def deal(batches):
@@ -457,8 +502,7 @@ def _dealt(members: DataFrame, pivots: dict, percent: int) -> DataFrame:
             out = []
             for r, c, d in zip(*(batch.column(k).to_pylist() for k in ("region", "cls", "data"))):
                 out += [(r, cell, c, d) for cell in cells(np.frombuffer(d, "<u8"), shared.value[r], radius)]
-            region, cell, cls, data = zip(*out) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(region, pa.binary()), pa.array(cell, pa.int32()), pa.array(cls, pa.binary()), pa.array(data, pa.binary())], ["region", "cell", "cls", "data"])
+            yield _batch("region binary, cell int, cls binary, data binary", *(list(zip(*out)) or [()] * 4))
 
     return _in_regions(members, list(pivots)).mapInArrow(deal, "region binary, cell int, cls binary, data binary")
 
@@ -468,33 +512,80 @@ def _in_regions(members: DataFrame, ids: list[bytes], inside: bool = True) -> Da
     return members.where(found if inside else ~found)
 
 
-def _blocks(members: DataFrame, region: bytes, size: int) -> DataFrame:
-    """(unit, cls, data): a region as blocks of half a leaf, each with each."""
-    g = -(-size // (LEAF // 2))
-    i = F.pmod(F.xxhash64("cls"), F.lit(g))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.concat(F.col("region"), F.encode(F.concat_ws("/", F.least(i, j).cast("string"), F.greatest(i, j).cast("string")), "UTF-8")))
-    return _in_regions(members, [region]).select(F.explode(pairs).alias("unit"), "cls", "data")
-
-
-def leaf_units(members: DataFrame, percent: int) -> DataFrame:
-    """Cuts regions over LEAF members until they fit a task: (unit, cls, data).
+def _grouped(members: DataFrame, pivots: dict, percent: int) -> DataFrame:
+    """(region, cls, data, mask): bit i says that the member is linked to the region's pivot i."""
+    shared = members.sparkSession.sparkContext.broadcast({r: inverted([s for _, s in p]) for r, p in pivots.items()})
+    schema = "region binary, cls binary, data binary, mask long"
 
-    The cells are counted first; a region is cut if that saves GAIN of the pairs to compare and copies
-    its members no more than COPIES times. Any other is dense and goes block by block instead.
+    def emit(batches):
+        for batch in _slices(batches):
+            masks = []
+            for r, d in zip(batch.column("region").to_pylist(), batch.column("data").to_pylist()):
+                s, index = np.frombuffer(d, "<u8"), shared.value[r]
+                both = shared_with(s, index)
+                masks.append(sum(1 << int(i) for i in np.flatnonzero(100 * both >= percent * (len(s) + index[2] - both))))
+            yield _batch(schema, *(batch.column(c) for c in ("region", "cls", "data")), masks)
+
+    return members.mapInArrow(emit, schema)
+
+
+def _dense(members: DataFrame, region: bytes, pivots: list[tuple[bytes, np.ndarray]], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of a region that does not shrink: links (a, b) to its pivots, and units (unit, cls, data) in which
+    all other links lie. Members linked to the same or connected pivots are one group, the ring is what
+    is linked to none; blocks of half a leaf meet unless both are of one group. The driver gets a row
+    for each pair of pivots with a common member, and each group's size."""
+    rows = C.stage(_grouped(_in_regions(members, [region]), {region: pivots}, percent), "grouped")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    scored = rows.select("cls", "data", bits.alias("bits"))
+    pairs = scored.select(F.get("bits", F.lit(0)).alias("i"), F.explode("bits").alias("j")).groupBy("i", "j").count().collect()
+    name = {x: r for x, r in forest([(r["i"], r["j"]) for r in pairs], len(pivots))}
+    label = F.array(*[F.lit(name.get(i, i)) for i in range(len(pivots))])
+    rows = scored.withColumn("group", F.when(F.size("bits") > 0, F.get(label, F.get("bits", F.lit(0)))).otherwise(-1)).drop("bits")
+    counts = {r["group"]: r["count"] for r in rows.groupBy("group").count().collect()}
+    heads = F.array(*[F.lit(c) for c, _ in pivots])
+    out = rows.where(F.col("group") >= 0).select(F.col("cls").alias("a"), F.get(heads, F.col("group")).alias("b"))
+    blocks, first = [], {}
+    for g, n in sorted(counts.items()):
+        first[g] = len(blocks)
+        blocks += [g] * -(-n // (LEAF // 2))
+    starts = F.create_map(*[F.lit(x) for g, at in first.items() for x in (g, at)])
+    lengths = F.create_map(*[F.lit(x) for g in first for x in (g, blocks.count(g))])
+    own = (F.element_at(starts, F.col("group")) + F.pmod(F.xxhash64("cls"), F.element_at(lengths, F.col("group")))).cast("int")
+    rows = rows.withColumn("own", own)
+    start, length = F.element_at(starts, F.col("group")), F.element_at(lengths, F.col("group"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(len(blocks) - 1)), lambda j: (F.col("group") < 0) | (j < start) | (j >= start + length))
+    pair = F.transform(others, lambda j: F.concat_ws("/", F.lit(region.hex()), F.least("own", j).cast("string"), F.greatest("own", j).cast("string")))
+    return out, rows.select(F.explode(pair).alias("unit"), "cls", "data").select(F.encode("unit", "UTF-8").alias("unit"), "cls", "data")
+
+
+def region_links(members: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables (a, b) of links that connect the points of each region of ``members`` (region, cls, data).
+
+    Regions over LEAF are cut until they fit a task. The Voronoi regions are counted first; a cut is taken
+    if that saves GAIN of the pairs to compare and copies its members no more than COPIES times. Any other
+    region is dense.
     """
     C.ship_by_value(__name__)
-    ready, open_, depth = [], C.stage(members.select("region", "cls", "data"), "members"), 0
+    out, open_, depth = [], C.stage(members.select("region", "cls", "data"), "members"), 0
     while True:
-        large = open_.groupBy("region").agg(F.count_distinct("cls").alias("n")).where(F.col("n") > LEAF).orderBy(F.desc("n"), "region").limit(REGIONS_A_ROUND)
-        sizes = {bytes(r["region"]): r["n"] for r in large.collect()}
+        large = open_.groupBy("region").agg(F.count_distinct("cls").alias("n"), F.avg(F.octet_length("data")).alias("b")).where(F.col("n") > LEAF).orderBy(F.desc("n"), "region").limit(256)
+        sizes, room = {}, PIVOT_BYTES
+        for r in large.collect():
+            room -= PIVOTS * r["b"]
+            if room >= 0 or not sizes:
+                sizes[bytes(r["region"])] = r["n"]
         if not sizes:
-            return _union([*ready, open_.withColumnRenamed("region", "unit")])
-        dealt = _dealt(open_, _pivots(_in_regions(open_, list(sizes)), sizes, depth), percent)
+            return [*out, linked(open_.withColumnRenamed("region", "unit"), percent)]
+        pivots = _pivots(_in_regions(open_, list(sizes)), sizes, depth)
+        dealt = _dealt(open_, pivots, percent)
         counts: dict[bytes, list[int]] = {}
         for r in dealt.groupBy("region", "cell").count().collect():
             counts.setdefault(bytes(r["region"]), []).append(r["count"])
         good = [r for r, c in counts.items() if sum(x * x for x in c) <= (1 - GAIN) * sizes[r] ** 2 and sum(c) <= COPIES * sizes[r]]
-        ready += [_blocks(open_, r, n) for r, n in sizes.items() if r not in good]
+        for r in sizes:
+            if r not in good:
+                to_pivots, units = _dense(open_, r, pivots[r], percent)
+                out += [to_pivots, linked(units, percent)]
         rest = _in_regions(open_, list(sizes), False)
         if good:
             named = F.unhex(F.md5(F.concat(F.col("region"), F.encode(F.concat_ws("/", F.lit(depth), "cell"), "UTF-8"))))
@@ -502,6 +593,22 @@ def leaf_units(members: DataFrame, percent: int) -> DataFrame:
         open_, depth = C.stage(rest, "members"), depth + 1
 
 
+def linked(units: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each unit (unit, cls, data)."""
+    C.ship_by_value(__name__)
+
+    def compare(batches):
+        for _, held in _runs(batches, ["unit"], ["cls", "data"]):
+            held = dict(held)
+            names = list(held)
+            trees = forest(links([np.frombuffer(d, "<u8") for d in held.values()], percent), len(names))
+            if trees:
+                yield _batch("a binary, b binary", [names[x] for x, _ in trees], [names[r] for _, r in trees])
+
+    tasks = _tasks(units.agg(F.sum(F.octet_length("data"))).first()[0], TASK_BYTES)
+    return units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(compare, "a binary, b binary")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
@@ -509,64 +616,62 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def linked(units: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within each unit."""
-    C.ship_by_value(__name__)
-
-    def runs(batches) -> Iterator[dict[bytes, np.ndarray]]:
-        unit, held = None, {}
-        for batch in _slices(batches):
-            for u, c, d in zip(*(batch.column(k).to_pylist() for k in ("unit", "cls", "data"))):
-                if u != unit:
-                    if len(held) > 1:
-                        yield held
-                    unit, held = u, {}
-                held[c] = np.frombuffer(d, "<u8")
-        if len(held) > 1:
-            yield held
-
-    def compare(batches):
-        a, b = [], []
-        for held in runs(batches):
-            names = list(held)
-            for x, r in forest(links(list(held.values()), percent), len(names)):
-                a.append(names[x])
-                b.append(names[r])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(compare, "a binary, b binary")
+def linked_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, mark, n_shingles, cls, group, n_equal) for every row: its set's identity, the group that links
+    connect it with (null without n-grams), and how many rows have the same set."""
+    points = C.Staged(points_of(docs, n, percent), "points")
+    pairs = C.Staged(drawn_pivots(points.df.where("n_shingles > 0")).distinct(), "pivots")
+    rows = C.stage(points.df.drop("keys"), "rows")
+    points.drop()
+    classes = C.Staged(rows.where("n_shingles > 0").groupBy("cls", "tag").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.count("*").alias("n_equal")), "classes")
+    inside = pairs.df.select("x").unionByName(pairs.df.select(F.col("p").alias("x"))).distinct()
+    wanted = C.Staged(classes.df.join(inside, F.col("tag") == F.col("x")).select(F.col("one.doc_id").alias("id"), F.col("one.mark").alias("its_mark"), "cls"), "wanted")
+    sets = C.Staged(sets_of(docs, wanted.df, n), "sets")
+    if sets.df.groupBy("cls").count().where("count > 1").limit(1).count():  # equal rows give their set as often
+        once = C.Staged(sets.df.dropDuplicates(["cls"]), "sets")
+        sets.drop()
+        sets = once
+    wanted.drop()
+    found = components(_union(cell_links(pairs.df, sets.df, percent)).distinct())
+    for old in (pairs, sets):
+        old.drop()
+    grouped = classes.df.select(F.col("cls").alias("name"), "n_equal").join(found, F.col("name") == F.col("node"), "left")
+    grouped = C.stage(grouped.select("name", F.coalesce("root", "name").alias("group"), "n_equal"), "groups")
+    classes.drop()
+    out = rows.join(grouped, F.col("cls") == F.col("name"), "left")
+    return out.select("doc_id", "mark", "n_shingles", "cls", "group", F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_equal) for every row: the smallest doc_id that links of
     similarity ``percent`` / 100 or more reach, and how many rows have the same set."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = C.Staged(classes_of(docs, n, percent), "keys")
-    regions = components(candidate_edges(keyed.df.where("n_shingles > 0")))
-    rows = C.stage(keyed.df.drop("keys"), "sets")
-    keyed.drop()
-    classes = C.stage(rows.where("n_shingles > 0").groupBy("cls", "tag").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal")), "classes")
-    members = classes.join(regions, F.col("tag") == F.col("node")).select("doc_id", "cls", F.encode(F.col("root").cast("string"), "UTF-8").alias("region"))
-    members = C.stage(member_sets(docs, C.stage(members, "regions"), n), "members")
-    units = leaf_units(thinned(members, percent), percent)
-    found = components(linked(units, percent)).withColumnRenamed("root", "group")
-    grouped = classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("group", F.coalesce("group", "cls"))
-    grouped = C.stage(grouped.select("cls", "group", "doc_id", "n_equal"), "groups")
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
-    named = grouped.join(least, "group", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"), "n_equal")
-    named = named.withColumnRenamed("cls", "name")
-    out = rows.join(named, F.col("cls") == F.col("name"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+    rows = C.stage(linked_rows(docs, n, percent), "linked")
+    # most groups are one row; only the others are looked up
+    least = rows.where("n_shingles > 0").groupBy(F.col("group").alias("g")).agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    out = rows.join(C.stage(least, "least"), F.col("group") == F.col("g"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "n_equal")
 
 
 def one_of_each(docs: DataFrame, **law) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller doc_id; of rows with one id, one stays."""
-    joined = C.stage(jaccard_join(docs, **law), "joined")
-    later = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(C.own("id"))).distinct()
-    kept = docs.join(C.bounded(later), F.col("doc_id").eqNullSafe(F.col(C.own("id"))), "left_anti")
-    twice = joined.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    """One row of ``docs`` for each group of linked rows, and every row that is linked with none.
+
+    The row with the smallest doc_id stays (a null one is the largest; between equal ids the text's hash
+    decides), one of several equal rows. Rows without n-grams are linked with nothing and all stay.
+    """
+    rows = C.stage(linked_rows(docs, **law), "linked").where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = C.stage(rows.groupBy(F.col("group").alias("g")).agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "first")
+    held = rows.join(first, F.col("group") == F.col("g")).select("doc_id", "mark", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    listed = C.stage(held.groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count("*").alias("k")).where("k > 1 OR NOT stays"), "listed")
+    ids = [F.col("doc_id").alias(C.own("id")), F.col("mark").alias(C.own("mark"))]
+    same = F.col("doc_id").eqNullSafe(F.col(C.own("id"))) & (F.xxhash64("text") == F.col(C.own("mark")))
+    out = docs.join(C.bounded(listed.select(*ids)), same, "left_anti")
+    twice = listed.where("stays").select(*ids)
+    if twice.limit(1).count():
+        equal = docs.join(C.bounded(twice), same, "left_semi").withColumn(C.own("mark"), F.xxhash64("text"))
+        out = out.unionByName(equal.dropDuplicates(["doc_id", C.own("mark")]).drop(C.own("mark")))
+    return out
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
