@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that every contract here means by "white space".
@@ -17,8 +17,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows up to which a side may be broadcast after it was counted; beyond it, the side is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side may be broadcast after it was counted; beyond them, the side is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 _roots: dict[str, SparkSession] = {}
 
@@ -86,6 +86,24 @@ def _release() -> None:
         shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, staged unless its rows come from files without a shuffle: a task that is run again then
+    numbers its rows as before."""
+    return stage(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def ranked(values: DataFrame, column: str, nulls_first: bool = False) -> DataFrame:
+    """Adds ``rank``: 0, 1, ... in the order of a column of distinct values. Ranks come from range
+    partitions and their counts, so no task sees all values."""
+    order = F.col(column).asc_nulls_first() if nulls_first else F.col(column).asc_nulls_last()
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(values.repartitionByRange(n, order).withColumn("pid", F.spark_partition_id()), "ranged")
+    ahead = ranged.groupBy("pid").agg(F.count("*").alias("c")).withColumn("ahead", F.sum("c").over(Window.orderBy("pid")) - F.col("c")).drop("c")
+    place = F.row_number().over(Window.partitionBy("pid").orderBy(order)) - 1
+    out = ranged.withColumn("place", place).join(F.broadcast(ahead), "pid")  # one row for each partition
+    return out.withColumn("rank", F.col("place") + F.col("ahead")).drop("pid", "place", "ahead")
+
+
 def own(name: str) -> str:
     """A column name that no caller's table has."""
     return f"__waymark_{name}"
@@ -95,6 +113,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to hold at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted to hold at most ``rows`` rows and, written out as
+    JSON, ``size`` bytes; else as it is. Reads ``df`` once, so that callers pass staged tables."""
+    head = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    n, total = head.agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
