@@ -5,17 +5,21 @@ pivot. Pivots drawn at random cannot cut a corpus, as unrelated texts all lie at
 and from each other; so pivots are drawn where they are near something:
 
 1. Points. Documents with equal sets are one point, whatever their number.
-2. Pivots. The universe of a size region (sizes within 3:2; a set whose window reaches below its region
+2. Pivots. The universe of a size region (sizes within 2:1; a set whose window reaches below its region
    joins the one below too) is dealt into parts by hash. Linked sets differ in at most D elements,
    hence in at most D parts; of the first D + 1 parts that either has, one is equal in both and not
    empty. The least point of those that share a part becomes a pivot, and they join its cell. Any two
    linked points so share a cell.
-3. Cells. The distance of each point to its cell's pivot is computed exactly. Points within r of it are
+3. Sketches. How many elements a set has in each of SKETCH hash classes embeds it in a space in which no
+   two sets lie further apart than they are. Points of a cell that are too far apart in that space are
+   not linked; what is connected below that distance makes a smaller cell, with its least point as the
+   pivot, and points without any such neighbour drop out before a set is shipped.
+4. Cells. The distance of each point to its cell's pivot is computed exactly. Points within r of it are
    linked to it and thus with each other; the others, the ring, can be linked only with points whose
    distance to the pivot differs by at most r (``metric_links``). What the windows leave is joined in the
    same way with a new pivot out of the ring, until it no longer shrinks; then shared elements are
    counted.
-4. Large cells are spread over tasks, each with a copy of the pivot, for the distances. What their
+5. Large cells are spread over tasks, each with a copy of the pivot, for the distances. What their
    windows leave is, where it is far from the pivot (texts that share a passage), dealt anew by other
    parts within the cell, which draws new pivots; else it is cut into Voronoi regions: a point joins the
    region of pivot p if d(p) <= d(nearest) + 2r and d(p) < CORE + r, and the far region if
@@ -49,6 +53,8 @@ from . import _common as C
 
 #: Points, and bytes of their sets, that one task compares.
 LEAF, LEAF_BYTES = 512, 32 << 20
+#: Hash classes of a sketch, and points of a cell that one task compares by sketches.
+SKETCH, SKETCH_LEAF = 128, 2048
 #: Part keys that meet in one task, and bytes of sets that one task verifies.
 TASK_KEYS, TASK_BYTES = 1 << 20, 24 << 20
 #: Rows, and bytes of texts or sets, that a worker holds at once (one row at least).
@@ -67,9 +73,7 @@ DENSE = 8
 SLACK = 1e-9
 
 #: Lower bounds of the size regions.
-BOUNDS = [1]
-while BOUNDS[-1] < 1 << 40:
-    BOUNDS.append(max(BOUNDS[-1] + 1, BOUNDS[-1] * 3 // 2))
+BOUNDS = [1 << i for i in range(48)]
 
 #: A part's key and the tag of a point: the first 64 bits of its identity. Points whose tags collide
 #: share their cells, no more.
@@ -110,9 +114,9 @@ def size_regions(n: int, percent: int) -> list[int]:
 
 
 def parts_of(region: int, percent: int) -> int:
-    """Parts of a size region: more than its sets may differ in, and as many again as chance leaves empty."""
+    """Parts of a size region: more than its sets may differ in, and more than chance leaves empty."""
     d = most_apart(BOUNDS[region + 1] - 1, percent) + 1
-    return int(d * (1 + 2 * exp(-percent / (100 - percent)))) if percent < 100 else 1
+    return int(d * (1 + 4 * exp(-percent / (100 - percent)))) + 1 if percent < 100 else 1
 
 
 def part_tokens(s: np.ndarray, region: int, percent: int, deal: int = 0) -> np.ndarray:
@@ -136,11 +140,12 @@ def part_keys(s: np.ndarray, percent: int, deal: int = 0) -> np.ndarray:
     A set with too few parts to be sure of an equal one gives all of them and single elements also: a
     pair with one such set meets in the other's parts, a pair of such sets in its elements.
     """
-    d = most_apart(len(s), percent)
-    if d == 0:
+    if most_apart(len(s), percent) == 0:
         return np.empty(0, np.uint64)
-    out = []
+    out, own = [], bisect_right(BOUNDS, len(s)) - 1
     for region in size_regions(len(s), percent):
+        # in a region below it meets smaller sets only, which differ from it in less
+        d = most_apart(len(s), percent) if region == own else len(s) * (100 - percent) // 100
         tokens = part_tokens(s, region, percent, deal)
         out.append(tokens[: d + 1])
         if len(tokens) <= d:
@@ -148,6 +153,29 @@ def part_keys(s: np.ndarray, percent: int, deal: int = 0) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """Elements in each of SKETCH hash classes, 255 at most."""
+    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def sketch_groups(sketches: np.ndarray, size: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Groups of two and more sets that chains of near sketches connect. Linked sets of sizes n and m
+    differ in at most (n + m)(100 - percent) / (100 + percent) elements, their sketches in no more."""
+    rest, out = np.arange(len(size)), []
+    while len(rest) > 1:
+        group, queue, rest = [rest[0]], [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            apart = (np.maximum(sketches[rest], sketches[x]) - np.minimum(sketches[rest], sketches[x])).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + percent) <= (size[rest] + size[x]) * (100 - percent)
+            group += rest[near].tolist()
+            queue += rest[near].tolist()
+            rest = rest[~near]
+        if len(group) > 1:
+            out.append(np.array(group))
+    return out
+
+
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """All (i, j), i < j, of sets that link, by counting shared elements. Sets with more elements of
     their own than a link allows drop out first, again and again."""
@@ -283,24 +311,25 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-POINT = "doc_id long, mark long, n_shingles long, cls binary, tag long, keys binary"
+POINT = "doc_id long, mark long, n_shingles long, cls binary, tag long, sketch binary, keys binary"
 
 
 def points_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): a hash of its text, its set's size, 128-bit
-    identity and tag, and the parts by which it draws pivots."""
+    identity, tag and sketch, and the parts by which it draws pivots."""
     C.ship_by_value(__name__)
 
     def emit(batches):
         for batch in _slices(batches):
-            sizes, ids, keys = [], [], []
+            sizes, ids, sketches, keys = [], [], [], []
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
                 s = shingle_set(text or b"", n)
                 sizes.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sketches.append(sketch_of(s))
                 keys.append(part_keys(s, percent).tobytes())
             tags = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in ids]
-            yield _batch(POINT, batch.column("doc_id"), batch.column("mark"), sizes, ids, tags, keys)
+            yield _batch(POINT, batch.column("doc_id"), batch.column("mark"), sizes, ids, tags, sketches, keys)
 
     return marked(docs).mapInArrow(emit, POINT)
 
@@ -368,6 +397,31 @@ def _runs(batches, by: list[str], columns: list[str]) -> Iterator[tuple[tuple, l
         yield tuple(key), held
 
 
+def near_cells(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(p, x): the cells of ``pairs`` (p, x), cut down to the points that near sketches connect. ``points``:
+    (tag, n_shingles, sketch). Cells over SKETCH_LEAF stay as they are."""
+    C.ship_by_value(__name__)
+    pairs = pairs.distinct()
+    sizes = C.Staged(pairs.groupBy("p").count(), "sizes")
+    large = C.stage(sizes.df.where(F.col("count") >= SKETCH_LEAF).select(F.col("p").alias("cell")), "large")
+    small = pairs.join(C.bounded(large), F.col("p") == F.col("cell"), "left_anti")
+    heads = sizes.df.where(F.col("count") < SKETCH_LEAF).select("p", F.col("p").alias("x"))
+
+    def compare(batches):
+        for _, held in _runs(batches, ["p"], ["tag", "n_shingles", "sketch"]):
+            tags, size, data = zip(*held)
+            tags = np.array(tags, np.int64)
+            for group in sketch_groups(np.frombuffer(b"".join(data), np.uint8).reshape(len(tags), -1), np.array(size, np.int64), percent):
+                own = np.unique(tags[group])
+                if len(own) > 1:
+                    yield _batch("p long, x long", np.repeat(own[0], len(own) - 1), own[1:])
+
+    rows = small.unionByName(heads).join(points, F.col("x") == F.col("tag")).select("p", "tag", "n_shingles", "sketch")
+    tasks = _tasks(sizes.df.agg(F.sum("count") + F.count("*")).first()[0], TASK_BYTES // SKETCH)
+    found = rows.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(compare, "p long, x long")
+    return found.unionByName(pairs.join(C.bounded(large), F.col("p") == F.col("cell"), "left_semi")).distinct()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(tag, cls, data): the sets of ``wanted`` (id, its_mark, cls), made again from their texts."""
     C.ship_by_value(__name__)
@@ -620,10 +674,13 @@ def linked_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, mark, n_shingles, cls, group, n_equal) for every row: its set's identity, the group that links
     connect it with (null without n-grams), and how many rows have the same set."""
     points = C.Staged(points_of(docs, n, percent), "points")
-    pairs = C.Staged(drawn_pivots(points.df.where("n_shingles > 0")).distinct(), "pivots")
-    rows = C.stage(points.df.drop("keys"), "rows")
+    drawn = C.Staged(drawn_pivots(points.df.where("n_shingles > 0")).distinct(), "pivots")
+    rows = C.stage(points.df.drop("keys", "sketch"), "rows")
+    same = points.df.where("n_shingles > 0").groupBy("cls", "tag", "n_shingles", "sketch")
+    classes = C.Staged(same.agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.count("*").alias("n_equal")), "classes")
     points.drop()
-    classes = C.Staged(rows.where("n_shingles > 0").groupBy("cls", "tag").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.count("*").alias("n_equal")), "classes")
+    pairs = C.Staged(near_cells(drawn.df, classes.df.select("tag", "n_shingles", "sketch"), percent), "cells")
+    drawn.drop()
     inside = pairs.df.select("x").unionByName(pairs.df.select(F.col("p").alias("x"))).distinct()
     wanted = C.Staged(classes.df.join(inside, F.col("tag") == F.col("x")).select(F.col("one.doc_id").alias("id"), F.col("one.mark").alias("its_mark"), "cls"), "wanted")
     sets = C.Staged(sets_of(docs, wanted.df, n), "sets")
