@@ -1,25 +1,32 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles are five words, the
-whole item where it is shorter. A window as long as an item can only be similar to it if they share a
-shingle, so windows are taken where a shared shingle puts the item's start: nothing similar is lost,
-and clean text yields no window. Each window and item has a 64-bit SimHash of its shingles, weighted
-by the roots of their characters. Fingerprints of equal window size are matched through BLOCKS = RADIUS + 1 bit
-blocks: within the radius at least one block is equal, so the index finds every fingerprint within
-it. At similarity 0.8 the expected distance is 9.7 bits with a deviation of 2.9, so a radius of 20
-leaves out less than one in a thousand such windows and none of the verbatim ones. Candidates are
-verified by exact weighted Jaccard similarity of their distinct shingles.
-
-The benchmark's shingles and fingerprints are broadcast only if counted to be few; larger ones are
-shuffled. Documents are read a second time for their windows, joined by id.
+whole item where it is shorter. A window as long as an item that shares no shingle with any item of that
+length has similarity 0 to all of them, so every window that holds a shared shingle, at whatever place
+in it, is fingerprinted, and no other: nothing similar is lost, and clean text yields no window. Each
+window and item has a 64-bit SimHash of its shingles, weighted by the roots of their characters.
+Fingerprints of equal window size are matched through BLOCKS blocks of BITS bits: of two within the
+radius, one block differs in at most NEAR = RADIUS // BLOCKS bits, so an index of each item's block values
+and all values that near to them finds every fingerprint within it. At similarity 0.8 the expected
+distance is 9.7 bits with a deviation of 2.9, so a radius of 20 leaves out less than one in a thousand
+such windows and none of the verbatim ones. The index holds ids and fingerprints only; what passes the
+distance test is verified by exact weighted Jaccard similarity of the distinct shingles.
+
+The benchmark's shingles, fingerprints and the places found are broadcast only if counted to be few in
+rows and bytes; larger ones are shuffled. Documents are read a second time for their windows, joined by id
+and a hash of the text.
 
 Defined results: null or empty texts and items have no words and match nothing; repeated rows and
-items are matched like one; documents with a null id are matched too; windows that reach over a
-document's ends are clipped; an empty table gives an empty result; other columns are ignored.
+items are matched like one; rows of one id with different texts, and those with a null id, are judged each
+by its own text; windows that reach over a document's ends are clipped; between equally similar windows
+the first counts; very long texts are searched whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +34,9 @@ from . import _common as C
 
 SHINGLE = 5
 RADIUS = 20
-BLOCKS = RADIUS + 1
-BITS = 64 // BLOCKS
+BLOCKS, BITS = 8, 8
+#: Of BLOCKS blocks that differ in RADIUS bits together, one differs in no more than this.
+NEAR = RADIUS // BLOCKS
 SIMILARITY = 0.8
 #: Matches of this in lower-cased text are words.
 TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -48,17 +56,11 @@ def _hashes(w: Column, size: int) -> Column:
     return F.when(F.size(w) >= size, there).otherwise(F.array().cast("array<bigint>"))
 
 
-def _weighted(w: Column, size: Column, longest: int = SHINGLE) -> Column:
-    """Distinct (hash, weight) of the shingles of ``size`` words, or of the whole where it is shorter."""
-
-    def one(k: int) -> Column:
-        chars = lambda i: sum((F.length(F.get(w, i + j)) for j in range(1, k)), F.length(F.get(w, i)))
-        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(_hash(w, i, k).alias("h"), chars(i).cast("long").alias("g")))
-
-    out = F.array().cast("array<struct<h:bigint,g:bigint>>")
-    for k in range(1, longest + 1):
-        out = F.when((F.least(size, F.size(w)) == k), one(k)).otherwise(out)
-    return F.array_distinct(out)
+def _weighted(w: Column, n: int) -> Column:
+    """(hash, characters) of the shingles of ``n`` words by place; none if the text is shorter."""
+    chars = lambda i: sum((F.length(F.get(w, i + j)) for j in range(1, n)), F.length(F.get(w, i)))
+    there = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(_hash(w, i, n).alias("h"), chars(i).cast("long").alias("g")))
+    return F.when(F.size(w) >= n, there).otherwise(F.array().cast("array<struct<h:bigint,g:bigint>>"))
 
 
 def simhash(shingles: Column) -> Column:
@@ -77,74 +79,106 @@ def simhash(shingles: Column) -> Column:
 
 
 def _block(value: Column, k: Column) -> Column:
-    """Block k of a fingerprint; the last one takes the bits that are left."""
-    plain = F.call_function("shiftrightunsigned", value, (k * BITS).cast("int"))
-    return F.when(k < BLOCKS - 1, plain.bitwiseAND((1 << BITS) - 1)).otherwise(plain)
+    return F.call_function("shiftrightunsigned", value, (k * BITS).cast("int")).bitwiseAND((1 << BITS) - 1)
 
 
 def _blocks(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.struct(k.alias("k"), _block(value, k).alias("v")))
 
 
+def _near_blocks(value: Column) -> Column:
+    """The blocks, and all that differ from them in at most NEAR bits."""
+    apart = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(BITS), n)]
+    masks = F.array(*[F.lit(x).cast("long") for x in apart])
+    return F.flatten(F.transform(_blocks(value), lambda b: F.transform(masks, lambda m: F.struct(b["k"].alias("k"), b["v"].bitwiseXOR(m).alias("v")))))
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, item, print): items with words, their shingles and fingerprints."""
-    rows = benchmark.select("item_id", words().alias("w")).where(F.size("w") > 0)
-    rows = rows.select("item_id", F.size("w").alias("size"), "w", F.least(F.size("w"), F.lit(SHINGLE)).alias("n")).distinct()
-    rows = rows.withColumn("item", _weighted(F.col("w"), F.col("n")))
+    """(item_id, item_size, n, w, item, print): items with words, their shingles and fingerprints."""
+    rows = benchmark.select("item_id", words().alias("w")).where(F.size("w") > 0).distinct()
+    rows = rows.withColumns({"item_size": F.size("w"), "n": F.least(F.size("w"), F.lit(SHINGLE))})
+    item = F.when(F.col("n") == 1, _weighted(F.col("w"), 1))
+    for n in range(2, SHINGLE + 1):
+        item = item.when(F.col("n") == n, _weighted(F.col("w"), n))
+    rows = rows.withColumn("item", F.array_distinct(item))
     return rows.withColumn("print", simhash(F.col("item")))
 
 
-def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, size, start): where a shared shingle puts an item-sized window."""
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]
-    rows = docs.select("doc_id", words().alias("w"))
-    found = None
-    for n in sizes:
-        at = items.where(F.col("n") == n).select("size", F.posexplode(_hashes(F.col("w"), n)).alias("j", "item_h")).distinct()
-        each = rows.select("doc_id", F.posexplode(_hashes(F.col("w"), n)).alias("i", "h"))
-        hits = each.join(C.bounded(at), F.col("h") == F.col("item_h")).select("doc_id", "size", (F.col("i") - F.col("j")).alias("start"))
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct() if found is not None else None
+def places_of(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(id, its_mark, places): the (size, start) of every item-sized window that holds a shingle of ``n``
+    words which some item of that size has. ``docs``: (doc_id, mark, w)."""
+    known = C.stage(items.where(F.col("n") == n).select("item_size", F.explode(_hashes(F.col("w"), n)).alias("item_h")).distinct(), "known")
+    each = docs.select("doc_id", "mark", F.posexplode(_hashes(F.col("w"), n)).alias("i", "h"))
+    hits = each.join(C.bounded(known), F.col("h") == F.col("item_h")).groupBy("doc_id", "mark", "item_size").agg(F.collect_set("i").alias("at"))
+    size = F.col("item_size")
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i - size + n, i))))
+    places = F.flatten(F.collect_list(F.transform(starts, lambda x: F.struct(size.alias("size"), x.alias("start")))))
+    return hits.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("its_mark")).agg(places.alias("places"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_windows): each document that holds a passage
-    similar to an item, with the best and the first of its windows (words from 0)."""
+def windows_of(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(doc_id, mark, size, start, window): the distinct shingles of each of ``places_of``."""
+    places = C.stage(places_of(docs, items, n), "places")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its_mark"))
+    rows = docs.join(C.bounded(places), same).select("doc_id", "mark", _weighted(F.col("w"), n).alias("all"), "places")
+    rows = rows.select("doc_id", "mark", "all", F.explode("places").alias("p"))
+    # windows are counted in words: the last shingle of one starts n - 1 words before its end
+    begin, end = F.greatest(F.col("p.start"), F.lit(0)), F.least(F.col("p.start") + F.col("p.size") - n + 1, F.size("all"))
+    rows = rows.where(end > begin).select("doc_id", "mark", "p.size", "p.start", F.array_distinct(F.slice("all", begin + 1, end - begin)).alias("window"))
+    return rows.withColumn("wprint", simhash(F.col("window")))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), words().alias("w"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame | None:
+    """As ``leaks``, with the texts' marks; None where no item has words."""
     if radius > RADIUS:
         raise ValueError(f"the index guarantees a radius of at most {RADIUS}")
     items = C.stage(items_of(benchmark.select("item_id", "text")), "items")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_windows long"
-    places = windows_of(docs, items)
-    if places is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    places = C.stage(places.groupBy("doc_id").agg(F.collect_set(F.struct("size", "start")).alias("places")), "places")
-    places = places.withColumnRenamed("doc_id", "id")
-    rows = docs.join(C.bounded(places), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", words().alias("w"), "places")
-    rows = rows.select("doc_id", "w", F.explode("places").alias("p")).select("doc_id", "w", F.col("p.size").alias("size"), F.col("p.start").alias("start"))
-    begin, end = F.greatest(F.col("start"), F.lit(0)), F.least(F.col("start") + F.col("size"), F.size("w"))
-    rows = rows.select("doc_id", "size", "start", F.when(end > begin, F.slice("w", begin + 1, F.greatest(end - begin, F.lit(0)))).alias("w")).where("w IS NOT NULL")
-    rows = rows.withColumn("window", _weighted(F.col("w"), F.least(F.col("size"), F.lit(SHINGLE)))).where(F.size("window") > 0).drop("w")
-    rows = C.stage(rows.withColumn("wprint", simhash(F.col("window"))), "windows")
-
-    index = items.select("item_id", F.col("size").alias("item_size"), "item", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("item_id", "item_size", "item", "print", "b.*")
-    asked = rows.select("doc_id", "size", "start", "window", "wprint", F.explode(_blocks(F.col("wprint"))).alias("a")).select("*", F.col("a.k").alias("ak"), F.col("a.v").alias("av"))
-    met = asked.join(C.bounded(index), (F.col("size") == F.col("item_size")) & (F.col("ak") == F.col("k")) & (F.col("av") == F.col("v")))
+    rows = None
+    for n in sorted(r["n"] for r in items.select("n").distinct().collect()):  # five at most
+        found = windows_of(_marked(docs), items, n)
+        rows = found if rows is None else rows.unionByName(found)
+    if rows is None:
+        return None
+    rows = C.stage(rows, "windows")
+
+    index = items.select(F.col("item_id").alias("near_id"), "item_size", "print", F.explode(_near_blocks(F.col("print"))).alias("b")).select("near_id", "item_size", "print", "b.k", "b.v")
+    asked = rows.select("*", F.explode(_blocks(F.col("wprint"))).alias("a"))
+    met = asked.join(C.bounded(C.stage(index, "index")), (F.col("size") == F.col("item_size")) & (F.col("a.k") == F.col("k")) & (F.col("a.v") == F.col("v")))
     met = met.withColumn("apart", F.col("print").bitwiseXOR(F.col("wprint"))).where(F.bit_count("apart") <= radius)
     # a pair that several blocks find is taken at the first of them
-    met = met.where(~F.exists(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: (k < F.col("ak")) & (_block(F.col("apart"), k) == 0)))
+    met = met.where(~F.exists(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: (k < F.col("k")) & (F.bit_count(_block(F.col("apart"), k)) <= NEAR)))
+    met = met.select("doc_id", "mark", "start", "window", "near_id", F.col("print").alias("near_print"))
+    exact = C.bounded(items.select("item_id", "item", "print"))
+    met = met.join(exact, F.col("near_id").eqNullSafe(F.col("item_id")) & (F.col("near_print") == F.col("print")))
     weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["g"])
     met = met.withColumn("both", weight(F.array_intersect("window", "item"))).withColumn("either", weight(F.array_union("window", "item")))
     good = met.withColumn("similarity", F.col("both") / F.col("either")).where(F.col("similarity") >= similarity)
-    return good.groupBy("doc_id", "item_id").agg(
-        F.max("similarity").alias("similarity"), F.min(F.greatest(F.col("start"), F.lit(0))).cast("long").alias("first_word"), F.count_distinct("start").alias("n_windows")
-    )
+    start = F.col("start").cast("long")
+    best = F.max(F.struct("similarity", (-start).alias("back")))
+    out = good.groupBy("doc_id", "mark", "item_id").agg(best.alias("best"), F.count_distinct("start").alias("n_windows"))
+    return out.select("doc_id", "mark", "item_id", F.col("best.similarity").alias("similarity"), F.greatest(-F.col("best.back"), F.lit(0)).alias("first_word"), "n_windows")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_windows): each document that holds a passage similar to
+    an item, with its best window, where that starts (words from 0), and how many windows are similar."""
+    found = _leaks(docs, benchmark, similarity, radius)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, n_windows long")
+    return found.drop("mark")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **law) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage."""
-    bad = C.stage(leaks(docs, benchmark, **law).select(F.col("doc_id").alias(C.own("id"))).distinct(), "leaks")
-    return docs.join(C.bounded(bad), F.col("doc_id").eqNullSafe(F.col(C.own("id"))), "left_anti")
+    found = _leaks(docs, benchmark, **law)
+    if found is None:
+        return docs
+    bad = C.stage(found.select(F.col("doc_id").alias(C.own("id")), F.col("mark").alias(C.own("mark"))).distinct(), "leaks")
+    return docs.join(C.bounded(bad), F.col("doc_id").cast("long").eqNullSafe(F.col(C.own("id"))) & (F.xxhash64("text") == F.col(C.own("mark"))), "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -153,18 +187,18 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _CUT = "CASE WHEN len({0}) = 0 THEN [] ELSE list_transform(generate_series(1, len({0}) - least({1}, len({0})) + 1), lambda i: array_to_string({0}[i : i + least({1}, len({0})) - 1], ' ')) END"
-#: The same result without fingerprints: all windows that share a shingle, compared exactly.
+#: The same result without fingerprints: all windows that hold a shared shingle, compared exactly.
 SQL = rf"""
 WITH i AS (SELECT item_id, w, len(w) AS size, least(len(w), 5) AS n FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) > 0),
 d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 ish AS (SELECT item_id, size, n, unnest(s) AS s, generate_subscripts(s, 1) AS j FROM (SELECT item_id, size, n, {_CUT.format('w', 'n')} AS s FROM i)),
 ds AS (SELECT doc_id, n, w, list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i : i + n - 1], ' ')) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
 dsh AS (SELECT doc_id, n, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM ds),
-win AS (SELECT DISTINCT doc_id, size, k - j AS start FROM dsh JOIN ish USING (n, s)),
+win AS (SELECT DISTINCT doc_id, size, unnest(generate_series(k - 1 - size + n, k - 1)) AS start FROM dsh JOIN (SELECT DISTINCT size, n, s FROM ish) USING (n, s)),
 cut AS (SELECT doc_id, size, start, w[greatest(start, 0) + 1 : least(start + size, len(w))] AS x FROM win JOIN d USING (doc_id)),
 wset AS (SELECT doc_id, size, start, list_distinct({_CUT.format('x', 'least(size, 5)')}) AS a FROM cut),
 iset AS (SELECT item_id, size, list_distinct(list(s)) AS b FROM ish GROUP BY item_id, size),
 sim AS (SELECT doc_id, item_id, start, list_sum(list_transform(list_intersect(a, b), lambda t: length(replace(t, ' ', '')))) / list_sum(list_transform(list_distinct(list_concat(a, b)), lambda t: length(replace(t, ' ', ''))))::DOUBLE AS s
         FROM wset JOIN iset USING (size))
-SELECT doc_id, item_id, max(s) AS similarity, CAST(min(greatest(start, 0)) AS BIGINT) AS first_word, count(DISTINCT start) AS n_windows FROM sim WHERE s >= 0.8 GROUP BY ALL
+SELECT doc_id, item_id, max(s) AS similarity, CAST(greatest(arg_min(start, row(-s, start)), 0) AS BIGINT) AS first_word, count(DISTINCT start) AS n_windows FROM sim WHERE s >= 0.8 GROUP BY ALL
 """
