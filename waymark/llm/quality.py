@@ -3,17 +3,20 @@
 Base rules look at one document: its words, symbols, repeated lines and repeated 3-word windows. The
 method then hashes normalised lines and counts, for each host (the documents' source), the distinct
 documents that hold a line; exact copies count as one, so that a copied document does not condemn
-itself. Lines in more than ``max_docs`` documents of a host are removed from all but the first of them
-(the smallest doc_id), and documents left with less than ``min_left`` of their words are rejected. For
-the pipeline (``keep_good``) the first of them is taken among the documents that pass the base rules,
-so that nothing is lost to the corpus; ``op7_quality`` takes it among all, as its SQL says. That limit is a number of documents, the same at any size.
-
-All per-document figures come from arrays within the row, without a shuffle: 3-word windows are
+itself. Lines in more documents of a host than its limit are removed from all but the first of them, and
+documents left with less than ``min_left`` of their words are rejected. The first is the smallest doc_id
+among those that pass the base rules, so that no line is lost to the corpus with a document that goes
+anyway. A host's limit is the part ``max_share`` of its distinct texts, ``max_docs`` at least, so that
+it means the same whatever the host's size.
+
+Texts are read once, for the per-document figures and the hash and words of each line; what follows
+works on those. The figures come from arrays within the row, without a shuffle: 3-word windows are
 compared by 64-bit hashes, sorted next to each other as packed (hash part, place) numbers.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own;
-repeated rows are judged one by one alike; an empty table gives an empty result; other columns are
-ignored.
+repeated rows are judged one by one alike, and rows of one id with different texts each by its own; a null
+id is never the first; very long texts are judged whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 SYMBOLS = "#*$%&|<>"
-#: Places within a text take 24 bits of a packed window; the hash parts take the upper 40.
+#: Places within a text take 24 bits of a packed window; the hash parts take the upper 40. Longer texts
+#: sort pairs of numbers instead.
 PLACE_BITS = 24
-MAX_DOCS = 20
+MAX_DOCS, MAX_SHARE = 20, 0.01
 MIN_LEFT = 0.2
 
 
@@ -49,8 +53,16 @@ def _met_again(packed: str) -> Column:
     return F.transform(hits, lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1))
 
 
+def _met_again_paired(windows: Column) -> Column:
+    """The same for texts of any length."""
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    # an array of one, so that the pairs are sorted once and not for every look
+    hits = F.transform(F.array(pairs), lambda a: F.filter(a, lambda x, i: ((i > 0) & (F.get(a, i - 1)["h"] == x["h"])) | ((i < F.size(a) - 1) & (F.get(a, i + 1)["h"] == x["h"]))))
+    return F.sort_array(F.transform(F.get(hits, F.lit(0)), lambda x: x["i"]))
+
+
 def base_figures(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to ``docs``."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and _lines to ``docs``."""
     text = _text()
     out = docs.withColumns({
         "_words": F.regexp_extract_all(text, F.lit(C.WORD), F.lit(0)),
@@ -65,9 +77,11 @@ def base_figures(docs: DataFrame) -> DataFrame:
     again = F.size(F.array_distinct("_windows")) < F.size("_windows")
     none = F.array().cast("array<bigint>")
     out = out.withColumn("_some", F.when(again, F.col("_windows")).otherwise(none)).drop("_windows", "_words")
-    out = out.withColumns({"_p0": _packed(F.col("_some"), 0), "_p1": _packed(F.col("_some"), 1)}).drop("_some")
+    packs = F.size("_some") <= (1 << PLACE_BITS)
+    out = out.withColumns({"_p0": F.when(packs, _packed(F.col("_some"), 0)).otherwise(none), "_p1": F.when(packs, _packed(F.col("_some"), 1)).otherwise(none)})
     # two independent 40-bit parts must agree, which leaves no chance to a false pair
-    out = out.withColumn("_at", F.sort_array(F.array_intersect(_met_again("_p0"), _met_again("_p1")))).drop("_p0", "_p1")
+    both = F.sort_array(F.array_intersect(_met_again("_p0"), _met_again("_p1")))
+    out = out.withColumn("_at", F.when(packs, both).otherwise(_met_again_paired(F.col("_some")))).drop("_p0", "_p1", "_some")
     at = F.col("_at")
     step = F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long"))))
     out = out.withColumn("n_repeat_words", F.aggregate(step, F.lit(0).cast("long"), lambda s, x: s + x)).drop("_at")
@@ -80,70 +94,60 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(plain)
 
 
-def common_lines(docs: DataFrame, max_docs: int, host: str = "source") -> DataFrame:
-    """(_host, _line, _first): lines that more than ``max_docs`` distinct texts of a host hold, and
-    the smallest id among the documents with the line."""
-    text = _text()
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(C.SPACES)) != "")
-    hashes = F.array_distinct(F.transform(lines, line_hash))
-    rows = docs.select(F.col(host).alias("_host"), F.xxhash64(text).alias("_copy"), "doc_id", F.explode(hashes).alias("_line"))
-    counts = rows.groupBy("_host", "_line").agg(F.count_distinct("_copy").alias("n"), F.min("doc_id").alias("_first"))
-    return counts.where(F.col("n") > max_docs).select("_host", "_line", "_first")
-
-
-def _kept_by_passing(each: DataFrame, keep: list[str]) -> DataFrame:
-    """Figures of the lines in ``each``, a common line staying in the smallest id that passes the base
-    rules. The keeper is sought among the few common lines alone; texts are read once."""
-    hit = F.col("_l").isNotNull()
-    held = F.collect_list(F.when(hit, F.struct(F.col("_l"), F.col("l.w").alias("w"))))
-    per = C.stage(each.groupBy("_rid", "_host", *keep).agg(F.coalesce(F.sum(F.when(~hit, F.col("l.w"))), F.lit(0)).alias("_own"), held.alias("_held")), "held")
-    lines = per.select("_rid", "_host", "doc_id", "base_failed", F.explode("_held").alias("x")).select("_rid", "_host", "doc_id", "base_failed", "x._l", "x.w")
-    first = lines.where(~F.col("base_failed")).groupBy(F.col("_host").alias("_h"), F.col("_l").alias("_k")).agg(F.min("doc_id").alias("_first"))
-    lines = lines.join(C.bounded(C.stage(first, "keepers")), F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_l") == F.col("_k")), "left")
-    lost = ~F.col("doc_id").eqNullSafe(F.col("_first"))
-    sums = lines.groupBy("_rid").agg(F.count(F.when(lost, 1)).alias("_lost"), F.sum(F.when(~lost, F.col("w"))).alias("_stay"))
-    zero = F.lit(0).cast("long")
-    return per.join(sums, "_rid", "left").select("_rid", *keep, F.coalesce("_lost", zero).alias("n_common_lines"), (F.col("_own") + F.coalesce("_stay", zero)).cast("long").alias("words_left"))
+FIGURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def _judged(docs: DataFrame, max_docs: int, min_left: float, host: str, passing: bool) -> DataFrame:
-    """One row per row of ``docs`` with base figures, n_common_lines, words_left and kept."""
-    common = C.bounded(C.stage(common_lines(docs, max_docs, host), "common"))
-    keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base_figures(docs.select("doc_id", "text", F.col(host).alias("_host"), F.monotonically_increasing_id().alias("_rid")))
+def _figured(docs: DataFrame, host: str) -> DataFrame:
+    """One staged row for each row of ``docs``: _rid, _mark (a hash of the text), _host, the figures, and _at,
+    the (hash, words) of each line that is not blank."""
+    rows = base_figures(docs.select("doc_id", "text", F.col(host).alias("_host"), F.xxhash64(_text()).alias("_mark")))
     each = F.transform("_lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(C.WORD)).alias("w")))
-    each = rows.select("_rid", "_host", *keep, F.explode_outer(each).alias("l"))
-    marked = common.withColumnsRenamed({"_host": "_h", "_line": "_l"})
-    each = each.join(marked, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("l.h") == F.col("_l")), "left")
-    if passing:
-        out = _kept_by_passing(each, keep)
-    else:
-        hit = F.col("_l").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_first"))
-        out = each.groupBy("_rid", *keep).agg(F.count(F.when(hit, 1)).alias("n_common_lines"), F.coalesce(F.sum(F.when(~hit, F.col("l.w"))), F.lit(0)).cast("long").alias("words_left"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))).drop("_rid")
-
-
-def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, host: str = "source", passing: bool = False) -> DataFrame:
+    return C.stage(rows.select(F.monotonically_increasing_id().alias("_rid"), "_mark", "_host", *FIGURES, each.alias("_at")), "figures")
+
+
+def common_lines(figured: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(_h, _l, _first): lines that more distinct texts of a host hold than its limit, and the smallest
+    id among the documents with the line that pass the base rules."""
+    limits = C.stage(figured.groupBy("_host").agg(F.greatest(F.lit(float(max_docs)), F.lit(max_share) * F.count_distinct("_mark")).alias("limit")), "limits")
+    hashes = F.array_distinct(F.transform("_at", lambda x: x["h"]))
+    rows = figured.select("_host", "_mark", F.when(~F.col("base_failed"), F.col("doc_id")).alias("passing"), F.explode(hashes).alias("_l"))
+    # one row for each text first, as hosts and lines may be hot
+    counts = rows.groupBy("_host", "_l", "_mark").agg(F.min("passing").alias("passing")).groupBy("_host", "_l").agg(F.count("*").alias("n"), F.min("passing").alias("_first"))
+    counts = counts.where(F.col("n") > max_docs).join(C.bounded(limits.withColumnRenamed("_host", "_h")), F.col("_host").eqNullSafe(F.col("_h")))
+    return C.stage(counts.where(F.col("n") > F.col("limit")).select("_h", "_l", "_first"), "common")
+
+
+def _judged(docs: DataFrame, max_docs: int, max_share: float, min_left: float, host: str) -> DataFrame:
+    """One row per row of ``docs`` with _mark, _host, the figures, n_common_lines, words_left and kept."""
+    rows = _figured(docs, host)
+    common = C.bounded(common_lines(rows, max_docs, max_share))
+    lines = rows.select("_rid", "_host", "doc_id", F.explode("_at").alias("x"))
+    lost = lines.join(common, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("x.h") == F.col("_l"))).where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+    sums = lost.groupBy(F.col("_rid").alias("_of")).agg(F.count("*").alias("_n"), F.sum("x.w").alias("_w"))
+    zero = F.lit(0).cast("long")
+    out = rows.join(sums, F.col("_rid") == F.col("_of"), "left").select("_mark", "_host", *FIGURES, F.coalesce("_n", zero).alias("n_common_lines"), (F.col("n_words") - F.coalesce("_w", zero)).alias("words_left"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words")))
+
+
+def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, host: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_common_lines, words_left, kept) for every row."""
-    return _judged(docs, max_docs, min_left, host, passing)
+    return _judged(docs, max_docs, max_share, min_left, host).drop("_mark", "_host")
 
 
-def keep_good(docs: DataFrame, **law) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, as they are."""
-    bad = judge_quality(docs, passing=True, **law).where(~F.col("kept"))
-    # the verdict depends on id, host and text alone; the figures tell repeated ids apart
-    bad = bad.select(F.col("doc_id").alias(C.own("id")), F.col("n_words").alias(C.own("n")), F.col("word_chars").alias(C.own("c"))).distinct()
-    text = _text()
-    same = F.col("doc_id").eqNullSafe(F.col(C.own("id"))) & (F.regexp_count(text, F.lit(C.WORD)) == F.col(C.own("n"))) & (F.length(F.translate(text, C.SPACES, "")) == F.col(C.own("c")))
-    return docs.join(C.bounded(C.stage(bad, "rejected")), same, "left_anti")
+def keep_good(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, as they are. The verdict follows from id, host and text."""
+    bad = _judged(docs, max_docs, max_share, min_left, host).where(~F.col("kept"))
+    bad = C.stage(bad.select(F.col("doc_id").alias(C.own("id")), F.col("_host").alias(C.own("host")), F.col("_mark").alias(C.own("mark"))).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(C.own("id"))) & F.col(host).eqNullSafe(F.col(C.own("host"))) & (F.xxhash64(_text()) == F.col(C.own("mark")))
+    return docs.join(C.bounded(bad), same, "left_anti")
 
 
-def remove_common(docs: DataFrame, max_docs: int = MAX_DOCS, host: str = "source") -> DataFrame:
+def remove_common(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, host: str = "source") -> DataFrame:
     """(doc_id, text): texts without the lines above the limit (joined back in their order)."""
-    common = C.bounded(C.stage(common_lines(docs, max_docs, host), "common")).withColumnsRenamed({"_host": "_h", "_line": "_l"})
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", F.col(host).alias("_host"), F.split(_text(), "\n", -1).alias("_all"))
-    rows = rows.select("_rid", "doc_id", "_host", F.posexplode("_all").alias("_i", "_x"))
+    common = C.bounded(common_lines(_figured(docs, host), max_docs, max_share))
+    split = docs.select("doc_id", F.col(host).alias("_host"), F.split(_text(), "\n", -1).alias("_all"))
+    rows = C.stage(split.select(F.monotonically_increasing_id().alias("_rid"), "*"), "split").select("_rid", "doc_id", "_host", F.posexplode("_all").alias("_i", "_x"))
     left = rows.join(common, F.col("_host").eqNullSafe(F.col("_h")) & (line_hash(F.col("_x")) == F.col("_l")) & (F.trim(F.col("_x"), F.lit(C.SPACES)) != ""), "left")
     kept = left.groupBy("_rid", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("_l").isNull() | F.col("doc_id").eqNullSafe(F.col("_first")), F.struct("_i", "_x")))).alias("_k"))
     return kept.select("doc_id", F.concat_ws("\n", F.col("_k._x")).alias("text"))
@@ -162,16 +166,17 @@ f AS (SELECT doc_id, source, text, w, list_filter(all_lines, lambda x: {_TRIM.fo
 win AS (SELECT doc_id, i, row(w[i], w[i + 1], w[i + 2]) AS t FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM f)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
-l AS (SELECT doc_id, source, text, unnest(lines) AS x FROM f),
-n AS (SELECT doc_id, source, text, len(regexp_extract_all(x, '{_W}')) AS c, regexp_replace(regexp_replace(lower({_TRIM.format('x')}), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS k FROM l),
-common AS (SELECT source, k, min(doc_id) AS first FROM n GROUP BY source, k HAVING count(DISTINCT text) > {MAX_DOCS}),
-left_ AS (SELECT n.doc_id, CAST(coalesce(sum(n.c) FILTER (common.k IS NULL OR n.doc_id = first), 0) AS BIGINT) AS words_left, count(*) FILTER (common.k IS NOT NULL AND n.doc_id <> first) AS n_common_lines
-          FROM n LEFT JOIN common ON n.source IS NOT DISTINCT FROM common.source AND n.k = common.k GROUP BY n.doc_id),
-b AS (SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+b AS (SELECT f.doc_id, source, text, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-             CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, coalesce(words_left, 0) AS words_left, coalesce(n_common_lines, 0) AS n_common_lines
-      FROM f LEFT JOIN cov USING (doc_id) LEFT JOIN left_ USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= {MIN_LEFT} * n_words AS kept, n_common_lines, words_left
-FROM b
+             CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(cov.n, 0) > 50 * len(w) AS base_failed
+      FROM f LEFT JOIN cov USING (doc_id)),
+l AS (SELECT doc_id, source, text, base_failed, unnest(lines) AS x FROM b),
+n AS (SELECT doc_id, source, text, base_failed, len(regexp_extract_all(x, '{_W}')) AS c, regexp_replace(regexp_replace(lower({_TRIM.format('x')}), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS k FROM l),
+hosts AS (SELECT source, greatest({MAX_DOCS}, {MAX_SHARE}::DOUBLE * count(DISTINCT text)) AS most FROM b GROUP BY source),
+held AS (SELECT source, k, count(DISTINCT text) AS texts, min(doc_id) FILTER (NOT base_failed) AS first FROM n GROUP BY source, k),
+common AS (SELECT held.source, k, first FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE texts > most),
+lost AS (SELECT n.doc_id, CAST(sum(n.c) AS BIGINT) AS w, count(*) AS n FROM n JOIN common ON n.source IS NOT DISTINCT FROM common.source AND n.k = common.k WHERE n.doc_id IS DISTINCT FROM first GROUP BY n.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - coalesce(lost.w, 0) >= {MIN_LEFT} * n_words AS kept,
+       coalesce(lost.n, 0) AS n_common_lines, n_words - coalesce(lost.w, 0) AS words_left
+FROM b LEFT JOIN lost USING (doc_id)
 """
