@@ -14,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,6 +124,224 @@ NOTICES = [
 ]
 
 
+#: Signatures that are not of the families' form: label, keyword (in every match), tier, regex over words.
+SIGNATURES = [
+    ("gpl", "gplv", NAMED, "(gnu )?gplv[0-9]+"),
+    ("gpl-1.0", "gplv1", VERSIONED, "(gnu )?gplv1( or later)?"),
+    ("gpl-2.0", "gplv2", VERSIONED, "(gnu )?gplv2( 0)?( or later| only)?"),
+    ("gpl-3.0", "gplv3", VERSIONED, "(gnu )?gplv3( 0)?( or later| only)?"),
+    ("gpl-2.0", "gpl2", VERSIONED, "(gnu )?gpl2"),
+    ("gpl-3.0", "gpl3", VERSIONED, "(gnu )?gpl3"),
+    ("gpl-2.0", "gpl", VERSIONED, "gpl 2( 0)? (only|or later|or newer|or any later version)"),
+    ("gpl-3.0", "gpl", VERSIONED, "gpl 3( 0)? (only|or later|or newer|or any later version)"),
+    ("gpl-2.0", "either version 2", VERSIONED, "general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3.0", "either version 3", VERSIONED, "general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2.0", "version 2 of the gnu", VERSIONED, "version 2 of the gnu general public license"),
+    ("gpl-3.0", "version 3 of the gnu", VERSIONED, "version 3 of the gnu general public license"),
+    ("gpl", "general public licence", NAMED, "(gnu )?general public licence"),
+    ("gpl", "gpl compatible", NAMED, "gpl compatible (free software )?licen[sc]e"),
+    ("gpl-2.0-classpath", "classpath exception", VERSIONED, "(gnu )?classpath exception"),
+    ("gpl-2.0-classpath", "gpl 2 0 with classpath", DECLARED, "gpl 2 0 with classpath exception 2 0"),
+    ("gpl-linking", "linking exception", NAMED, "(gpl )?linking exception"),
+    ("gpl-bison", "bison exception", NAMED, "bison exception"),
+    ("gpl-autoconf", "autoconf exception", NAMED, "autoconf exception"),
+    ("gpl-font", "font exception", NAMED, "(gpl )?font exception"),
+    ("gcc-exception", "gcc runtime library exception", VERSIONED, "gcc runtime library exception"),
+    ("linux-syscall-note", "linux syscall note", DECLARED, "gpl 2 0( only| or later)? with linux syscall note"),
+    ("lgpl", "lgplv", NAMED, "(gnu )?lgplv[0-9]+"),
+    ("lgpl-2.0", "lgplv2", VERSIONED, "(gnu )?lgplv2( 0)?"),
+    ("lgpl-2.1", "lgplv2", VERSIONED, "(gnu )?lgplv2 1( or later| only)?"),
+    ("lgpl-3.0", "lgplv3", VERSIONED, "(gnu )?lgplv3( 0)?( or later| only)?"),
+    ("lgpl", "lesser gpl", NAMED, "(gnu )?lesser gpl"),
+    ("lgpl", "library gpl", NAMED, "(gnu )?library gpl"),
+    ("lgpl-2.1", "version 2 1 of the", VERSIONED, "either version 2 1 of the license or at your option any later version"),
+    ("agpl", "agplv", NAMED, "(gnu )?agplv[0-9]+"),
+    ("agpl-3.0", "agplv3", VERSIONED, "(gnu )?agplv3( or later| only)?"),
+    ("agpl-3.0", "affero gpl", VERSIONED, "(gnu )?affero gpl (version |v)?3"),
+    ("agpl", "affero gpl", NAMED, "(gnu )?affero gpl"),
+    ("gfdl", "gfdl", NAMED, "(gnu )?gfdl"),
+    ("gfdl", "fdl", NAMED, "gnu fdl"),
+    ("gfdl", "no invariant sections", NAMED, "with no invariant sections( no front cover texts and no back cover texts)?"),
+    ("apache-2.0", "apache 2", VERSIONED, "apache 2( 0)?"),
+    ("apache-2.0", "apache2", VERSIONED, "apache2( 0)?( license)?"),
+    ("apache-2.0", "apachev2", VERSIONED, "apachev2( license)?"),
+    ("apache-2.0", "asl", VERSIONED, "asl (version )?2 0"),
+    ("apache-2.0", "al2", VERSIONED, "al2 0"),
+    ("apache", "licence", NAMED, "apache( software)? licence"),
+    ("apache", "apache licensed", NAMED, "apache licensed"),
+    ("apache-2.0", "apache", DECLARED, "licensed under the apache license version 2 0 the license"),
+    ("apache", "apache", NAMED, "(dual )?licensed under (the )?apache"),
+    ("apache-2.0", "llvm exception", DECLARED, "apache 2 0 with llvm exception(s)?"),
+    ("apache", "apache software foundation", NAMED, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("mit", "mit licence", NAMED, "(the )?mit licence"),
+    ("mit", "mit licensed", NAMED, "mit licensed"),
+    ("mit", "mit", NAMED, "(licensed|released|distributed|available) under (the )?mit"),
+    ("mit", "mit x11", NAMED, "(the )?mit x11( license| licence)?"),
+    ("mit", "expat licence", NAMED, "(the )?expat licence"),
+    ("mit", "license mit", DECLARED, "license mit"),
+    ("mit", "the above copyright notice and this permission notice", NAMED, "the above copyright notice and this permission notice (shall|should) be included in all copies or substantial portions of the software"),
+    ("mit", "in no event shall the authors or copyright holders", NAMED, "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", "mit 0", VERSIONED, "mit 0( license)?"),
+    ("mit-0", "mit no attribution licence", NAMED, "mit no attribution licence"),
+    ("mit-advertising", "mit with advertising", NAMED, "mit with advertising"),
+    ("mit-apache", "mit or apache", NAMED, "mit or apache( license)?( 2 0)?"),
+    ("mit-apache", "apache 2 0 or mit", NAMED, "apache 2 0 or mit( license)?"),
+    ("bsd", "licence", NAMED, "bsd( style)? licence"),
+    ("bsd", "bsd licensed", NAMED, "bsd licensed"),
+    ("bsd", "bsd like", NAMED, "bsd like licen[sc]e"),
+    ("bsd", "berkeley software distribution", NAMED, "berkeley software distribution( license)?"),
+    ("bsd", "bsd", NAMED, "(licensed|released|distributed|available) under (the )?bsd"),
+    ("bsd-1-clause", "bsd 1", VERSIONED, "bsd 1 clause( licen[sc]e)?"),
+    ("bsd-2-clause", "bsd 2", VERSIONED, "bsd 2 clause( licen[sc]e)?"),
+    ("bsd-2-clause", "bsd two", VERSIONED, "bsd two clause( licen[sc]e)?"),
+    ("bsd-2-clause", "clause bsd", VERSIONED, "(2|two) clause bsd"),
+    ("bsd-2-clause-patent", "bsd 2 clause plus patent", VERSIONED, "bsd 2 clause plus patent( license)?"),
+    ("bsd-3-clause", "bsd 3", VERSIONED, "bsd 3 clause( licen[sc]e)?"),
+    ("bsd-3-clause", "bsd three", VERSIONED, "bsd three clause( licen[sc]e)?"),
+    ("bsd-3-clause", "clause bsd", VERSIONED, "(3|three) clause bsd"),
+    ("bsd-3-clause-clear", "bsd 3 clause clear", VERSIONED, "bsd 3 clause clear( license)?"),
+    ("bsd-3-clause", "bsd3", VERSIONED, "bsd3"),
+    ("bsd-2-clause", "bsd2", VERSIONED, "bsd2"),
+    ("bsd-4-clause", "bsd 4", VERSIONED, "bsd 4 clause( licen[sc]e)?"),
+    ("bsd-4-clause", "all advertising materials", NAMED, "all advertising materials mentioning features or use of this software must display the following acknowledg(e)?ment"),
+    ("bsd", "redistributions of source code", NAMED, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form", NAMED, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "regents of the university", NAMED, "copyright( c)?( [0-9]+)* the regents of the university of california"),
+    ("bsd-protection", "bsd protection", NAMED, "bsd protection license"),
+    ("0bsd", "free public license", VERSIONED, "free public license 1 0 0"),
+    ("isc", "isc licence", NAMED, "isc licence"),
+    ("isc", "isc licensed", NAMED, "isc licensed"),
+    ("isc", "internet systems consortium", NAMED, "internet systems consortium( inc)?( license)?"),
+    ("isc", "the software is provided as is and", NAMED, "the software is provided as is and (isc|the author) disclaims all warranties"),
+    ("mpl", "mozilla public licence", NAMED, "mozilla public licence"),
+    ("mpl-1.1", "mplv1", VERSIONED, "mplv1 1"),
+    ("mpl-2.0", "mplv2", VERSIONED, "mplv2( 0)?"),
+    ("mpl-2.0", "mpl2", VERSIONED, "mpl2"),
+    ("mpl-2.0", "incompatible with secondary licenses", VERSIONED, "incompatible with secondary licenses"),
+    ("mpl", "subject to the mozilla", NAMED, "the contents of this file are subject to the mozilla public license"),
+    ("npl", "netscape public", NAMED, "netscape public license( version)?( 1 [01])?"),
+    ("epl", "eclipse public licence", NAMED, "eclipse public licence"),
+    ("epl-1.0", "eplv1", VERSIONED, "eplv1( 0)?"),
+    ("epl-2.0", "eplv2", VERSIONED, "eplv2( 0)?"),
+    ("epl", "accompanying materials", NAMED, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "cddlv1", VERSIONED, "cddlv1( [01])?"),
+    ("cpl", "cpl", VERSIONED, "cpl (version |v)?1 0"),
+    ("ipl", "ibm public", NAMED, "ibm public license( version)?( 1 0)?"),
+    ("spl", "sun public", NAMED, "sun public license( version)?( 1 0)?"),
+    ("sissl", "sun industry standards", NAMED, "sun industry standards source license"),
+    ("eupl-1.1", "euplv1", VERSIONED, "euplv1 1"),
+    ("eupl-1.2", "euplv1", VERSIONED, "euplv1 2"),
+    ("eupl", "licensed under the eupl", DECLARED, "licensed under the eupl( version| v)?( 1 [012])?( or later)?"),
+    ("artistic", "artistic licence", NAMED, "artistic licence"),
+    ("artistic-perl", "perl artistic", NAMED, "(clarified )?perl artistic license"),
+    ("artistic-clarified", "clarified artistic", NAMED, "clarified artistic license"),
+    ("bsl-1.0", "boost license", VERSIONED, "boost license( version)?( 1 0)?"),
+    ("bsl-1.0", "bsl 1 0", VERSIONED, "bsl 1 0"),
+    ("busl", "busl", VERSIONED, "busl 1 1"),
+    ("busl", "business source license", NAMED, "business source license( 1 1)? change (date|license)"),
+    ("sspl", "sspl", VERSIONED, "sspl( 1 0| v1)?"),
+    ("elastic-2.0", "elv2", VERSIONED, "elv2"),
+    ("commons-clause", "commons clause", NAMED, "commons clause( license)?( condition)?( v1 0)?"),
+    ("confluent", "confluent community", NAMED, "confluent community license( agreement)?"),
+    ("timescale", "timescale license", NAMED, "timescale license( agreement)?"),
+    ("polyform", "polyform", NAMED, "polyform (noncommercial|small business|shield|perimeter|strict|free trial|internal use)( license)?( 1 0 0)?"),
+    ("parity", "parity public", NAMED, "parity public license"),
+    ("hippocratic", "hippocratic", NAMED, "hippocratic license( [0-9] [0-9])?"),
+    ("json", "shall be used for good", VERSIONED, "the software shall be used for good not evil"),
+    ("json", "json license", NAMED, "json license"),
+    ("zlib", "zlib", NAMED, "zlib licence"),
+    ("zlib", "altered source versions", NAMED, "altered source versions must be plainly marked as such"),
+    ("zlib", "origin of this software", NAMED, "the origin of this software must not be misrepresented"),
+    ("bzip2", "bzip2 license", NAMED, "bzip2 license( 1 0 [56])?"),
+    ("libtiff", "libtiff license", NAMED, "libtiff license"),
+    ("ijg", "independent jpeg group", NAMED, "independent jpeg group( s software| license)?"),
+    ("freetype", "freetype", NAMED, "freetype (project )?license"),
+    ("imagemagick", "imagemagick license", NAMED, "imagemagick license"),
+    ("openssl", "openssl project", NAMED, "this product includes software developed by the openssl project"),
+    ("ssleay", "ssleay license", NAMED, "(original )?ssleay license"),
+    ("openldap", "openldap public", NAMED, "openldap public license( version)?( 2 [0-9])?"),
+    ("python", "python software foundation", NAMED, "python software foundation licen[sc]e( agreement)?"),
+    ("python-2.0", "psf 2", VERSIONED, "psf 2 0"),
+    ("cnri-python", "cnri", NAMED, "cnri (open source )?(license|python license)( agreement)?"),
+    ("zpl", "zope public", NAMED, "zope public license( zpl)?( version)?( [12] [01])?"),
+    ("php", "this product includes php", NAMED, "this product includes php software"),
+    ("tcl", "tcl tk license", NAMED, "tcl tk license( terms)?"),
+    ("lua", "lua license", NAMED, "lua license"),
+    ("postgresql", "postgresql global development group", NAMED, "portions copyright( c)?( [0-9]+)* postgresql global development group"),
+    ("sqlite-blessing", "may you do good", NAMED, "may you do good and not evil may you find forgiveness for yourself and forgive others"),
+    ("unicode", "unicode inc", NAMED, "unicode inc license agreement( data files and software)?"),
+    ("icu", "icu license", NAMED, "icu license( icu 1 8 1 and later)?"),
+    ("w3c", "w3c software", NAMED, "w3c software and document (notice and )?license"),
+    ("w3c", "w3c document", NAMED, "w3c document license"),
+    ("ofl-1.1", "sil ofl", VERSIONED, "sil ofl( version)?( 1 1)?"),
+    ("ofl", "reserved font name", NAMED, "with reserved font name( s)?"),
+    ("ufl", "ubuntu font", NAMED, "ubuntu font licen[sc]e( version)?( 1 0)?"),
+    ("lppl", "latex project public", NAMED, "latex project public license( version)?( 1 [0-3][abc]?)?"),
+    ("lppl", "lppl", NAMED, "lppl( version)?( 1 [0-3][abc]?)?"),
+    ("odbl", "odbl", NAMED, "odbl( v?1 0)?"),
+    ("odc-by", "odc by", NAMED, "odc by( 1 0| v1 0)?"),
+    ("cdla-permissive", "cdla permissive", VERSIONED, "cdla permissive( version)?( [12] 0)?"),
+    ("cdla-permissive", "community data license", NAMED, "community data license agreement permissive( version)?( [12] 0)?"),
+    ("cdla-sharing", "cdla sharing", VERSIONED, "cdla sharing( 1 0)?"),
+    ("cdla-sharing", "community data license", NAMED, "community data license agreement sharing( version)?( 1 0)?"),
+    ("c-uda", "computational use of data", NAMED, "computational use of data agreement"),
+    ("openrail", "openrail", NAMED, "((creative ml|bigscience|bigcode|code) )?openrail(( [a-z]){0,2})( license)?"),
+    ("rail", "bloom rail", NAMED, "(bigscience )?bloom rail( license)?( 1 0)?"),
+    ("llama", "llama", NAMED, "llama [23]( [0-9])?( community)? license( agreement)?"),
+    ("gemma", "gemma terms of use", NAMED, "gemma terms of use"),
+    ("cc0", "cc0", DECLARED, "cc0 1 0( universal)?( public domain dedication)?"),
+    ("cc0", "creative commons zero", NAMED, "creative commons zero( v?1 0)?( universal)?"),
+    ("cc0", "no rights reserved", NAMED, "no rights reserved"),
+    ("cc0", "waived all copyright", NAMED, "waived all copyright and related or neighboring rights"),
+    ("cc-by", "creative commons by", NAMED, "creative commons by"),
+    ("cc-by", "attribution 4 0 international", VERSIONED, "attribution 4 0 international"),
+    ("cc-by-sa", "creative commons by sa", NAMED, "creative commons by sa"),
+    ("cc-by-sa", "attribution sharealike", NAMED, "attribution sharealike( [1-4] [05])?( international| unported)?"),
+    ("cc-by-nc", "attribution noncommercial", NAMED, "attribution noncommercial( [1-4] [05])?( international| unported)?"),
+    ("cc-by-nd", "creative commons", NAMED, "creative commons attribution no ?deriv(ative)?s( [1-4] [05])?( license)?"),
+    ("cc-by-nd", "attribution noderivatives", NAMED, "attribution noderivatives( [1-4] [05])?( international| unported)?"),
+    ("cc-by-nc-sa", "creative commons", NAMED, "creative commons attribution non ?commercial share ?alike( [1-4] [05])?( license| international| unported)?"),
+    ("cc-by-nc-sa", "attribution noncommercial sharealike", NAMED, "attribution noncommercial sharealike( [1-4] [05])?( international| unported)?"),
+    ("cc-by-nc-nd", "creative commons", NAMED, "creative commons attribution non ?commercial no ?deriv(ative)?s( [1-4] [05])?( license| international| unported)?"),
+    ("cc-by-nc-nd", "attribution noncommercial noderivatives", NAMED, "attribution noncommercial noderivatives( [1-4] [05])?( international| unported)?"),
+    ("cc-sampling", "sampling plus", NAMED, "creative commons sampling plus( 1 0)?"),
+    ("public-domain", "in the public domain", NAMED, "(is|are|was|were) in the public domain"),
+    ("public-domain", "disclaims copyright", NAMED, "the author disclaims copyright to this source code"),
+    ("public-domain", "public domain mark", NAMED, "public domain mark( 1 0)?"),
+    ("wtfpl", "do what the fuck", NAMED, "do what the fuck you want to( public license)?"),
+    ("beerware", "beer ware", NAMED, "(the )?beer ware license( revision 42)?"),
+    ("beerware", "buy me a beer", NAMED, "you can buy me a beer in return"),
+    ("ms-pl", "ms pl", VERSIONED, "ms pl"),
+    ("ms-rl", "ms rl", VERSIONED, "ms rl"),
+    ("ms-lpl", "microsoft limited public", NAMED, "microsoft limited public license"),
+    ("apsl", "apsl", VERSIONED, "apsl( version)?( [12] [0-2])?"),
+    ("ncsa", "university of illinois", NAMED, "university of illinois open source license"),
+    ("ecl", "educational community", NAMED, "educational community license( version)?( [12] 0)?"),
+    ("afl", "afl", VERSIONED, "afl (version |v)?[123] [01]"),
+    ("osl-3.0", "osl", VERSIONED, "osl (version |v)?3 0"),
+    ("upl", "universal permissive", NAMED, "universal permissive license( upl)?( version| v)?( 1 0)?"),
+    ("cpal", "common public attribution", NAMED, "common public attribution license( version)?( 1 0)?"),
+    ("qpl", "q public license", NAMED, "q public license( version)?( 1 0)?"),
+    ("rpl", "reciprocal public", NAMED, "reciprocal public license( [0-9] [0-9])?"),
+    ("sleepycat", "sleepycat license", NAMED, "sleepycat license"),
+    ("intel", "intel open source", NAMED, "intel open source license"),
+    ("nasa", "nasa open source", NAMED, "nasa open source agreement( 1 3)?"),
+    ("cern-ohl", "cern open hardware", NAMED, "cern open hardware licen[sc]e( version)?( [12])?"),
+    ("cern-ohl", "cern ohl", NAMED, "cern ohl( [psw])?( 2 0)?"),
+    ("solderpad", "solderpad hardware", NAMED, "solderpad hardware licen[sc]e"),
+    ("tapr-ohl", "tapr open hardware", NAMED, "tapr open hardware license"),
+    ("mulan", "mulan psl", NAMED, "mulan psl( v?2)?"),
+    ("mulan", "mulan permissive", NAMED, "mulan permissive software license( v?[12])?"),
+    ("etalab", "licence ouverte", NAMED, "licence ouverte( open licence)?( etalab)?( 2 0)?"),
+    ("ogl", "contains public sector information", NAMED, "contains public sector information licensed under the open government licen[sc]e"),
+    ("ogc", "ogc software", NAMED, "ogc software (notice|license)( 1 0)?"),
+    ("proprietary", "proprietary and confidential", NAMED, "proprietary and confidential( all rights reserved)?"),
+    ("proprietary", "unauthorized copying", NAMED, "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "end user license", NAMED, "end user license agreement"),
+    ("proprietary", "eula", NAMED, "eula"),
+]
+
+
 def rules() -> list[tuple[str, int, int, str, str]]:
     """(keyword, tier, order, label, regex) of every rule, most telling first. Each regex starts at a
     space and ends before one."""
@@ -142,6 +361,7 @@ def rules() -> list[tuple[str, int, int, str, str]]:
         out.append((keyword, NAMED, label, f" {name}"))
         out.append((keyword, NAMED, label, f" (licensed|released|distributed|available) under (the )?(terms of )?(the )?{name}"))
     out += [(keyword, NAMED, label, f" {regex}") for label, keyword, regex in NOTICES]
+    out += [(keyword, tier, label, f" {regex}") for label, keyword, tier, regex in SIGNATURES]
     return [(k, tier, i, label, f"{regex}(?= )") for i, (k, tier, label, regex) in enumerate(sorted(out, key=lambda r: -r[1]))]
 
 
@@ -154,17 +374,38 @@ def _literals(regex: str) -> list[str]:
     return re.findall("[a-z0-9]+", plain)
 
 
-def _gates() -> tuple[str, ...]:
-    """Literals of which every match of a base phrase or a rule holds one."""
-    chosen: list[str] = ["licen"]
-    for needed in sorted(map(_literals, [p for p, _ in BASE] + [r[4] for r in rules()]), key=len):
-        if not any(g in w for g in chosen for w in needed):
-            chosen.append(max(needed, key=len))
-    return tuple(chosen)
+#: Words too common to pass a text on by.
+COMMON = set(
+    "agreement attribution available clause code common commons copies copying copyright creative data distributed document documents exception following form general group independent invariant "
+    "library license licensed licenses made materials notice open origin permission permissive project public return released reserved rights shall sharing software source terms that this under version versions what with".split()
+)
+
+
+def _gates() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Literals and phrases of which every match of a base phrase or a rule holds one; phrases stand for
+    rules without a telling literal."""
+    literals: list[str] = ["licen"]
+    phrases: list[str] = []
+    asked = [(_literals(p), p) for p, _ in BASE] + [(_literals(r[4]), r[0]) for r in rules()]
+    for needed, keyword in sorted(asked, key=lambda x: len(x[0])):
+        if not any(g in w for g in literals for w in needed) and keyword not in phrases:
+            telling = [w for w in needed if len(w) > 3 and w not in COMMON]
+            literals += [max(telling, key=len)] if telling else []
+            phrases += [] if telling else [keyword]
+    return tuple(literals), tuple(phrases)
 
 
-#: A text without any of these substrings (lower-cased) holds no base phrase and no signature.
-GATES = _gates()
+#: A lower-cased text without any of these substrings, and of these phrases with whatever between their
+#: words, holds no base phrase and no signature.
+GATES, PHRASES = _gates()
+
+
+def _passes(text: Column) -> Column:
+    lower = F.lower(text)
+    found = lower.rlike("(?<![0-9a-z])(?:" + "|".join(p.replace(" ", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+") for p in PHRASES) + ")") if PHRASES else F.lit(False)
+    for g in GATES:
+        found = F.contains(lower, F.lit(g)) | found
+    return found
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -186,9 +427,11 @@ def _intervals(line: Column, regex: Column) -> Column:
 def detections(lines: DataFrame) -> DataFrame:
     """(rid, label, tier): what stays of the rules' matches in (rid, line)."""
     table = rules()
-    held = F.filter(F.array(*[F.lit(k) for k in sorted({r[0] for r in table})]), lambda k: F.contains(F.col("line"), F.concat(F.lit(" "), k)))
-    # one row to start from; a literal table needs neither a file nor Python rows
-    listed = F.inline(F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("tier"), F.lit(i).alias("order"), F.lit(label).alias("label"), F.lit(x).alias("regex")) for k, t, i, label, x in table]))
+    keywords = F.from_json(F.lit(json.dumps(sorted({r[0] for r in table}))), "array<string>")
+    held = F.filter(keywords, lambda k: F.contains(F.col("line"), F.concat(F.lit(" "), k)))
+    # one row to start from; the rules are one literal, which is planned faster than a struct for each
+    literal = json.dumps([dict(zip(("keyword", "tier", "order", "label", "regex"), r)) for r in table])
+    listed = F.inline(F.from_json(F.lit(literal), "array<struct<keyword:string,tier:int,order:int,label:string,regex:string>>"))
     signatures = lines.sparkSession.range(1).select(listed)
     found = lines.select("rid", "line", F.explode(held).alias("keyword")).join(F.broadcast(signatures), "keyword")
     found = found.select("rid", "tier", "order", "label", F.inline(_intervals(F.col("line"), F.col("regex"))))
@@ -202,11 +445,8 @@ def detections(lines: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    gate = F.lower(text)
-    passed = F.lit(False)
-    for g in GATES:
-        passed = passed | F.contains(gate, F.lit(g))
-    rows = docs.select(
+    passed = _passes(text)
+    rows = C.settled(docs).select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD_COUNT)).cast("long").alias("n_words"),
         F.when(passed, F.regexp_extract_all(C.ascii_lower(text), F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("w"),
     )
