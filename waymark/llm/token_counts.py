@@ -6,11 +6,12 @@ falls into pre-tokens, each a run of spaces (or their mark U+2581) and what foll
 run, and its token count is the sum over them. Pieces are counted once per distinct pre-token, joined
 to the pre-token frequencies of each document, and summed; ids are never kept.
 
-Pre-tokens above a frequency that at most FREQUENT of them reach are joined by broadcast (the bound is
-counted); all others meet their counts by a shuffle join, as (row, pre-token, frequency).
+Pre-tokens above a frequency that at most FREQUENT of them reach, with FREQUENT_BYTES in all, are joined by
+broadcast (both are counted); all others meet their counts by a shuffle join, as (row, pre-token, frequency).
 
 Defined results: a null or empty text has 0 bytes and tokens; each row is counted by itself, repeated
-rows too; a text without spaces is one pre-token; other columns are ignored.
+rows too; a text without spaces is one pre-token, however long; ties between frequencies change nothing; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Distinct pre-tokens whose counts may be broadcast.
-FREQUENT = 1 << 19
+#: Distinct pre-tokens whose counts may be broadcast, and bytes of them.
+FREQUENT, FREQUENT_BYTES = 1 << 19, 16 << 20
 PRE_TOKEN = "[ \\u2581]+[^ \\u2581]*"
 
 
@@ -63,12 +64,13 @@ def count_pieces(words: DataFrame, model: bytes) -> DataFrame:
 
 
 def _least_frequent(vocabulary: DataFrame, most: int) -> int:
-    """The lowest power of two that at most ``most`` pre-tokens reach in frequency (64 rows to the driver)."""
-    steps = vocabulary.groupBy(F.floor(F.log2("freq")).alias("k")).count().orderBy(F.desc("k")).collect()
-    total, least = 0, 62
+    """The lowest power of two that at most ``most`` pre-tokens, and bytes within bounds, reach in
+    frequency (64 rows to the driver)."""
+    steps = vocabulary.groupBy(F.floor(F.log2("freq")).alias("k")).agg(F.count("*").alias("count"), F.sum(F.octet_length("piece")).alias("bytes")).orderBy(F.desc("k")).collect()
+    total, size, least = 0, 0, 62
     for row in steps:
-        total += row["count"]
-        if total > most:
+        total, size = total + row["count"], size + row["bytes"]
+        if total > most or size > FREQUENT_BYTES:
             break
         least = row["k"]
     return 1 << least
@@ -79,6 +81,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, frequent:
     with open(model_path, "rb") as f:
         model = f.read()
     check_model(model)
+    docs = C.settled(docs.select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(PRE_TOKEN), F.lit(0)))
     words = docs.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("freq"))
