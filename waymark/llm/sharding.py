@@ -1,7 +1,8 @@
 """K-d tree sharding: regions of the metadata space are split at distributed weighted medians.
 
 A document's point is (log size, language, source), each dimension scaled to [0, 1] over the corpus,
-and a hash of its text and id that breaks ties. Every region that is to hold more than one shard is
+and a hash of its text and id that breaks ties. Languages and sources count by their rank among the distinct
+ones. Every region that is to hold more than one shard is
 cut along its widest dimension where the bytes on its left reach their share. The cut comes from
 histograms: one aggregate per pass for all regions of a level, at most CELLS rows to the driver,
 zooming into the cell of the median until the cut is within TOLERANCE of its share or a single point
@@ -9,8 +10,9 @@ is left; heavy points are cut along the tie hash. Points are thus split whatever
 hot source, language or group of copies spreads over as many shards as its bytes ask for.
 
 Defined results: a null text has size 1 and crc 0; null languages and sources are the least values of
-their dimension; repeated rows with one id and text stay together; an empty table gives an empty
-result; other columns are ignored.
+their dimension; repeated rows with one id and text stay together, whatever shares they make uneven; very
+long texts weigh by their bytes and are never cut; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ TIE = "tie"
 CELLS = 1 << 16
 #: A cut may miss its share of a region's bytes by this part of it.
 TOLERANCE = 2e-4
-#: Each region of a level is a row of a broadcast table; this bounds it.
-MOST_SHARDS = 1 << 17
+#: Regions whose cuts are sought at once; further ones of a level take further passes.
+REGIONS_AT_ONCE = 1 << 14
 #: Rows of a shard that one task numbers.
 SLOT_ROWS = 1 << 20
 
@@ -48,20 +50,20 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _code(c: Column) -> Column:
-    """Order-preserving number of a string's first six bytes."""
-    digits = F.rpad(F.substring(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(digits, 16, 10).cast("double")
-
-
 def points(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = text_bytes(F.col("text"))
     tie = F.shiftrightunsigned(F.xxhash64(text, F.col("doc_id")), 11).cast("double") / F.lit(float(1 << 53))
-    return docs.select(
+    out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.log2(size.cast("double")).alias("x0"), _code(F.col("lang")).alias("x1"), _code(F.col("source")).alias("x2"), tie.alias(TIE),
+        F.log2(size.cast("double")).alias("x0"), F.col("lang").alias("name1"), F.col("source").alias("name2"), tie.alias(TIE),
     )
+    out = C.stage(out, "named")
+    for k in (1, 2):
+        ranks = C.ranked(out.select(F.col(f"name{k}").alias("value")).distinct(), "value", nulls_first=True)
+        ranks = C.bounded(C.stage(ranks.select("value", F.col("rank").cast("double").alias(f"x{k}")), "ranks"))
+        out = out.join(ranks, F.col(f"name{k}").eqNullSafe(F.col("value"))).drop("value")
+    return out.select("doc_id", "size", "text_crc32", *DIMENSIONS, TIE)
 
 
 def _scaled(df: DataFrame) -> DataFrame:
@@ -104,6 +106,9 @@ class _Search:
 
 def _cuts(rows: DataFrame, shares: dict[int, float]) -> list[Cut]:
     """A cut for each region in ``shares``: what part of its bytes goes left."""
+    if len(shares) > REGIONS_AT_ONCE:
+        some = list(shares)[:REGIONS_AT_ONCE]
+        return _cuts(rows, {n: shares[n] for n in some}) + _cuts(rows, {n: x for n, x in shares.items() if n not in set(some)})
     spark = rows.sparkSession
     asked = F.broadcast(spark.createDataFrame([(n,) for n in shares], "node long"))
     wide = rows.join(asked, "node").groupBy("node").agg(F.sum("size").alias("sum"), *[f(c).alias(f"{n}{c}") for c in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
@@ -132,10 +137,10 @@ def _cuts(rows: DataFrame, shares: dict[int, float]) -> list[Cut]:
 
 def assign(rows: DataFrame, shards: int) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1). A region of k shards gives k // 2 to its left."""
-    if not 1 <= shards <= MOST_SHARDS:
-        raise ValueError(f"shards must be 1 to {MOST_SHARDS}")
+    if shards < 1:
+        raise ValueError("shards must be at least 1")
     spark = rows.sparkSession
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
+    rows, before = rows.withColumn("node", F.lit(0).cast("long")), None
     open_, leaves = {0: (0, shards)}, []  # region -> its first shard, how many it holds
     while open_:
         leaves += [(n, first) for n, (first, k) in open_.items() if k == 1]
@@ -146,14 +151,18 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
             along = F.element_at(F.array(*DIMENSIONS), F.col("d"))
             left = (along < F.col("at")) | ((along == F.col("at")) & (F.col(TIE) <= F.col("upto")))
             child = 2 * F.col("node") + F.when(left, 1).otherwise(2)
-            rows = rows.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("d").isNull(), F.col("node")).otherwise(child)).drop("d", "at", "upto")
-            rows = C.stage(rows, "regions")
+            rows = rows.join(C.bounded(table), "node", "left").withColumn("node", F.when(F.col("d").isNull(), F.col("node")).otherwise(child)).drop("d", "at", "upto")
+            staged = C.Staged(rows, "regions")
+            rows = staged.df
+            if before:
+                before.drop()
+            before = staged
         open_ = {}
         for c in cuts:  # a region without a cut has no rows
             first, k = split[c.node]
             open_ |= {2 * c.node + 1: (first, k // 2), 2 * c.node + 2: (first + k // 2, k - k // 2)}
     table = spark.createDataFrame(leaves, "node long, shard int")
-    return rows.join(F.broadcast(table), "node").drop("node") if leaves else rows.withColumn("shard", F.lit(0)).drop("node")
+    return rows.join(C.bounded(table), "node").drop("node") if leaves else rows.withColumn("shard", F.lit(0)).drop("node")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
