@@ -188,7 +188,8 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: in
     sightings they give the counts, and one join by doc_id takes the lines that go out of the texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ends = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    shares = [k / batches for k in range(1, batches)]
+    ends = (docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None) or []
     batch = sum((F.coalesce(F.col("doc_id") <= end, F.lit(True)).cast("int") for end in ends), F.lit(0))
     occ = C.Staged(occurrences(docs, least).withColumn("batch", batch), "lines", partition_by="batch")
     store = RunStore(docs.sparkSession, fanout, max(1, min(MOST_BUCKETS, occ.df.count() // BUCKET_ROWS)))
