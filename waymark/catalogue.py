@@ -1,7 +1,7 @@
 """The registered queries of the engine with the SQL that defines them.
 
-Every tenth vector of ``embeddings`` is a query and the others are the database; a label stands for a
-location. A synthetic manifest says that vec_ids not divisible by five are augmented, with the
+The vectors of ``embeddings`` whose id is divisible by 100 are the queries, against all vectors but the query
+itself; a label stands for a location. A synthetic manifest says that vec_ids not divisible by five are augmented, with the
 augmentation types in turn.
 """
 
@@ -45,14 +45,13 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(queries with their ground truth, database)."""
     v = vecs(spark, sf_dir)
-    q = v.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vec", F.col("location").alias("gt_location"))
-    return q, v.where("item_id % 10 <> 0")
+    return v.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "vec", F.col("location").alias("gt_location")), v
 
 
 def results(spark: SparkSession, sf_dir: str, metric: str = "l2", k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, queries, database)."""
     q, db = sides(spark, sf_dir)
-    return knn.knn(q, db, k, metric), q, db
+    return knn.without_self(knn.knn(q, db, k + 1, metric), k), q, db
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +67,12 @@ def synthetic_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _V = "embedding::DOUBLE[]"
-_SIDES = f"""q AS (SELECT vec_id AS query_id, label AS gt_location, {_V} AS v FROM embeddings WHERE vec_id % 10 = 0),
-d AS (SELECT vec_id AS item_id, label AS location, {_V} AS v FROM embeddings WHERE vec_id % 10 <> 0)"""
+_SIDES = f"""q AS (SELECT vec_id AS query_id, label AS gt_location, {_V} AS v FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT vec_id AS item_id, label AS location, {_V} AS v FROM embeddings)"""
 _L2 = "list_sum(list_transform(generate_series(1, len({0})), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i])))"
 _L2QD = _L2.format("q.v", "d.v")
 _RESULTS = f"""{_SIDES},
-s AS (SELECT query_id, gt_location, item_id, location, {_L2QD} AS score FROM q, d),
+s AS (SELECT query_id, gt_location, item_id, location, {_L2QD} AS score FROM q, d WHERE query_id <> item_id),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS rank FROM s) WHERE rank <= {K})"""
 _HITS = f"""{_RESULTS}, h AS (SELECT *, coalesce(location = gt_location, false) AS hit FROM r)"""
 _AP = f"""{_HITS}, n AS (SELECT location, count(*) AS n FROM d GROUP BY 1),
@@ -99,7 +98,7 @@ def knn_flat_l2(spark, sf_dir):
     return results(spark, sf_dir)[0].withColumn("score", F.round("score", 6))
 
 
-@register(f"WITH {_SIDES}, s AS (SELECT query_id, item_id, list_inner_product(q.v, d.v) AS score FROM q, d) SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank, item_id, round(score, 6) AS score FROM s) WHERE rank <= {K}")
+@register(f"WITH {_SIDES}, s AS (SELECT query_id, item_id, list_inner_product(q.v, d.v) AS score FROM q, d WHERE query_id <> item_id) SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank, item_id, round(score, 6) AS score FROM s) WHERE rank <= {K}")
 def knn_flat_ip(spark, sf_dir):
     return results(spark, sf_dir, "ip")[0].withColumn("score", F.round("score", 6))
 
@@ -108,14 +107,13 @@ def knn_flat_ip(spark, sf_dir):
 def knn_expression_l2(spark, sf_dir):
     """The declarative plan of ``knn_flat_l2``."""
     q, db = sides(spark, sf_dir)
-    return knn.knn_expression(q, db, K).withColumn("score", F.round("score", 6))
+    return knn.without_self(knn.knn_expression(q, db, K + 1), K).withColumn("score", F.round("score", 6))
 
 
-@register(f"WITH {_SIDES}, s AS (SELECT query_id, item_id, {_L2QD} AS score FROM q, d WHERE location = 0) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS INT) AS rank, item_id, round(score, 6) AS score FROM s")
+@register(f"WITH {_SIDES}, s AS (SELECT query_id, item_id, {_L2QD} AS score FROM q, d) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS INT) AS rank, item_id, round(score, 6) AS score FROM s")
 def knn_k_gt_n(spark, sf_dir):
     """k beyond the database returns all of it."""
     q, db = sides(spark, sf_dir)
-    db = db.where("location = 0")
     return knn.knn(q, db, db.count() + 1).withColumn("score", F.round("score", 6))
 
 
@@ -136,14 +134,14 @@ def _ivf_sql(nprobe: int) -> str:
     return f"""WITH {_SIDES}, {_CENTRES},
 a AS (SELECT item_id, v, list_id FROM (SELECT d.item_id, d.v, c.list_id, row_number() OVER (PARTITION BY item_id ORDER BY {_L2.format('d.v', 'c.c')}, list_id) AS k FROM d, c) WHERE k = 1),
 p AS (SELECT query_id, v, list_id FROM (SELECT q.query_id, q.v, c.list_id, row_number() OVER (PARTITION BY query_id ORDER BY {_L2.format('q.v', 'c.c')}, list_id) AS k FROM q, c) WHERE k <= {nprobe}),
-s AS (SELECT query_id, item_id, {_L2.format('p.v', 'a.v')} AS score FROM p JOIN a USING (list_id))
+s AS (SELECT query_id, item_id, {_L2.format('p.v', 'a.v')} AS score FROM p JOIN a USING (list_id) WHERE query_id <> item_id)
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS INT) AS rank, item_id, round(score, 6) AS score FROM s) WHERE rank <= {K}"""
 
 
 def _ivf(spark, sf_dir, nprobe):
     q, db = sides(spark, sf_dir)
     centres = words(spark, sf_dir).withColumnRenamed("word_id", "list_id")
-    return ivf.search(q, ivf.assign_lists(db, centres), centres, K, nprobe).withColumn("score", F.round("score", 6))
+    return knn.without_self(ivf.search(q, ivf.assign_lists(db, centres), centres, K + 1, nprobe), K).withColumn("score", F.round("score", 6))
 
 
 @register(_ivf_sql(2))
@@ -160,13 +158,13 @@ def ivf_full_probe(spark, sf_dir):
 @register()
 def ivf_trained(spark, sf_dir):
     q, db = sides(spark, sf_dir)
-    return ivf.build(db, "ivf", nlist=16, nprobe=12)(q, K)  # recall of 0.9 and more, see the README
+    return knn.without_self(ivf.build(db, "ivf", nlist=16, nprobe=12)(q, K + 1), K)  # recall of 0.9 and more, see the README
 
 
 @register()
 def lsh_ann(spark, sf_dir):
     q, db = sides(spark, sf_dir)
-    return ivf.build(db, "hnsw")(q, K)
+    return knn.without_self(ivf.build(db, "hnsw")(q, K + 1), K)
 
 
 # Metrics
@@ -192,20 +190,20 @@ def eval_summary(spark, sf_dir):
     return out.select("n_queries", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@register("SELECT label AS location, count(*) AS n_relevant FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY 1")
+@register("SELECT label AS location, count(*) AS n_relevant FROM embeddings GROUP BY 1")
 def relevant_counts(spark, sf_dir):
     return metrics.relevant_counts(sides(spark, sf_dir)[1])
 
 
-_TRUTH = "CASE WHEN vec_id % 70 = 0 THEN NULL WHEN vec_id % 70 = 10 THEN -1 ELSE label END"
+_TRUTH = "CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 7 = 1 THEN -1 ELSE label END"
 
 
-@register(f"WITH d AS (SELECT label AS location, count(*) AS n_relevant FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY 1) SELECT vec_id AS query_id, location AS gt_location, n_relevant FROM (SELECT vec_id, {_TRUTH} AS g FROM embeddings WHERE vec_id % 10 = 0) JOIN d ON g = location")
+@register(f"WITH d AS (SELECT label AS location, count(*) AS n_relevant FROM embeddings GROUP BY 1) SELECT vec_id AS query_id, location AS gt_location, n_relevant FROM (SELECT vec_id, {_TRUTH} AS g FROM embeddings) JOIN d ON g = location")
 def eligible_queries(spark, sf_dir):
     """Without a ground truth, or with one that the database lacks, a query does not count."""
-    q, db = sides(spark, sf_dir)
-    q = q.withColumn("gt_location", F.when(F.col("query_id") % 70 == 0, None).when(F.col("query_id") % 70 == 10, -1).otherwise(F.col("gt_location")))
-    return metrics.eligible(q.select("query_id", "gt_location"), db)
+    db = vecs(spark, sf_dir)
+    truth = F.when(F.col("item_id") % 7 == 0, None).when(F.col("item_id") % 7 == 1, -1).otherwise(F.col("location"))
+    return metrics.eligible(db.select(F.col("item_id").alias("query_id"), truth.alias("gt_location")), db)
 
 
 @register(f"WITH {_HITS}, t AS (SELECT query_id, max(CASE WHEN hit AND rank <= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS t1, max(CASE WHEN hit AND rank <= 5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS t5 FROM h GROUP BY 1) SELECT {_KINDS}[query_id % 21 + 1] AS aug_type, count(*) AS n_queries, round(avg(t1), 6) AS top1_acc, round(avg(t5), 6) AS top5_acc FROM t GROUP BY 1")
@@ -276,9 +274,9 @@ def split_summary(spark, sf_dir):
     return split.split_summary(s.where("split = 'train'"), s.where("split = 'test'"))
 
 
-@register("SELECT vec_id AS query_id, label AS gt_location FROM embeddings WHERE vec_id % 10 = 0 ORDER BY md5('42/' || vec_id), vec_id LIMIT 20")
+@register("SELECT vec_id AS query_id, label AS gt_location FROM embeddings ORDER BY md5('42/' || vec_id), vec_id LIMIT 20")
 def query_subsample(spark, sf_dir):
-    return manifest.subsample(sides(spark, sf_dir)[0].select("query_id", "gt_location"), 20)
+    return manifest.subsample(vecs(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("location").alias("gt_location")), 20)
 
 
 @register("SELECT url AS path, CASE WHEN page_id % 3 = 0 THEN 'folder' WHEN page_id % 3 = 1 THEN 'image' ELSE 'other' END AS kind FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 4 = 0)")
@@ -347,13 +345,13 @@ def l2_normalize(spark, sf_dir):
     return vecs(spark, sf_dir).select("item_id", F.transform(vectors.l2_normalize("vec"), lambda x: F.round(x, 6)).alias("unit"), F.round(vectors.l2_norm("vec"), 6).alias("norm"))
 
 
-@register("SELECT count(*) AS vectors, max(len(embedding))::INT AS dimension, count(*) * max(len(embedding)) * 4 / 1048576.0::DOUBLE AS index_mb FROM embeddings WHERE vec_id % 10 <> 0")
+@register("SELECT count(*) AS vectors, max(len(embedding))::INT AS dimension, count(*) * max(len(embedding)) * 4 / 1048576.0::DOUBLE AS index_mb FROM embeddings")
 def index_memory(spark, sf_dir):
     return metrics.index_megabytes(sides(spark, sf_dir)[1])
 
 
 @register("""SELECT 'dinov2' AS method, 'DINOv2 ViT-S/14' AS method_display, 'ivf' AS index_type, 'ip' AS metric, count(*) AS vectors, max(len(embedding))::INT AS dimension, 'dinov2_descriptors.npy' AS descriptor_file, 'dinov2_labels.npy' AS label_file,
-'dinov2_ivf.index' AS index_file, count(*) * max(len(embedding)) * 4 / 1048576.0::DOUBLE AS serialized_index_mb, 64 AS nlist, 10 AS nprobe, NULL::INT AS hnsw_m, least(64, count(*))::INT AS adjusted_nlist, least(10, count(*))::INT AS adjusted_nprobe FROM embeddings WHERE vec_id % 10 <> 0""")
+'dinov2_ivf.index' AS index_file, count(*) * max(len(embedding)) * 4 / 1048576.0::DOUBLE AS serialized_index_mb, 64 AS nlist, 10 AS nprobe, NULL::INT AS hnsw_m, least(64, count(*))::INT AS adjusted_nlist, least(10, count(*))::INT AS adjusted_nprobe FROM embeddings""")
 def index_metadata(spark, sf_dir):
     return retrieval.index_metadata(sides(spark, sf_dir)[1], "dinov2", "ivf")
 

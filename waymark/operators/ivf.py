@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import vectors
 from waymark.operators import codebook, knn
+from waymark.operators.knn import direct
 
 INDEX_TYPES = ("flat", "ivf", "hnsw")
 
@@ -35,15 +37,21 @@ def probe(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str = "
 def search(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "l2") -> DataFrame:
     """(query_id, rank, item_id, score) among the probed lists of ``lists`` (item_id, vec, list_id).
 
-    The probed list ids, at most as many as there are centroids, become a static filter, so that a
-    table partitioned by list_id is read only where it is probed.
+    The centroids, the index's own small model, are held by the driver; the probed list ids become a static
+    filter, so that a table partitioned by list_id is read only where it is probed. Rows of a list meet
+    the queries that probe it with one matrix product for each Arrow batch, so nothing but the best k per
+    query and task is shuffled, however many rows one list holds.
     """
-    asked = probe(queries, centroids, nprobe, metric)
-    ids = [r[0] for r in asked.select("list_id").distinct().collect()]
-    asked = asked.withColumnRenamed("vec", "query_vec")
-    near = lists.where(F.col("list_id").isin(ids)).join(asked, "list_id")
-    scored = near.select("query_id", "item_id", vectors.score(metric, "query_vec", "vec").alias("score"))
-    return knn.ranked(scored, k, metric).select("query_id", "rank", "item_id", "score")
+    rows = centroids.select("list_id", "centroid").orderBy("list_id").collect()
+    ids, centres = [r["list_id"] for r in rows], np.array([r["centroid"] for r in rows], np.float64)
+
+    def probed(matrix: np.ndarray) -> dict[int, np.ndarray]:
+        sign = 1 if metric == "l2" else -1
+        scores = np.stack([sign * direct(metric, matrix, np.broadcast_to(c, matrix.shape)) for c in centres], 1)
+        best = np.argsort(scores, axis=1, kind="stable")[:, :nprobe]
+        return {x: at for n, x in enumerate(ids) if len(at := np.flatnonzero((best == n).any(1)))}
+
+    return knn.scan(queries, lists, k, metric, probed)
 
 
 def train(database: DataFrame, nlist: int, nprobe: int, metric: str = "l2", seeds=(1,)) -> tuple[DataFrame, DataFrame, int]:
