@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import pixels, registry, vectors
+from waymark.functions import features, pixels, registry, vectors
 from waymark.functions.scalars import truthy
 from waymark.operators import codebook, images, ivf, knn, manifest, metrics, near_dup, split, stats
 from waymark.plans import retrieval
@@ -264,7 +264,113 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.option("header", "true").csv(at("split/test")).count() == 2
     main(["extract", "--data", at("done"), "--models", at("models"), "--method", "orb"])
     main(["index", "--models", at("models"), "--method", "orb", "--index-type", "ivf", "--nlist", "2"])
-    main(["query", "--query", at("query"), "--models", at("models"), "--method", "orb", "--k", "2"])
+    main(["query", "--query", at("query"), "--models", at("models"), "--method", "orb", "--k", "2", "--out", at("results")])
     main(["evaluate", "--query", at("query"), "--models", at("models"), "--method", "orb", "--save", at("eval")])
-    main(["demo", "--query", at("query"), "--models", at("models"), "--method", "orb", "--index-type", "ivf", "--nprobe", "2"])
+    main(["demo", "--query", at("query"), "--models", at("models"), "--method", "orb", "--index-type", "ivf", "--nprobe", "2", "--out", at("results")])
     assert spark.read.option("header", "true").csv(at("eval")).first()["n_queries"] == "6"
+    assert spark.read.option("header", "true").csv(at("results/orb_flat_results")).count() == 12
+    assert spark.read.text(at("results/dataset_report")).where("value LIKE 'Total images: 6'").count() == 1
+    assert spark.read.text(at("results/dataset_report")).where("value LIKE 'near duplicates at 0 bits%'").count() == 6
+    main(["evaluate", "--data", at("done"), "--models", at("models"), "--method", "orb", "--max-queries", "3", "--k", "1,2", "--save", at("synthetic")])
+    made = spark.read.option("header", "true").csv(at("synthetic")).first()
+    assert made["n_queries"] == "3" and made["top2_acc"] is not None
+    with pytest.raises(SystemExit, match="dinov2"):
+        main(["query", "--query", at("query"), "--models", at("models"), "--method", "both", "--out", at("results")])
+    with pytest.raises(ValueError, match="no codebook"):
+        main(["query", "--query", at("query"), "--models", at("elsewhere"), "--method", "sift", "--out", at("results")]) if store.write_table(spark.read.parquet(at("models/orb_descriptors.npy")), at("elsewhere/sift_vlad_descriptors.npy")) is None else None
+
+
+def test_search_far_from_the_origin(spark):
+    """The matrix product rounds; no true neighbour may be lost by that."""
+    rng = np.random.default_rng(4)
+    x = 1e6 + rng.normal(size=(300, 16))
+    db = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "item_id long, vec array<double>")
+    q = spark.createDataFrame([(i, (1e6 + rng.normal(size=16)).tolist()) for i in range(20)] + [(99, None)], "query_id long, vec array<double>")
+    same_rows = lambda df: sorted((r["query_id"], r["rank"], r["item_id"]) for r in df.collect())
+    want = same_rows(knn.knn_expression(q.where("vec IS NOT NULL"), db.where("vec IS NOT NULL"), 5))
+    assert same_rows(knn.knn(q, db, 5)) == want and len(want) == 100
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_probed_lists_are_searched_whole(spark, metric):
+    rng = np.random.default_rng(5)
+    x, q, c = (rng.normal(size=(n, 4)) for n in (200, 30, 6))
+    best = lambda a, b: np.argsort(np.stack([(((v - b) ** 2).sum(1) if metric == "l2" else -(b @ v)) for v in a]), axis=1, kind="stable")
+    mine, asked = best(x, c)[:, 0], best(q, c)[:, :2]
+    frame = lambda a, i, v: spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(a)], f"{i} long, {v} array<double>")
+    centres = frame(c, "list_id", "centroid").withColumn("list_id", F.col("list_id").cast("int"))
+    found = ivf.search(frame(q, "query_id", "vec"), ivf.assign_lists(frame(x, "item_id", "vec"), centres, metric), centres, 5, 2, metric)
+    got = sorted((r["query_id"], r["rank"], r["item_id"]) for r in found.collect())
+    want = []
+    for n, v in enumerate(q):
+        rows_ = [i for i in best(v[None], x)[0] if mine[i] in asked[n]][:5]
+        want += [(n, k + 1, int(i)) for k, i in enumerate(rows_)]
+    assert got == want
+
+
+def test_crops_keep_their_corner():
+    img = np.zeros((100, 100, 3), np.uint8)
+    img[:10, :10], img[-10:, -10:] = 255, 128
+    tl, br = pixels.augmented(img, "aug_crop_tl"), pixels.augmented(img, "aug_crop_br")
+    assert tl[2, 2, 0] > 200 and tl[-3, -3, 0] < 50
+    assert br[-3, -3, 0] > 100 and br[2, 2, 0] < 50
+
+
+def test_image_queries_follow_their_formulas(spark):
+    """The registered image queries against NumPy: channel means, resized and augmented pixels, hashes."""
+    import hashlib
+
+    from waymark import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    pics = {r["image_id"]: np.frombuffer(r["rgb"], np.uint8).reshape(8, 8, 3) for r in catalogue._pictures(spark, sf).collect()}
+    for r in catalogue.QUERIES["image_stats"](spark, sf).collect():
+        img = next(v for k, v in pics.items() if k.split("/")[-1] == str(r["filename"]).split("/")[-1].split(".")[0])
+        assert (r["height"], r["width"]) == (8, 8) and abs(r["mean_r"] - img[..., 0].mean()) < 1e-6 and abs(r["brightness"] - img.mean()) < 1e-3
+    for r in catalogue.QUERIES["image_phash"](spark, sf).limit(40).collect():
+        bits = pixels.hash_bits(pixels.gray(pics[r["id"]]))
+        assert list(r["bits"]) == bits.tolist() and len(bits) == 256
+    plain = {"aug_flip": lambda x: x[:, ::-1], "aug_warm": lambda x: np.clip(x.astype(int) + [20, 0, -20], 0, 255).astype(np.uint8), "aug_cool": lambda x: np.clip(x.astype(int) + [-20, 0, 20], 0, 255).astype(np.uint8)}
+    seen = 0
+    for r in catalogue.QUERIES["image_augment"](spark, sf).collect():
+        if r["aug_type"] in plain or not r["augmented"]:
+            img = pics[r["original"]]
+            img = plain[r["aug_type"]](img) if r["augmented"] else img
+            assert r["digest"] == hashlib.sha256(np.ascontiguousarray(img).tobytes()).hexdigest()
+            seen += 1
+    assert seen == 4 * len(pics)
+
+
+def test_codebooks_are_at_rest(spark):
+    """Each word is the mean of the vectors assigned to it."""
+    from waymark import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    words = {r[0]: np.array(r[1]) for r in catalogue.QUERIES["kmeans_codebook"](spark, sf).collect()}
+    x = np.array([r["vec"] for r in catalogue.vecs(spark, sf).collect()])
+    c = np.array([words[i] for i in sorted(words)])
+    near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert len(c) == 8 and all(np.abs(x[near == k].mean(0) - c[k]).max() < 0.05 for k in range(8))
+
+
+def test_many_queries_are_read_from_the_shared_folder(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = lambda n, i: spark.createDataFrame([(f"{i}{k}", v.tolist()) for k, v in enumerate(rng.normal(size=(n, 4)))], f"{i} string, vec array<float>")
+    q, db = frame(50, "query_id"), frame(300, "item_id").repartition(3)
+    want = rows(knn.knn(q, db, 4), "query_id", "rank", "item_id", "score")
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(knn, "CHUNK", 40)
+    assert rows(knn.knn(q, db, 4), "query_id", "rank", "item_id", "score") == want and len(want) == 200
+
+
+def test_keypoints_are_found_again_in_a_turned_picture():
+    rng = np.random.default_rng(3)
+    f = features.gaussian(rng.normal(size=(160, 200)), 4)
+    img = ((f - f.min()) / (f.max() - f.min()) * 255).astype(np.uint8)
+    a, b = features.keypoint_gradients(img), features.keypoint_gradients(np.rot90(img).copy())
+    assert a.shape[1] == 128 and len(a) > 50 and np.allclose(np.linalg.norm(a, axis=1), 1, atol=1e-4)
+    assert (((a[:, None] - b[None]) ** 2).sum(2).min(1) < 0.05).mean() > 0.7
+    a, b = (np.unpackbits(features.binary_corners(x).astype(np.uint8), axis=1) for x in (img, np.rot90(img).copy()))
+    assert a.shape[1] == 256 and len(a) > 50 and ((a[:, None] != b[None]).sum(2).min(1) < 40).mean() > 0.9
+    for flat in (np.zeros((8, 8), np.uint8), np.full((64, 64), 7, np.uint8)):
+        assert features.keypoint_gradients(flat).shape == (0, 128) and features.binary_corners(flat).shape == (0, 32)

@@ -178,15 +178,15 @@ def augmented(img: np.ndarray, kind: str, seed: int = 42) -> np.ndarray:
     if kind in ("aug_rot5", "aug_rot355"):
         return rotated(img, 5 if kind == "aug_rot5" else -5)
     if kind == "aug_crop_tl":
-        return back(img[cut:, cut:])
-    if kind == "aug_crop_br":
         return back(img[: h - cut, : w - cut])
+    if kind == "aug_crop_br":
+        return back(img[cut:, cut:])
     if kind == "aug_zoom":
         return back(img[inner[0] : h - inner[0], inner[1] : w - inner[1]])
     if kind == "aug_skew_h":
-        return projected(img, [(0, h * 0.08), (w, 0), (w, h), (0, h * 0.92)])
+        return projected(img, [(0, int(h * 0.08)), (w, 0), (w, h), (0, int(h * 0.92))])
     if kind == "aug_skew_v":
-        return projected(img, [(w * 0.08, 0), (w * 0.92, 0), (w, h), (0, h)])
+        return projected(img, [(int(w * 0.08), 0), (int(w * 0.92), 0), (w, h), (0, h)])
     raise ValueError(f"unknown augmentation {kind!r}")
 
 

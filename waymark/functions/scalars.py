@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as true, and the file extensions each step takes.
+#: What counts as true, and the file extensions and types each step takes.
 TRUE_WORDS = ("1", "true", "yes", "y")
 PREPROCESS_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "tiff", "heic", "heif")
 EXTRACT_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
+IMAGE_MIME_TYPES = ("image/jpeg", "image/png", "image/bmp", "image/webp", "image/tiff", "image/heic", "image/heif")
 QUERY_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "heic", "heif")
 
 

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions import pixels
+from waymark.functions import features, pixels
 from waymark.operators.manifest import AUGMENTATIONS
 
 SCHEMA = "image_id string, location string, height int, width int, rgb binary"
@@ -25,6 +25,7 @@ MAX_BATCH = 256
 
 def _ship() -> None:
     cloudpickle.register_pickle_by_value(pixels)
+    cloudpickle.register_pickle_by_value(features)
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 

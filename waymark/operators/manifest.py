@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.scalars import EXTRACT_EXTENSIONS, QUERY_EXTENSIONS, extension_of, parent_of, shuffle_key, stem_of, truthy
+from waymark.functions.scalars import EXTRACT_EXTENSIONS, IMAGE_MIME_TYPES, QUERY_EXTENSIONS, extension_of, parent_of, shuffle_key, stem_of, truthy
 
 #: The augmentations in the order in which they are made.
 AUGMENTATIONS = (
@@ -82,13 +82,17 @@ def folder_queries(files: DataFrame, root: str, extensions=QUERY_EXTENSIONS) ->
     if there are none in sub-folders."""
     name = root.rstrip("/").rsplit("/", 1)[-1]
     rows = files.where(extension_of("path").isin(*extensions))
-    nested = rows.where(parent_of("path") != name).select("path", parent_of("path").alias("gt_location"), F.concat_ws("/", parent_of("path"), stem_of("path")).alias("query_id"))
+    above = F.element_at(F.split("path", "/"), -3)  # class folders are one level down
+    nested = rows.where((parent_of("path") != name) & (above == name)).select("path", parent_of("path").alias("gt_location"), F.concat_ws("/", parent_of("path"), stem_of("path")).alias("query_id"))
     flat = rows.where(parent_of("path") == name).select("path", F.lit(None).cast("string").alias("gt_location"), stem_of("path").alias("query_id"))
     return nested if nested.limit(1).count() else flat
 
 
-def manifest_queries(manifest: DataFrame, aug_types=SYNTHETIC_QUERIES) -> DataFrame:
-    rows = with_locations(select_synthetic(manifest, aug_types))
+def manifest_queries(manifest: DataFrame, aug_types=SYNTHETIC_QUERIES, files: DataFrame | None = None, extensions=QUERY_EXTENSIONS) -> DataFrame:
+    """Synthetic records that are image files, and exist among ``files`` if those are listed."""
+    rows = with_locations(select_synthetic(manifest, aug_types)).where(extension_of("path").isin(*extensions))
+    if files is not None:
+        rows = rows.join(files.select("path").distinct(), "path", "left_semi")
     return rows.select("path", F.col("location").alias("gt_location"), F.col("image_id").alias("query_id"))
 
 
@@ -111,7 +115,7 @@ def to_download(listing: DataFrame, existing: DataFrame) -> DataFrame:
 def classify_listing(listing: DataFrame) -> DataFrame:
     """Adds ``kind``: folder, image or other, by MIME type."""
     mime = F.col("mime_type")
-    return listing.withColumn("kind", F.when(mime.endswith("folder"), "folder").when(mime.startswith("image/"), "image").otherwise("other"))
+    return listing.withColumn("kind", F.when(mime.endswith("folder"), "folder").when(mime.isin(*IMAGE_MIME_TYPES), "image").otherwise("other"))
 
 
 def lookup_processed(ids: DataFrame, files: DataFrame, extensions=("jpg", "jpeg", "png")) -> DataFrame:
@@ -132,11 +136,11 @@ def summary(manifest: DataFrame) -> DataFrame:
 
 def batch_queries(files: DataFrame, root: str, extensions=QUERY_EXTENSIONS) -> DataFrame:
     """(path, gt_location, query_id) of every image below a folder; the parent folder is the truth
-    unless it is the folder itself or called query."""
+    unless it is the folder itself."""
     name = root.rstrip("/").rsplit("/", 1)[-1]
     parent = parent_of("path")
     rows = files.where(extension_of("path").isin(*extensions))
-    return rows.select("path", F.when(~parent.isin(name, "query", "."), parent).alias("gt_location"), stem_of("path").alias("query_id"))
+    return rows.select("path", F.when(~parent.isin(name, "."), parent).alias("gt_location"), stem_of("path").alias("query_id"))
 
 
 def collect_queries(query_files: DataFrame | None, query_root: str, manifest: DataFrame | None, files: DataFrame | None, indexed: DataFrame | None = None, aug_types=SYNTHETIC_QUERIES, most: int | None = None, seed: int = 42) -> DataFrame:
@@ -145,7 +149,7 @@ def collect_queries(query_files: DataFrame | None, query_root: str, manifest: Da
     if query_files is not None:
         found = folder_queries(query_files, query_root)
     else:
-        found = manifest_queries(manifest, aug_types) if manifest is not None else walk_queries(files, aug_types)
+        found = manifest_queries(manifest, aug_types, files) if manifest is not None else walk_queries(files, aug_types)
         if indexed is not None:
             found = found.join(indexed.select(F.col("image_id").alias("query_id")), "query_id", "left_anti").select("path", "gt_location", "query_id")
     return subsample(found, most, seed)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import registry
+from waymark.functions import features, registry
 from waymark.operators import codebook, images, ivf, knn, metrics
 from waymark.sources import images as store
 
@@ -16,31 +16,36 @@ from waymark.sources import images as store
 WORDS = {"sift": 64, "orb": 64, "anyloc": 32}
 SAMPLES = {"sift": 50, "orb": 50, "anyloc": 64}
 EVALUATED = (1, 3, 5, 10)
+KEYPOINTS = {"sift": features.keypoint_gradients, "orb": features.binary_corners}
 TOP_K = 5
 
 
-def stored_codebook(spark: SparkSession, path: str, sample: Callable[[], DataFrame], k: int, rebuild: bool = False) -> DataFrame:
-    """The stored codebook, or one fitted to ``sample()`` and stored."""
-    if rebuild or not store.exists(spark, path):
+def stored_codebook(spark: SparkSession, path: str, sample: Callable[[], DataFrame] | None, k: int, rebuild: bool = False) -> DataFrame:
+    """The stored codebook, or one fitted to ``sample()`` and stored; without ``sample`` it must be there."""
+    if sample is None and not store.exists(spark, path):
+        raise ValueError(f"no codebook at {path}: extract the database first")
+    if sample is not None and (rebuild or not store.exists(spark, path)):
         store.write_table(codebook.fit(sample(), k), path)
     return spark.read.parquet(path)
 
 
-def extract(pictures: DataFrame, key: str, root: str, features: Callable | None = None, rebuild: bool = False) -> DataFrame:
-    """(image_id, location, vec) of one method, its codebook kept below ``root``.
+def extract(pictures: DataFrame, key: str, root: str, model: Callable | None = None, rebuild: bool = False, fit: bool = True) -> DataFrame:
+    """(image_id, location, vec) of one method, its codebook kept below ``root``. Queries are encoded with
+    ``fit`` false: by the database's codebook, which must be there.
 
     "sift" and "anyloc" give VLAD, "orb" bags of words, over the local features; "dinov2" and "cnn"
-    take ``features`` as the model. Without ``features``, local methods use dense gradients.
+    take ``model`` as the model. Without ``model``, "sift" uses gradient histograms around scale-space
+    extrema and "orb" binary comparisons around corners.
     """
     m = registry.method(key)
     if m.codebook_stem is None:
-        if features is None:
+        if model is None:
             raise ValueError(f"{key} needs a model")
-        return images.encode(pictures, features)
-    if key == "anyloc" and features is None:
+        return images.encode(pictures, model)
+    if key == "anyloc" and model is None:
         raise ValueError("anyloc needs a model that gives patch tokens")
-    local = images.encode_patches(pictures, features) if key == "anyloc" else images.local_features(pictures, *([features] if features else []))
-    words = stored_codebook(pictures.sparkSession, f"{root}/{m.codebook_stem}_codebook", lambda: codebook.sample_per_image(local, SAMPLES[key]), WORDS[key], rebuild)
+    local = images.encode_patches(pictures, model) if key == "anyloc" else images.local_features(pictures, model or KEYPOINTS[key])
+    words = stored_codebook(pictures.sparkSession, f"{root}/{m.codebook_stem}_codebook", (lambda: codebook.sample_per_image(local, SAMPLES[key])) if fit else None, WORDS[key], rebuild)
     made = (codebook.bow if key == "orb" else codebook.vlad)(local, words, pictures.select("image_id"))
     return made.join(pictures.select("image_id", "location"), "image_id").select("image_id", "location", F.col("descriptor").alias("vec"))
 
