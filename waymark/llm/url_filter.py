@@ -5,7 +5,9 @@ the rule's path. The most specific host wins, then the longest path; block wins
 same entry. URLs without any fitting rule get ``default``.
 
 Defined results: a null URL or one without ``://`` has empty host and path and gets the default; an
-empty table gives an empty result; repeated rows are judged one by one; other columns are ignored.
+empty table gives an empty result; repeated rows are judged one by one; rules that repeat an entry count
+once, those that contradict each other block; very long urls are matched whole; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -112,10 +114,15 @@ def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) for every row.
 
-    ``rules`` is a list of (action, host, path), or a DataFrame (action, rule_host, rule_path) of any
-    size, which is always joined. A list is broadcast as a trie while that is under MAX_TRIE_BYTES.
+    ``rules`` is a list of (action, host, path), or a DataFrame (action, rule_host, rule_path) of any size.
+    They are broadcast as a trie while that is under MAX_TRIE_BYTES, a DataFrame once its texts are counted
+    to be a sixteenth of that at most; larger sets are joined.
     """
     pages = with_host_path(pages.select(id_col, url), url)
+    if isinstance(rules, DataFrame):
+        size = rules.agg(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + 16)).first()[0] or 0
+        if size <= MAX_TRIE_BYTES // 16:
+            rules = [tuple(r) for r in rules.select("action", "rule_host", "rule_path").collect()]
     if isinstance(rules, list):
         trie = UrlTrie(rules)
         if len(pickle.dumps(trie)) <= MAX_TRIE_BYTES:
