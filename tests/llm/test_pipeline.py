@@ -5,7 +5,9 @@ import random
 import re
 
 import corpus_pipeline
-from waymark.llm import quality
+from pyspark.sql import functions as F
+
+from waymark.llm import _common, quality
 
 
 def lower(t):
@@ -79,3 +81,29 @@ def test_stages_take_an_empty_corpus(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert quality.MAX_DOCS > 1
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"{rng.choice('abcdefg')}{rng.randint(0, 999_999)}" for _ in range(n))
+    a, b, c, d, leak, other, longest, item = text(80), text(90), text(70), text(100), text(60), text(60), text(60_000), text(30)
+    table = [(None, a, None, None, None), (7, b, "en", "s", 1), (7, c, "en", "s", 1), (8, b, "en", "s", 1), (9, None, "en", "s", 1), (10, "", None, None, 1), (None, None, None, None, None), (11, d, "de", None, 0), (11, d, "de", None, 0), (12, longest, "en", "s", 1), (13, f"{leak} {item}", "en", "s", 1), (7, f"{item} {other}", "en", "t", 1)]
+    clash = ["mark", "kept", "node", "size", "key", "s", "epochs", "edge", "last", "id", "group", "copies", "value"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(table, schema).withColumns({x: F.lit(x) for x in clash})
+    spark.createDataFrame([(1, item), (2, None), (None, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = _common.stage(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *clash]
+        left.append(collections.Counter((r["doc_id"], r["text"]) for r in docs.collect()))
+    kept = [(None, a), (7, b), (7, c), (11, d), (12, longest)]
+    leaks = [(13, f"{leak} {item}"), (7, f"{item} {other}")]
+    assert left[0] == collections.Counter([*kept, *leaks, (8, b), (11, d)])
+    assert left[1] == collections.Counter([*kept, *leaks]) and left[2] == collections.Counter(kept)
+    mixed = _common.stage(corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)), "t")
+    assert mixed.columns == docs.columns
+    taken = collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    assert set(taken) <= set(kept) and max(taken.values()) <= 2 and taken == collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect())
+    out = corpus_pipeline.STAGES[4][1](spark, mixed, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for (i, _), n in taken.items() for _ in range(n))

@@ -2,6 +2,7 @@
 columns, against brute force where SQL does not say."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -40,6 +41,13 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.createDataFrame([(i, "x" * 100, bytes(9)) for i in range(20)], "i long, t string, b binary")
+    assert hinted(_common.bounded(df)) and not hinted(_common.bounded(df, rows=19)) and not hinted(_common.bounded(df, size=2000))
+    assert hinted(_common.bounded(df.limit(0)))
+
+
 # URL filter
 
 
@@ -90,6 +98,33 @@ def test_shards_are_even_whatever_is_hot(spark, shards):
     assert len(out) == shards and max(out) <= 1.02 * min(out) + 200
 
 
+@pytest.mark.parametrize("shards", [2, 7])
+def test_shards_are_the_leaves_of_a_kd_tree(spark, monkeypatch, shards):
+    """Against a brute-force tree, with cuts at the nearest point and not within a tolerance of it."""
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "REGIONS_AT_ONCE", 2)
+    rng = random.Random(shards)
+    names = ["averylongsource/a", "averylongsource/b", "averylongsource/c", None, "z"]
+    table = [(i, "x" * rng.choice([0, 5, 40, 40, rng.randint(1, 900)]), rng.choice(["de", "en", "en", None]), rng.choice(names)) for i in range(300)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    points = _common.stage(sharding._scaled(_common.stage(sharding.points(df), "p")), "q")
+
+    def leaves(rows_, k, first):
+        if k == 1 or not rows_:
+            return {r["doc_id"]: first for r in rows_}
+        along = max(sharding.DIMENSIONS, key=lambda c: max(r[c] for r in rows_) - min(r[c] for r in rows_))
+        rows_ = sorted(rows_, key=lambda r: (r[along], r["tie"]))
+        wanted, upto, at = (k // 2) / k * sum(r["size"] for r in rows_), 0, 0
+        while upto + rows_[at]["size"] < wanted:
+            upto, at = upto + rows_[at]["size"], at + 1
+        at += abs(upto + rows_[at]["size"] - wanted) < abs(upto - wanted)
+        return leaves(rows_[:at], k // 2, first) | leaves(rows_[at:], k - k // 2, first + k // 2)
+
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign(points, shards).collect()}
+    assert got == leaves(points.collect(), shards, 0)
+    assert len({r["x2"] for r in points.collect()}) == len(names)
+
+
 def test_target_bytes(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 99).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     sizes = [r[1] for r in sharding.shard_documents(df, target_bytes=9_000).groupBy("shard").agg(F.sum("size")).collect()]
@@ -126,13 +161,19 @@ def test_line_dedup(spark, docs):
 
 
 def test_runs_are_levelled(spark):
-    store = line_dedup.RunStore(spark, fanout=2)
-    df = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), (F.col("id") % 10).alias("h1"), F.lit(0).cast("long").alias("h2"))
-    for k in range(5):
-        store.add(df(10 * k, 10 * k + 10))
+    store = line_dedup.RunStore(spark, fanout=2, buckets=3)
+    df = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), (F.col("id") % 20).alias("h1"), F.lit(0).cast("long").alias("h2"))
+    for k in range(5):  # each batch has ten lines; from the third on they come back
+        again = store.admit(store.batch(df(10 * k, 10 * k + 10)))
+        assert again.count() == (0 if k < 2 else 10)
     assert [len(x) for x in store.levels] == [1, 0, 1]
-    assert rows(store.compact()) == [(i, 0, 5, 40 + i) for i in range(10)]
-    assert rows(store.unseen(df(7, 13).withColumn("h1", F.col("doc_id")))) == [(10, 0, 10), (11, 0, 11), (12, 0, 12)]
+    assert sum(r.df.count() for r in store.runs) == 20
+    batch = store.batch(df(7, 23).withColumn("h1", F.col("doc_id")))
+    plan = store.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert sorted(r["keeper"] for r in store.unseen(batch).collect()) == [20, 21, 22]
+    assert rows(store.compact()) == sorted(((i, 0, 1, i) for i in range(20)), key=repr)
+    store.drop()
 
 
 def test_first_seen(spark):
@@ -213,13 +254,49 @@ def test_warc_pushes_filters():
 
 def test_rejected_payloads_stay_compressed(tmp_path):
     row = {"record_type": "response", "page_id": 1, "refers_to": None, "target_uri": "u", "payload_digest": "d", "payload_bytes": 4, "payload": b"body"}
-    good = warc.member_of(warc.record_of(row))
-    broken = bytearray(warc.member_of(warc.record_of(row | {"payload": bytes(range(256)) * 4000})))
-    broken[-400:-8] = b"\0" * 392  # its payload cannot be inflated any more
+    date = "2024-01-02T03:04:05Z"
+    good = warc.member_of(warc.record_of(row, date))
+    broken = bytearray(warc.member_of(warc.record_of(row | {"page_id": 2, "payload": random.Random(1).randbytes(400_000)}, date)))
+    broken[-4000:-8] = b"\0" * 3992  # its payload cannot be inflated any more
     (tmp_path / "a").write_bytes(bytes(broken) + good)
     with open(tmp_path / "a", "rb") as f:
-        found = [(warc.fields_of(h)["page_id"], b) for h, b in warc.members(f)]
-    assert len(found) == 2 and found[1][1]() == b"body"
+        found = list(warc.walk(f, 0, len(broken) + len(good), lambda x: x["page_id"] == 1))
+    assert [(x["page_id"], x["record_date"], b and warc.payload_of(x, b)) for x, b in found] == [(2, date, None), (1, date, b"body")]
+
+
+def test_appends_stay_and_overwriting_replaces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 300)  # several places to begin in each file
+    pages = lambda a, b: spark.range(a, b, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    path = f"file://{tmp_path}/w"
+    warc.write_archive(warc.records(pages(0, 9)), path)
+    warc.write_archive(warc.records(pages(9, 12)), path)
+    back = warc.read_archive(spark, path)
+    assert back.rdd.getNumPartitions() > 3
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in back.collect()) == sorted((i, f"page {i}") for i in range(12))
+    ids = [r["record_id"] for r in back.collect()]
+    assert len(set(ids)) == 12 and all(re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", x) for x in ids)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["record_date"]) for r in back.collect())
+    warc.write_archive(warc.records(pages(20, 22)), path, overwrite=True, date="2024-01-02T03:04:05Z")
+    assert sorted((r["page_id"], r["record_date"][:4]) for r in warc.read_archive(spark, path).collect()) == [(20, "2024"), (21, "2024")]
+
+
+def test_standard_archives_are_read(spark, tmp_path):
+    """Archives of other writers: per-record gzip without our field, one gzip file of all records, and plain."""
+    def record(kind, block, more=""):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:x:{kind}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"body\r\n\r\nof it" + b"x" * 100_000
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    records = [record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields\r\n"), record("response", http, "WARC-Target-URI:\r\n http://a/\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Type: application/http; msgtype=response\r\n"), record("metadata", b"")]
+    for name, data in (("a.warc.gz", b"".join(map(gzip.compress, records))), ("b.warc.gz", gzip.compress(b"".join(records))), ("c.warc", b"".join(records))):
+        (tmp_path / name).write_bytes(data)
+        got = warc.read_archive(spark, f"file://{tmp_path}/{name}").collect()
+        assert [(r["record_type"], r["record_id"], r["page_id"], r["target_uri"], r["payload_digest"], r["payload_bytes"]) for r in got] == [
+            ("warcinfo", "<urn:x:warcinfo>", None, None, None, 13), ("response", "<urn:x:response>", None, "http://a/", "sha1:ABC", len(body)), ("metadata", "<urn:x:metadata>", None, None, None, 0)]
+        assert bytes(got[1]["payload"]) == body
+    one = warc.read_archive(spark, f"file://{tmp_path}").where("record_type = 'response'")
+    assert [len(r["payload"]) for r in one.collect()] == [len(body)] * 3
+    assert [r["payload"] for r in warc.read_archive(spark, f"file://{tmp_path}", payload=False).collect()] == [None] * 9
 
 
 # Jaccard join
@@ -371,7 +448,10 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)
 
 
-def test_quality_figures(spark, docs):
+@pytest.mark.parametrize("bits", [quality.PLACE_BITS, 4])
+def test_quality_figures(spark, docs, monkeypatch, bits):
+    """With four bits, most texts are longer than a packed place can say."""
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
     rng = random.Random(4)
     made = [(100 + k, "\n".join(" ".join(rng.choice("a b c d # <x> é".split()) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 15))), "s") for k in range(80)]
     extra = spark.createDataFrame(made, "doc_id long, text string, source string")
@@ -394,6 +474,15 @@ def test_depleted_documents_go(spark):
     assert clean[100] == own(0, 400) and clean[3] == "only d here" and clean[300] == notice and clean[0] == table[0][1]
 
 
+def test_the_limit_follows_the_host(spark):
+    """A line in 30 of 4,000 texts is no hundredth of its host; in 30 of 60 it is."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(6))
+    passage = " ".join(f"p{k}" for k in range(55))
+    table = [(i, f"{passage}\n{own(i)}", "small" if i < 30 else "large") for i in range(60)] + [(100 + i, own(i), "small") for i in range(30)] + [(1000 + i, own(i), "large") for i in range(4000)]
+    kept = quality.judge_quality(spark.createDataFrame(table, "doc_id long, text string, source string")).where("kept")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(30, 60)]
+
+
 def test_kept_rows_are_as_they_were(spark, docs):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 0
@@ -402,26 +491,61 @@ def test_kept_rows_are_as_they_were(spark, docs):
 # Decontamination
 
 
+def brute_leaks(table, items, similarity=0.8):
+    """Every window of every item's length, over the ends too, compared exactly: {(doc, item): (best, first, n)}."""
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    cut = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    weight = lambda s: sum(len("".join(x)) for x in s)
+    out = {}
+    for item, text in items:
+        w = tokens(text)
+        n = min(len(w), 5)
+        for doc, own in table if w else []:
+            d, found = tokens(own), []
+            for start in range(-len(w), len(d) + 1):
+                x = cut(d[max(start, 0) : max(start + len(w), 0)], n)
+                s = weight(x & cut(w, n)) / weight(x | cut(w, n))
+                if s >= similarity:
+                    found.append((-s, start))
+            if found:
+                out[doc, item] = (-min(found)[0], max(min(found)[1], 0), len(found))
+    return out
+
+
 def test_leaks(spark, docs):
     rng = random.Random(6)
     text = lambda n: " ".join(f"v{rng.randint(0, 5000)}" for _ in range(n))
     items = [(0, text(20)), (1, text(40)), (2, text(3)), (3, text(1)), (4, None), (5, ""), (6, text(60))]
-    changed = items[6][1].split()
+    # two words in the middle: only the window in between those that align with either half is similar
+    uneven = ["u", "x" * 20 + "a", *[f"v{rng.randint(1000, 5000)}" for _ in range(52)], "x" * 20, "u"]
+    items.append((7, " ".join(uneven)))
+    changed, middle = items[6][1].split(), uneven[:28] + ["to", "me"] + uneven[28:]
     changed[0] = "other"
-    table = [(1, text(80)), (2, f"{text(30)}\n{items[0][1].upper()}! {text(5)}"), (3, items[1][1]), (4, " ".join(changed) + " " + text(9)), (5, text(5) + " " + items[2][1] + " " + text(5)), (6, items[0][1] + " " + text(20) + " " + items[0][1]), (7, " ".join(items[1][1].split()[3:])), (8, None), (9, ""), (3, items[1][1])]
+    table = [(1, text(80)), (2, f"{text(30)}\n{items[0][1].upper()}! {text(5)}"), (3, items[1][1]), (4, " ".join(changed) + " " + text(9)), (5, text(5) + " " + items[2][1] + " " + text(5)), (6, items[0][1] + " " + text(20) + " " + items[0][1]), (7, " ".join(items[1][1].split()[3:])), (8, None), (9, ""), (3, items[1][1]), (10, text(9) + " " + " ".join(middle) + " " + text(3))]
     bench = spark.createDataFrame(items + [items[0]], "item_id long, text string").withColumn("w", F.lit(1))
-    df = spark.createDataFrame(table, "doc_id long, text string").withColumns({"_id": F.lit(1), "size": F.lit(2)})
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumns({"_id": F.lit(1), "size": F.lit(2), "mark": F.lit(3)})
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"], r["n_windows"]) for r in decontam.leaks(df, bench).collect()}
-    assert set(got) == {(2, 0), (3, 1), (4, 6), (5, 2), (6, 0), (7, 1)}
-    assert got[2, 0] == (1.0, 30, 1) and got[6, 0] == (1.0, 0, 2) and got[4, 6][0] < 1
+    assert set(got) == {(2, 0), (3, 1), (4, 6), (5, 2), (6, 0), (7, 1), (10, 7)}
+    exact = lambda found: {k: (round(x[0], 9), *x[1:]) for k, x in found.items()}
+    assert exact(got) == exact(brute_leaks(table, items)) and got[2, 0][:2] == (1.0, 30) and got[10, 7][1:] == (10, 1)
     clean = decontam.without_leaks(df, bench)
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 8, 9]
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
     assert decontam.leaks(docs, bench).count() == 0
 
 
+def test_each_text_of_an_id_is_judged_by_itself(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"v{rng.randint(0, 5000)}" for _ in range(n))
+    item, clean = text(30), text(50)
+    table = [(7, clean), (7, item + " x"), (None, clean), (None, "y " + item), (None, None), (1, item + " " + text(60000))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    kept = decontam.without_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert rows(kept) == sorted([(7, clean), (None, clean), (None, None)], key=repr)
+
+
 def test_hamming_blocks(spark):
-    """Fingerprints within the radius share a block."""
+    """Fingerprints within the radius share a block of one and a near block of the other."""
     rng = random.Random(8)
     pairs = []
     for _ in range(200):
@@ -431,13 +555,13 @@ def test_hamming_blocks(spark):
             b ^= 1 << bit
         pairs.append((a - (1 << 63), b - (1 << 63)))
     df = spark.createDataFrame(pairs, "a long, b long")
-    assert df.where(F.arrays_overlap(decontam._blocks(F.col("a")), decontam._blocks(F.col("b")))).count() == 200
+    assert df.where(F.arrays_overlap(decontam._blocks(F.col("a")), decontam._near_blocks(F.col("b")))).count() == 200
 
 
 # Token counts
 
 
-def test_token_counts(spark, docs):
+def test_token_counts(spark, docs, monkeypatch):
     import public_tokenizers
     import sentencepiece
 
@@ -448,6 +572,8 @@ def test_token_counts(spark, docs):
     want = [(i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t in enumerate(table)]
     assert rows(token_counts.token_counts(df, path)) == sorted(want, key=repr)
     assert rows(token_counts.token_counts(df, path, frequent=4)) == sorted(want, key=repr)
+    monkeypatch.setattr(token_counts, "FREQUENT_BYTES", 8)
+    assert rows(token_counts.token_counts(df.repartition(3), path)) == sorted(want, key=repr)
     assert token_counts.token_counts(df.limit(0), path).count() == 0
     assert token_counts.token_counts(docs, path).count() == len(TEXTS)
 
@@ -463,10 +589,8 @@ def brute_licenses(t):
         at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         spots += at
         base |= {label} if at else set()
-    if any(g in (t or "").lower() for g in licenses.GATES):
-        for keyword, tier, order, label, regex in licenses.rules():
-            if f" {keyword}" in line:
-                found += [(m.start() + 1, m.end(), tier, order, label) for m in re.finditer(regex, line)]
+    for _, tier, order, label, regex in licenses.rules():
+        found += [(m.start() + 1, m.end(), tier, order, label) for m in re.finditer(regex, line)]
     found.sort(key=lambda f: (f[0], -f[1], -f[2], f[3]))
     kept = [f for k, f in enumerate(found) if not any(e[1] >= f[1] and e[2] >= f[2] for e in found[:k])]
     score = max([licenses.SCORES[f[2]] for f in kept], default=licenses.BASE_SCORE if base else 0.0)
@@ -524,6 +648,18 @@ def test_keywords_drop_nothing(spark):
     assert [got[i][0] for i in range(len(said))] == list(said.values())
 
 
+def test_common_forms_are_named(spark):
+    said = {
+        "BSD 2-Clause License": "bsd-2-clause", "GPLv3": "gpl-3.0", "under GPLv2+ only": "gpl-2.0", "Licensed under Apache-2.0": "apache-2.0", "MIT licence": "mit", "SPDX-License-Identifier: MIT": "mit", "3-clause BSD": "bsd-3-clause", "LGPLv2.1": "lgpl-2.1",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa", "BSD-3-Clause": "bsd-3-clause", "The Software shall be used for Good, not Evil.": "json", "licence ouverte / Open Licence 2.0": "etalab", "a llama without a licence": "",
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: every_rule(t) for i, t in enumerate(said)}
+    for i, (t, want) in enumerate(said.items()):
+        assert want in got[i][0].split(","), (t, got[i])
+
+
 def test_keywords_are_literals_of_their_rules():
     for keyword, _, _, _, regex in licenses.rules():
         plain = regex
