@@ -7,9 +7,16 @@ document at the edge is taken when that lands nearer to the target.
 
 No source is ever sorted in one task: keys are cut into BUCKETS ranges by a monotone map, the
 (source, range) sums are prefix-summed, and only the range in which a source's budget ends is sorted.
+What the mix takes of a document follows from its source's row of the plan, the last place taken among
+them, and the document's own key, so texts are never shuffled. The plan is broadcast if its bytes are
+counted to be few.
+
+The quality weight is a column of the caller's choice; without one, longer texts weigh more.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in
-order; null ids share a key; repeated rows are drawn row by row; an empty table gives an empty result.
+order; a null id draws by a hash of its text; rows with equal ids, sources and sizes, such as repeated
+rows, share a key and are taken or left together; very long texts count whole; an empty table gives an
+empty result; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -33,25 +40,26 @@ def quality_weight(size: Column) -> Column:
     return F.lit(0.5) + F.lit(1.5) * F.least(size, F.lit(1000)).cast("double") / F.lit(1000.0)
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed))), 1, 13)
+def sampling_key(doc_id: Column, weight: Column, seed: str = SEED, text: str = "text") -> Column:
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), F.xxhash64(text).cast("string")))
+    digits = F.substring(F.md5(F.concat(name, F.lit(seed))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
 
-def source_weights(sources: DataFrame, cycle: list[int]) -> DataFrame:
-    """Adds ``weight``: the cycle, repeated over the sources by code point, null last.
+def bucket_of(key: Column) -> Column:
+    return F.floor((F.lit(1.0) - F.exp(-key)) * BUCKETS).cast("int")
+
+
+def place_of(key: Column, doc_id: Column, size: Column) -> Column:
+    """The order of a source's documents."""
+    return F.struct(key.alias("key"), doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), size.alias("size"))
 
-    Ranks come from range partitions and their counts, so no task sees all sources.
-    """
-    order = F.col("source").asc_nulls_last()
-    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = C.stage(sources.repartitionByRange(n, order).withColumn("pid", F.spark_partition_id()), "sources")
-    ahead = ranged.groupBy("pid").agg(F.count("*").alias("c")).withColumn("ahead", F.sum("c").over(Window.orderBy("pid")) - F.col("c")).drop("c")
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(order)) - 1
-    ranked = ranged.withColumn("rank", rank).join(F.broadcast(ahead), "pid")
-    turn = F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.col("rank") + F.col("ahead"), F.lit(len(cycle))) + 1).cast("int"))
-    return ranked.select("source", "source_size", turn.cast("double").alias("weight"))
+
+def source_weights(sources: DataFrame, cycle: list[int]) -> DataFrame:
+    """Adds ``weight``: the cycle, repeated over the sources by code point, null last."""
+    turn = F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.col("rank"), F.lit(len(cycle))) + 1).cast("int"))
+    return C.ranked(sources, "source").select("source", "source_size", turn.cast("double").alias("weight"))
 
 
 def with_targets(sources: DataFrame, share: float, most_epochs: int) -> DataFrame:
@@ -71,42 +79,67 @@ def with_targets(sources: DataFrame, share: float, most_epochs: int) -> DataFram
     return sources.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, cycle: list[int] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row."""
-    size = n_words()
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
-    slim = slim.withColumn("key", sampling_key(F.col("doc_id"), quality_weight(F.col("size"))))
-    slim = slim.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    slim = C.stage(slim, "mix")
+def mix_plan(slim: DataFrame, cycle: list[int], share: float, most_epochs: int) -> DataFrame:
+    """(s, source_size, target, epochs, edge, last) of each source of ``slim`` (source, size, key, bucket,
+    place): documents are taken ``epochs`` times, and once more below bucket ``edge`` and up to ``last`` in it."""
     sources = source_weights(slim.groupBy("source").agg(F.sum("size").alias("source_size")), list(cycle))
     sources = C.stage(with_targets(C.stage(sources, "weights"), share, most_epochs), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = sources.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = sources.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s")
 
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     upto = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket"))
-    edges = sums.withColumn("upto", upto).join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    edges = edges.where(F.col("upto") > F.col("rest")).groupBy(F.col("s").alias("edge_source")).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("sum")).alias("before"))).alias("e"))
-    plan = plan.join(edges, F.col("source").eqNullSafe(F.col("edge_source")), "left")
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
-
-    rows = slim.join(C.bounded(C.stage(plan, "plan")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    clear = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("more", (F.col("bucket") < F.coalesce("edge", F.lit(-1))).cast("long"))
-    at = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    edge = rows.where(F.col("bucket") == F.col("edge")).withColumn("at", at)
-    first = F.col("at") - F.col("size")
-    edge = edge.withColumn("more", ((first < F.col("rest")) & (F.col("at") - F.col("rest") <= F.col("rest") - first)).cast("long")).drop("at")
-    copies = F.col("epochs") + F.col("more")
-    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def mix_documents(docs: DataFrame, **law) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it. Rows sharing id, source and size draw alike."""
-    copies = mix(docs, **law).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = copies.select(*[F.col(c).alias(C.own(c)) for c in copies.columns])
-    same = F.col("doc_id").eqNullSafe(F.col(C.own("doc_id"))) & F.col("source").eqNullSafe(F.col(C.own("source"))) & (n_words() == F.col(C.own("size")))
-    turns = F.explode(F.sequence(F.lit(1), F.col(C.own("copies")).cast("int"))).alias(C.own("turn"))
-    return docs.join(copies, same).select(*docs.columns, turns).drop(C.own("turn"))
+    edges = sums.withColumn("upto", upto).join(plan.select("s", "rest"), F.col("source").eqNullSafe(F.col("s")))
+    edges = edges.where(F.col("upto") > F.col("rest")).groupBy("s").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("sum")).alias("before"))).alias("e"), F.first("rest").alias("rest"))
+    edges = C.stage(edges.select("s", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"), "rest"), "edges")
+
+    inside = slim.join(C.bounded(edges), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge")))
+    inside = inside.groupBy("source", "place", "before", "rest").agg(F.sum("size").alias("sum"))
+    at = F.sum("sum").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    first = F.col("at") - F.col("sum")
+    nearer = (first < F.col("rest")) & (F.col("at") - F.col("rest") <= F.col("rest") - first)
+    last = inside.withColumn("at", at).where(nearer).groupBy(F.col("source").alias("of")).agg(F.max("place").alias("last"))
+    ends = edges.select(F.col("s").alias("t"), "edge").join(last, F.col("t").eqNullSafe(F.col("of")), "left").select("t", "edge", "last")
+    return C.stage(plan.join(ends, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "source_size", "target", "epochs", "edge", "last"), "plan")
+
+
+def _copies(bucket: Column, place: Column, name=lambda c: c) -> Column:
+    epochs, edge, last = (F.col(name(c)) for c in ("epochs", "edge", "last"))
+    more = (bucket < edge) | ((bucket == edge) & last.isNotNull() & (place <= last))
+    return epochs + F.coalesce(more, F.lit(False)).cast("long")
+
+
+def _keyed(docs: DataFrame, weight: Column | None) -> DataFrame:
+    """(doc_id, source, size, key, bucket, place) of each row."""
+    doc_id = F.col("doc_id").cast("long")
+    slim = docs.select(doc_id.alias("doc_id"), "source", n_words().alias("size"), "text", *([weight.alias(C.own("weight"))] if weight is not None else []))
+    key = sampling_key(F.col("doc_id"), quality_weight(F.col("size")) if weight is None else F.col(C.own("weight")))
+    slim = slim.select("doc_id", "source", "size", key.alias("key"))
+    return slim.select("*", bucket_of(F.col("key")).alias("bucket"), place_of(F.col("key"), F.col("doc_id"), F.col("size")).alias("place"))
+
+
+def mix(docs: DataFrame, cycle: list[int] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, weight: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row."""
+    slim = C.stage(_keyed(docs, weight), "mix")
+    plan = mix_plan(slim, list(cycle), share, most_epochs)
+    rows = slim.join(C.bounded(plan), F.col("source").eqNullSafe(F.col("s")))
+    copies = _copies(F.col("bucket"), F.col("place"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, cycle: list[int] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, weight: Column | None = None) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    slim = C.Staged(_keyed(docs, weight), "mix")
+    plan = mix_plan(slim.df, list(cycle), share, most_epochs).select(*[F.col(c).alias(C.own(c)) for c in ("s", "epochs", "edge", "last")])
+    slim.drop()
+    # a row's place in its source is worked out anew from the row itself
+    doc_id, size, key = F.col("doc_id").cast("long"), F.col(C.own("size")), F.col(C.own("key"))
+    own = docs.withColumn(C.own("size"), n_words())
+    own = own.withColumn(C.own("key"), sampling_key(doc_id, quality_weight(size) if weight is None else weight))
+    met = own.join(C.bounded(plan), F.col("source").eqNullSafe(F.col(C.own("s"))))
+    copies = _copies(bucket_of(key), place_of(key, doc_id, size), C.own).cast("int")
+    turns = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(C.own("turn"))
+    return met.select(*docs.columns, turns).drop(C.own("turn"))
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
