@@ -21,6 +21,8 @@ LOWER = UPPER.lower()
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 _roots: dict[str, SparkSession] = {}
+#: Paths of staged tables that are still there.
+made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +69,19 @@ class Staged:
         self.path = fresh_path(self.spark, name)
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(self.path)
+        made.append(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """For tables that no DataFrame returned to the caller reads any more."""
-        delete(self.spark, self.path)
+        release(self.spark, [self.path])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete(spark, path)
+        if path in made:
+            made.remove(path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
