@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from oracle import connection, same
 
@@ -44,3 +45,17 @@ def test_k_beyond_a_large_database(spark, tmp_path):
     made = spark.range(1, 111_130).where("id = 100 OR id % 100 <> 0").selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), 1F) AS embedding", "0 AS label")
     made.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalogue.QUERIES["knn_k_gt_n"](spark, str(tmp_path)).count() == 111_129 - 1111 + 1
+
+
+def test_l2_normalize_rounds_as_its_sql(spark, tmp_path):
+    """Signs of zeros, halves, zero and huge vectors, nulls: written out, as -0.0 equals 0.0."""
+    ties = [[(2 * k + 1) / 2e6, 0.0] for k in range(0, 5000, 7)]
+    vecs = [[1.0, -1e-7], [1.0, -0.0], [0.0, -0.0], [-1e-12, 1e-12], [1e25, -1e20], [3.0, -4.0], [-2.0**-7, 1.0], None, *ties]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    got = {r["item_id"]: (r["unit"], r["norm"]) for r in catalogue.QUERIES["l2_normalize"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = {r[0]: (r[1], r[2]) for r in con.execute(catalogue.ORACLE_SQL["l2_normalize"]).fetchall()}
+    assert repr(sorted(got.items())) == repr(sorted(want.items()))
+    assert repr(got[0][0]) == "[1.0, -0.0]"

@@ -342,7 +342,7 @@ def transfer_counts(spark, sf_dir):
 
 @register(f"SELECT vec_id AS item_id, list_transform({_V}, lambda x: round(x / greatest(sqrt(list_inner_product({_V}, {_V})), 1e-8), 6)) AS unit, round(sqrt(list_inner_product({_V}, {_V})), 6) AS norm FROM embeddings")
 def l2_normalize(spark, sf_dir):
-    return vecs(spark, sf_dir).select("item_id", F.transform(vectors.l2_normalize("vec"), lambda x: F.round(x, 6)).alias("unit"), F.round(vectors.l2_norm("vec"), 6).alias("norm"))
+    return vecs(spark, sf_dir).select("item_id", F.transform(vectors.l2_normalize("vec"), lambda x: vectors.rounded(x, 6)).alias("unit"), vectors.rounded(vectors.l2_norm("vec"), 6).alias("norm"))
 
 
 @register("SELECT count(*) AS vectors, max(len(embedding))::INT AS dimension, count(*) * max(len(embedding)) * 4 / 1048576.0::DOUBLE AS index_mb FROM embeddings")

@@ -55,6 +55,15 @@ def l2_normalize_guarded(v: Column | str) -> Column:
     return let(l2_norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(doubles(v)))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """As SQL engines round doubles: scaled, to the nearest integer, halves away from zero, scaled back. The sign
+    stays, so small negative numbers give -0.0; ``F.round`` takes decimal digits instead and gives 0.0."""
+    scaled = x * F.lit(10.0**places)
+    down = F.rint(F.abs(scaled))  # halves to even
+    whole = down + F.when(F.abs(scaled) - down == 0.5, 1.0).otherwise(0.0)
+    return F.when(F.abs(scaled) < float("inf"), F.signum(x) * whole / F.lit(10.0**places)).otherwise(x)
+
+
 def median(v: Column | str) -> Column:
     """Mean of the two middle elements, or the middle one."""
     n = F.size(v)
