@@ -1,10 +1,12 @@
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import catalogue
 from waymark.functions import features, pixels, registry, vectors
 from waymark.functions.scalars import truthy
 from waymark.operators import codebook, images, ivf, knn, manifest, metrics, near_dup, split, stats
@@ -176,6 +178,33 @@ def test_banded_pairs_lose_nothing(spark):
     assert want and rows(near_dup.expand_classes(near_dup.banded_pairs(h, 256), near_dup.class_members(h))) == want
 
 
+@pytest.mark.parametrize("n_bits", [10, 64, 256])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_compared_pairs_lose_nothing(spark, monkeypatch, n_bits, kind):
+    """In several blocks, with copies, a repeated id, hashes of other lengths, and nulls."""
+    monkeypatch.setattr(near_dup, "LEAST", 16)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2, (50, n_bits)).astype(bool)
+    made = np.vstack([base, base[rng.integers(0, 50, 70)] ^ (rng.random((70, n_bits)) < 0.03), np.repeat(base[:1], 30, 0)])
+    data = [(i, [bool(x) for x in r]) for i, r in enumerate(made)] + [(3, [bool(x) for x in base[0]]), (500, [True] * (n_bits - 1)), (501, [True] * (n_bits - 1)), (999, None), (998, [None] * n_bits), (997, [])]
+    h = spark.createDataFrame(data, "id int, bits array<boolean>").withColumn("id", F.col("id").cast(kind))
+    want = near_dup.all_pairs(h.where("size(bits) > 0"))
+    assert want.count() > 500 and rows(near_dup.compared_pairs(h)) == rows(want)
+    assert near_dup.first_compared(h).collect() == near_dup.first_pairs(want).collect()
+    assert near_dup.first_compared(h.limit(0)).count() == 0
+
+
+def test_display_cap_counts_copies(spark, tmp_path):
+    """Vectors with equal hashes are pairs at distance 0, as in the SQL."""
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    v.unionByName(v.where("vec_id < 40").withColumn("vec_id", F.col("vec_id") + 500)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in catalogue.QUERIES["dup_display_cap"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == con.execute(catalogue.ORACLE_SQL["dup_display_cap"] + " ORDER BY distance, id_a, id_b").fetchall()
+    assert [r[:3] for r in got] == [(i, i + 500, 0) for i in range(20)] and got[0][3] > 60
+
+
 def test_overall_stats_ties(spark):
     df = spark.createDataFrame([("b", "1", 5, 5, 59.0, 59.0, 59.0, 59.0), ("a", "2", 5, 5, 221.0, 221.0, 221.0, 221.0), ("a", "3", 5, 5, 60.0, 60.0, 60.0, 60.0), ("c", "4", 5, 5, 220.0, 220.0, 220.0, 220.0)], "location string, filename string, height int, width int, mean_r double, mean_g double, mean_b double, brightness double")
     out = stats.overall_stats(df).first()

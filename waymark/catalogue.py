@@ -421,7 +421,7 @@ def banded_near_dups(spark, sf_dir):
 
 @register(f"WITH {_PAIRS} SELECT id_a, id_b, distance, n_pairs, greatest(n_pairs - 20, 0) AS n_more FROM (SELECT *, row_number() OVER (ORDER BY distance, id_a, id_b) AS k, count(*) OVER () AS n_pairs FROM p) WHERE k <= 20")
 def dup_display_cap(spark, sf_dir):
-    return near_dup.first_pairs(near_dup.banded_pairs(_hashes(spark, sf_dir), HASH_BITS, HASH_APART))
+    return near_dup.first_compared(_hashes(spark, sf_dir), HASH_APART)
 
 
 def _image_records(spark, sf_dir):
