@@ -59,3 +59,8 @@ def test_l2_normalize_rounds_as_its_sql(spark, tmp_path):
     want = {r[0]: (r[1], r[2]) for r in con.execute(catalogue.ORACLE_SQL["l2_normalize"]).fetchall()}
     assert repr(sorted(got.items())) == repr(sorted(want.items()))
     assert repr(got[0][0]) == "[1.0, -0.0]"
+
+
+def test_hamming_near_dups_joins_no_rows_pair_by_pair(spark):
+    plan = catalogue.QUERIES["hamming_near_dups"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -410,7 +410,7 @@ def binarize_hash(spark, sf_dir):
 
 @register(f"WITH {_PAIRS} SELECT * FROM p")
 def hamming_near_dups(spark, sf_dir):
-    return near_dup.all_pairs(_hashes(spark, sf_dir), HASH_APART)
+    return near_dup.compared_pairs(_hashes(spark, sf_dir), HASH_APART)
 
 
 @register(f"WITH {_PAIRS} SELECT * FROM p")
