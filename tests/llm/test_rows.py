@@ -380,6 +380,26 @@ def test_every_way_of_joining_cells_loses_nothing(spark, monkeypatch):
     assert seen["deal 0"] == 1 and seen["deal 1"] and seen["regions"] and seen["dense"], seen
 
 
+def test_dense_regions_are_compared_together(spark, monkeypatch):
+    """However many regions do not shrink, one round of jobs compares them."""
+    monkeypatch.setattr(jaccard, "LEAF", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    plain, calls, rng, sets = jaccard._dense, [], random.Random(8), {}
+    monkeypatch.setattr(jaccard, "_dense", lambda *a: calls.append(1) or plain(*a))
+    for region in range(5):
+        base = rng.sample(range(1, 1 << 60), 100)
+        for i in range(20):
+            own = set(base[rng.randint(0, 12) :]) | set(rng.sample(range(1, 1 << 60), rng.randint(0, 5)))
+            sets[f"{region}/{i}"] = np.array(sorted(own), np.uint64)
+    data = [(bytearray(x[:1].encode()), bytearray(x.encode()), bytearray(s.tobytes())) for x, s in sets.items()]
+    found = jaccard.region_links(spark.createDataFrame(data, "region binary, cls binary, data binary"), 90)
+    names = list(sets)
+    got = {tuple(names.index(bytes(x).decode()) for x in r) for part in found for r in part.collect()}
+    want = jaccard.links([sets[x] for x in names], 90)
+    assert jaccard.forest(got, len(names)) == jaccard.forest(want, len(names)) != []
+    assert len(calls) == 1
+
+
 def test_cells_are_joined_whole(spark):
     """Each part's pivot and the points that share the part: linked points share a cell."""
     table = near_copies(5, groups=5, size=30, sole=80)

@@ -40,7 +40,6 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 from math import exp
 
 import numpy as np
@@ -54,7 +53,7 @@ from . import _common as C
 #: Points, and bytes of their sets, that one task compares.
 LEAF, LEAF_BYTES = 512, 32 << 20
 #: Hash classes of a sketch, and points of a cell that one task compares by sketches.
-SKETCH, SKETCH_LEAF = 128, 2048
+SKETCH, SKETCH_LEAF = 128, 1 << 14
 #: Part keys that meet in one task, and bytes of sets that one task verifies.
 TASK_KEYS, TASK_BYTES = 1 << 20, 24 << 20
 #: Rows, and bytes of texts or sets, that a worker holds at once (one row at least).
@@ -75,21 +74,34 @@ SLACK = 1e-9
 #: Lower bounds of the size regions.
 BOUNDS = [1 << i for i in range(48)]
 
+#: What a word's hash is multiplied by for each word that follows it in an n-gram: odd, and 3 modulo 8, so that
+#: words that change places keep all but three bits of their difference.
+NEXT = np.uint64(0x9E3779B97F4A7C13)
+FIRST = np.zeros(1, np.int64)
+
 #: A part's key and the tag of a point: the first 64 bits of its identity. Points whose tags collide
 #: share their cells, no more.
 ROW = np.dtype([("k", "<u8"), ("c", "<i8")])
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-grams, A-Z lower-cased."""
+    """Sorted distinct 64-bit hashes of the text's n-grams, A-Z lower-cased, from the hashes of their words."""
     words = text.lower().split()  # on bytes: ASCII white space and letters only
     if not words:
         return np.empty(0, np.uint64)
-    line = b" ".join(words)
-    at = [0, *accumulate(len(w) + 1 for w in words)]
-    h = xxhash.xxh3_64_intdigest
-    found = [h(line)] if len(words) < n else [h(line[a : b - 1]) for a, b in zip(at, at[n:])]
-    return np.unique(np.array(found, np.uint64))
+    each = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
+    width = min(n, len(words))
+    found = np.full(len(words) - width + 1, salt_of(width))
+    for i in range(width):
+        found = found * NEXT + each[i : i + len(found)]
+    found = mixed(found)
+    found.sort()
+    return found[starts_of(found)]
+
+
+def starts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.concatenate((FIRST[: len(ordered)], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,13 +137,14 @@ def part_tokens(s: np.ndarray, region: int, percent: int, deal: int = 0) -> np.n
     The order depends on a part's content alone, so the first parts of linked sets still have one in
     common: what comes before their first common part differs, and that is at most D. Large parts are
     shared by chance least."""
-    at = mixed(s + salt_of(deal)) if deal else s >> np.uint64(11)
-    part = at % np.uint64(parts_of(region, percent))
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    tokens = mixed(np.add.reduceat(mixed(s[order]), first) + mixed(part[first] + salt_of(region)))
-    return tokens[np.lexsort((tokens, -np.diff(np.r_[first, len(s)])))]
+    at = mixed(s + salt_of(deal)) if deal else s
+    if deal:
+        order = np.argsort(at)
+        s, at = s[order], at[order]
+    part = ((at >> np.uint64(32)) * np.uint64(parts_of(region, percent))) >> np.uint64(32)  # ascending, as ``at`` is
+    first = starts_of(part)
+    tokens = mixed(np.add.reduceat(mixed(s), first) + mixed(part[first] + salt_of(region)))
+    return tokens[np.lexsort((tokens, first - np.append(first[1:], len(s))))]
 
 
 def part_keys(s: np.ndarray, percent: int, deal: int = 0) -> np.ndarray:
@@ -583,32 +596,37 @@ def _grouped(members: DataFrame, pivots: dict, percent: int) -> DataFrame:
     return members.mapInArrow(emit, schema)
 
 
-def _dense(members: DataFrame, region: bytes, pivots: list[tuple[bytes, np.ndarray]], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of a region that does not shrink: links (a, b) to its pivots, and units (unit, cls, data) in which
+def _dense(members: DataFrame, pivots: dict[bytes, list[tuple[bytes, np.ndarray]]], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of regions that do not shrink: links (a, b) to their pivots, and units (unit, cls, data) in which
     all other links lie. Members linked to the same or connected pivots are one group, the ring is what
     is linked to none; blocks of half a leaf meet unless both are of one group. The driver gets a row
-    for each pair of pivots with a common member, and each group's size."""
-    rows = C.stage(_grouped(_in_regions(members, [region]), {region: pivots}, percent), "grouped")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    scored = rows.select("cls", "data", bits.alias("bits"))
-    pairs = scored.select(F.get("bits", F.lit(0)).alias("i"), F.explode("bits").alias("j")).groupBy("i", "j").count().collect()
-    name = {x: r for x, r in forest([(r["i"], r["j"]) for r in pairs], len(pivots))}
-    label = F.array(*[F.lit(name.get(i, i)) for i in range(len(pivots))])
-    rows = scored.withColumn("group", F.when(F.size("bits") > 0, F.get(label, F.get("bits", F.lit(0)))).otherwise(-1)).drop("bits")
-    counts = {r["group"]: r["count"] for r in rows.groupBy("group").count().collect()}
-    heads = F.array(*[F.lit(c) for c, _ in pivots])
-    out = rows.where(F.col("group") >= 0).select(F.col("cls").alias("a"), F.get(heads, F.col("group")).alias("b"))
-    blocks, first = [], {}
-    for g, n in sorted(counts.items()):
-        first[g] = len(blocks)
-        blocks += [g] * -(-n // (LEAF // 2))
-    starts = F.create_map(*[F.lit(x) for g, at in first.items() for x in (g, at)])
-    lengths = F.create_map(*[F.lit(x) for g in first for x in (g, blocks.count(g))])
-    own = (F.element_at(starts, F.col("group")) + F.pmod(F.xxhash64("cls"), F.element_at(lengths, F.col("group")))).cast("int")
-    rows = rows.withColumn("own", own)
-    start, length = F.element_at(starts, F.col("group")), F.element_at(lengths, F.col("group"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(len(blocks) - 1)), lambda j: (F.col("group") < 0) | (j < start) | (j >= start + length))
-    pair = F.transform(others, lambda j: F.concat_ws("/", F.lit(region.hex()), F.least("own", j).cast("string"), F.greatest("own", j).cast("string")))
+    for each pair of a region's pivots with a common member, and each group's size."""
+    spark = members.sparkSession
+    rows = C.stage(_grouped(_in_regions(members, list(pivots)), pivots, percent), "grouped")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    scored = rows.select("region", "cls", "data", bits.alias("bits"))
+    common: dict[bytes, list[tuple[int, int]]] = {}
+    for r in scored.select("region", F.get("bits", F.lit(0)).alias("i"), F.explode("bits").alias("j")).distinct().collect():
+        common.setdefault(bytes(r["region"]), []).append((r["i"], r["j"]))
+    laws = []
+    for region, own in pivots.items():
+        name = dict(forest(common.get(region, []), len(own)))
+        laws.append((bytearray(region), [name.get(i, i) for i in range(len(own))], [bytearray(c) for c, _ in own]))
+    laws = F.broadcast(spark.createDataFrame(laws, "region binary, label array<int>, heads array<binary>"))
+    group = F.when(F.size("bits") > 0, F.get("label", F.get("bits", F.lit(0)))).otherwise(-1)
+    rows = scored.join(laws, "region").select("region", "cls", "data", "heads", group.alias("group"))
+    out = rows.where(F.col("group") >= 0).select(F.col("cls").alias("a"), F.get("heads", F.col("group")).alias("b"))
+    ends, spans = dict.fromkeys(pivots, 0), []
+    for r in rows.groupBy("region", "group").count().orderBy("region", "group").collect():
+        region, length = bytes(r["region"]), -(-r["count"] // (LEAF // 2))
+        spans.append((bytearray(region), r["group"], ends[region], length))
+        ends[region] += length
+    spans = [(*x, ends[bytes(x[0])]) for x in spans]
+    spans = F.broadcast(spark.createDataFrame(spans, "region binary, group int, start int, length int, blocks int"))
+    own = (F.col("start") + F.pmod(F.xxhash64("cls"), F.col("length"))).cast("int")
+    rows = rows.drop("heads").join(spans, ["region", "group"]).withColumn("own", own)
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("group") < 0) | (j < F.col("start")) | (j >= F.col("start") + F.col("length")))
+    pair = F.transform(others, lambda j: F.concat_ws("/", F.hex("region"), F.least("own", j).cast("string"), F.greatest("own", j).cast("string")))
     return out, rows.select(F.explode(pair).alias("unit"), "cls", "data").select(F.encode("unit", "UTF-8").alias("unit"), "cls", "data")
 
 
@@ -636,10 +654,9 @@ def region_links(members: DataFrame, percent: int) -> list[DataFrame]:
         for r in dealt.groupBy("region", "cell").count().collect():
             counts.setdefault(bytes(r["region"]), []).append(r["count"])
         good = [r for r, c in counts.items() if sum(x * x for x in c) <= (1 - GAIN) * sizes[r] ** 2 and sum(c) <= COPIES * sizes[r]]
-        for r in sizes:
-            if r not in good:
-                to_pivots, units = _dense(open_, r, pivots[r], percent)
-                out += [to_pivots, linked(units, percent)]
+        if bad := {r: p for r, p in pivots.items() if r not in good}:
+            to_pivots, units = _dense(open_, bad, percent)
+            out += [to_pivots, linked(units, percent)]
         rest = _in_regions(open_, list(sizes), False)
         if good:
             named = F.unhex(F.md5(F.concat(F.col("region"), F.encode(F.concat_ws("/", F.lit(depth), "cell"), "UTF-8"))))
