@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -689,6 +690,61 @@ def test_keywords_are_literals_of_their_rules():
         assert f" {keyword}" in re.sub(r"\[[^]]*\]|.\?", " ", plain), (keyword, regex)
 
 
+def spelt(tree, rng):
+    """A random string that the parsed regex matches."""
+    out = ""
+    for op, a in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(a)
+        elif kind == "IN":
+            of, x = rng.choice(a)
+            out += chr(x) if str(of) == "LITERAL" else chr(rng.randint(*x))
+        elif kind == "BRANCH":
+            out += spelt(rng.choice(a[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += spelt(a[3], rng)
+        elif kind == "MAX_REPEAT":
+            out += "".join(spelt(a[2], rng) for _ in range(rng.randint(a[0], min(int(a[1]), a[0] + 2))))
+        elif kind == "NOT_LITERAL":
+            out += "x"
+        else:
+            assert kind == "ASSERT", kind
+    return out
+
+
+def test_each_match_calls_up_its_rule(spark, monkeypatch):
+    rng = random.Random(5)
+    said = []
+    for _, _, _, _, regex in licenses.rules():
+        form = spelt(re._parser.parse(regex), rng)
+        assert re.fullmatch(regex.removesuffix("(?= )"), form)
+        said += ["three" + form.upper() + " limits", "".join(c.replace(" ", rng.choice(" -./")) for c in form) + rng.choice(["", "\u00fc", "s", ". MIT"])]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    once = [(*r[:4], re.compile(r[4])) for r in licenses.rules()]  # more than re keeps
+    monkeypatch.setattr(licenses, "rules", lambda: once)
+    assert got == {i: every_rule(t) for i, t in enumerate(said)} and all(got[i][0] for i in range(0, len(said), 2))
+
+
+def test_rules_are_not_tried_where_none_can_match(spark):
+    """Substrings of other words, and common words alone, stage no line for the rules."""
+    said = ["Three beers at the limit", "root beer in a large font", "NASA and the apaches", "what is sublicensed is licensed", "a license of the same version 2", "the properties of a summit", None]
+    made = len(_common.made)
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
+    assert [r["labels"] for r in got] == [""] * len(said)
+    (scanned,) = [p for p in _common.made[made:] if "/scanned-" in p]
+    assert spark.read.parquet(scanned).where("line IS NOT NULL").count() == 0
+
+
+def test_many_matches_in_a_long_text(spark):
+    """Work is in proportion to the matches, not to their square."""
+    began = time.time()
+    df = spark.createDataFrame([(1, "gpl word " * 40_000)], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan_licenses(df).collect()] == [(1, 80_000, 0, None, None, "", "gpl", 0.7)]
+    assert time.time() - began < 60
+
+
 def test_uneven_weights_are_found(spark):
     """Windows at a weighted similarity of 0.8 and more in which one word became a long token."""
     rng = random.Random(12)

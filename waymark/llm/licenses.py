@@ -1,11 +1,11 @@
-"""License scans: ordered signature rules behind a keyword prefilter, in DataFrame operations only.
+"""License scans: ordered signature rules, called up by phrases derived from them, in DataFrame operations only.
 
 A text is read as its words (digits, a-z and non-ASCII characters; A-Z lower-cased), joined by single
-spaces, so a rule needs no thought for punctuation or line ends. A cheap test for a few substrings
-passes a text on; each keyword that such a text holds calls up its rules, and each rule reports the
-intervals it matches. A detection is dropped if another of the same or a higher tier contains it;
-between equal intervals the higher tier, then the earlier rule wins. Base phrases are found word by
-word, and their labels always stay.
+spaces, so a rule needs no thought for punctuation or line ends. One regex finds the anchors, words of
+which every rule's matches hold one; an anchor leads to phrases, and a phrase that the text holds calls
+up its rules; each reports the intervals it matches. A detection is dropped if another of the same or a
+higher tier contains it; between equal intervals the higher tier, then the earlier rule wins. Base
+phrases are found word by word, and their labels always stay.
 
 Defined results: a null, empty or wordless text has no words, labels "" and score 0; repeated rows are
 judged one by one; a very long text is scanned whole; an empty table gives an empty result; other
@@ -14,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -28,8 +29,8 @@ BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 DECLARED, VERSIONED, NAMED = 3, 2, 1
 SCORES = {DECLARED: 1.0, VERSIONED: 0.9, NAMED: 0.7}
 BASE_SCORE = 0.6
-WORD_COUNT = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What stands between words, once A-Z are lower-cased.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 #: label, keyword (in every match of the name), name (regex over words), versions, address (regex over words, or None).
 FAMILIES = [
@@ -365,47 +366,99 @@ def rules() -> list[tuple[str, int, int, str, str]]:
     return [(k, tier, i, label, f"{regex}(?= )") for i, (k, tier, label, regex) in enumerate(sorted(out, key=lambda r: -r[1]))]
 
 
-def _literals(regex: str) -> list[str]:
-    """Runs of letters and digits that every match of the regex holds within one word."""
-    plain, before = regex, None
-    while plain != before:
-        plain, before = re.sub("\\([^()]*\\)(\\?|\\{[^}]*\\})?", "~", plain), plain
-    plain = re.sub(".\\?", "~", re.sub("\\[[^]]*\\][+?]?", "~", plain))
-    return re.findall("[a-z0-9]+", plain)
-
-
-#: Words too common to pass a text on by.
+#: Stands for what a class, a repetition or the like may match.
+ANY = "\0"
+#: Words too common to call up a rule by, if the rule has another.
 COMMON = set(
-    "agreement attribution available clause code common commons copies copying copyright creative data distributed document documents exception following form general group independent invariant "
-    "library license licensed licenses made materials notice open origin permission permissive project public return released reserved rights shall sharing software source terms that this under version versions what with".split()
+    "agreement altered attribution available be beer by clause clear code common commons contributors copies copying copyright creative data development distribute distributed distribution document documents domain exception following font for form four free "
+    "general good group identifier included includes independent international invariant in is it liability library license licensed licenses limited made materials name no not notice of on open origin original part permission permissive project public purpose released "
+    "reserved return rights runtime same scripts sections shall sharing software source terms that the this three to two under university unlimited unmodified use used version versions was were what with work zero".split()
 )
 
 
-def _gates() -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Literals and phrases of which every match of a base phrase or a rule holds one; phrases stand for
-    rules without a telling literal."""
-    literals: list[str] = ["licen"]
-    phrases: list[str] = []
-    asked = [(_literals(p), p) for p, _ in BASE] + [(_literals(r[4]), r[0]) for r in rules()]
-    for needed, keyword in sorted(asked, key=lambda x: len(x[0])):
-        if not any(g in w for g in literals for w in needed) and keyword not in phrases:
-            telling = [w for w in needed if len(w) > 3 and w not in COMMON]
-            literals += [max(telling, key=len)] if telling else []
-            phrases += [] if telling else [keyword]
-    return tuple(literals), tuple(phrases)
-
-
-#: A lower-cased text without any of these substrings, and of these phrases with whatever between their
-#: words, holds no base phrase and no signature.
-GATES, PHRASES = _gates()
-
-
-def _passes(text: Column) -> Column:
-    lower = F.lower(text)
-    found = lower.rlike("(?<![0-9a-z])(?:" + "|".join(p.replace(" ", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+") for p in PHRASES) + ")") if PHRASES else F.lit(False)
-    for g in GATES:
-        found = F.contains(lower, F.lit(g)) | found
-    return found
+def _spellings(regex: str, i: int = 0) -> tuple[set[str], int]:
+    """What the regex matches from its i-th character to the end of the group, ANY where that is not
+    spelt out; and the place of that end."""
+    done: set[str] = set()
+    sofar = {""}
+    while i < len(regex) and regex[i] != ")":
+        c = regex[i]
+        if c == "|":
+            done, sofar, i = done | sofar, {""}, i + 1
+            continue
+        if c == "(":
+            part, i = _spellings(regex, i + 1)
+        elif c == "[":
+            i, inside = regex.index("]", i), regex[i + 1 : regex.index("]", i)]
+            part = set(inside) if inside.isalnum() else {ANY}
+        else:
+            part = {ANY if c == "." else c}
+        i += 1
+        after = regex[i : i + 1]
+        if after == "?":
+            part, i = part | {""}, i + 1
+        elif after in ("*", "+"):
+            part, i = {ANY} | ({""} if after == "*" else set()), i + 1
+        elif after == "{":
+            part, i = {"", ANY}, regex.index("}", i) + 1
+        sofar = {x + y for x in sofar for y in part}
+    return done | sofar, i
+
+
+def _held(spelling: str) -> set[str]:
+    """Phrases in every line that holds the spelling: from a space on, up to a space or what is not spelt out."""
+    out = set()
+    for part in f"{spelling} ".split(ANY):
+        cuts = [k for k, c in enumerate(part) if c == " "]
+        out |= {part[i : j + 1] for i in cuts for j in cuts if j > i} | {part[i:] for i in cuts if i + 1 < len(part)}
+    return out
+
+
+def _telling(word: str) -> bool:
+    return word not in COMMON and not re.fullmatch("v?[0-9]*|.", word)
+
+
+def _anchor(phrase: str) -> str:
+    """The word of the phrase, or start of a word, that is likely the rarest."""
+    return max(phrase.split(), key=lambda x: (_telling(x), len(x)))
+
+
+@functools.cache
+def _calls() -> dict[str, list[tuple[str, list[int]]]]:
+    """By anchor, the phrases with that anchor and the rules called up by them: every match of a rule holds
+    one of the phrases that call it up. An anchor also has the phrases of those that it starts with."""
+    worth = lambda p: (_telling(_anchor(p)), len(p), p)
+    called: dict[str, list[int]] = {f" {p} ": [] for p, _ in BASE}
+    for _, _, order, _, regex in rules():
+        each = [_held(x) for x in _spellings(regex.removesuffix("(?= )"))[0]]
+        shared, own = max(set.intersection(*each), key=worth, default=None), {max(x, key=worth) for x in each}
+        for p in {shared} if shared and worth(shared)[0] >= min(map(worth, own))[0] else own:
+            called.setdefault(p, []).append(order)
+    anchors = {_anchor(p) for p in called}
+    return {a: [(p, orders) for p, orders in sorted(called.items()) if a.startswith(_anchor(p)) and (a == _anchor(p) or not p.endswith(" ") and _anchor(p) == p.split()[-1])] for a in sorted(anchors)}
+
+
+def _trie(ends: list[str]) -> str:
+    """A regex for any of the strings, the longest first; a space at the end is only looked at."""
+    by: dict[str, list[str]] = {}
+    for x in ends:
+        if x:
+            by.setdefault(x[0], []).append(x[1:])
+    found = ["(?= )" if c == " " else c + _trie(rest) for c, rest in sorted(by.items(), reverse=True)] + ([""] if "" in ends else [])
+    return found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+
+
+@functools.cache
+def _anchors() -> str:
+    """A regex for a space and any anchor: whole words, and those that a phrase ends in, as starts of words."""
+    return f" ({_trie(sorted({a if not p.endswith(' ') and p.split()[-1] == a else f'{a} ' for a, phrases in _calls().items() for p, _ in phrases if _anchor(p) == a}))})"
+
+
+def _called(hits: Column, line: Column) -> Column:
+    """Orders of the rules that the anchors in a line call up and that may match it."""
+    table = F.from_json(F.lit(json.dumps({a: [{"phrase": p, "rules": r} for p, r in phrases] for a, phrases in _calls().items()})), "map<string,array<struct<phrase:string,rules:array<int>>>>")
+    phrases = F.flatten(F.transform(hits, lambda a: F.element_at(table, a)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(phrases, lambda p: F.contains(line, p["phrase"])), lambda p: p["rules"])))
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -415,26 +468,25 @@ def _places(w: Column, phrase: str) -> Column:
     return F.when(F.size(w) >= len(said), F.filter(F.sequence(F.lit(0), F.size(w) - len(said)), there)).otherwise(F.array().cast("array<int>"))
 
 
-def _intervals(line: Column, regex: Column) -> Column:
-    """(start, end) of each match, the leading space left out."""
+def _lengths(line: Column, regex: Column) -> Column:
+    """(gap, hit): lengths of each match and of what lies before it."""
     between, hits = F.split(line, regex, -1), F.regexp_extract_all(line, regex, F.lit(0))
-    lengths = F.transform(hits, lambda h, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(h).alias("hit")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"] + 1).alias("start"), (s["at"] + x["gap"] + x["hit"]).alias("end")))).alias("out"))
-    return F.aggregate(lengths, first, step, lambda s: s["out"])
+    # both are arguments, which are worked out once; within the function they would be for each match
+    lengths = F.zip_with(between, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    return F.filter(lengths, lambda x: x["hit"].isNotNull())
 
 
 def detections(lines: DataFrame) -> DataFrame:
-    """(rid, label, tier): what stays of the rules' matches in (rid, line)."""
-    table = rules()
-    keywords = F.from_json(F.lit(json.dumps(sorted({r[0] for r in table}))), "array<string>")
-    held = F.filter(keywords, lambda k: F.contains(F.col("line"), F.concat(F.lit(" "), k)))
+    """(rid, label, tier): what stays of the matches of the called rules in (rid, line, called)."""
     # one row to start from; the rules are one literal, which is planned faster than a struct for each
-    literal = json.dumps([dict(zip(("keyword", "tier", "order", "label", "regex"), r)) for r in table])
-    listed = F.inline(F.from_json(F.lit(literal), "array<struct<keyword:string,tier:int,order:int,label:string,regex:string>>"))
+    literal = json.dumps([dict(zip(("tier", "order", "label", "regex"), r[1:])) for r in rules()])
+    listed = F.inline(F.from_json(F.lit(literal), "array<struct<tier:int,order:int,label:string,regex:string>>"))
     signatures = lines.sparkSession.range(1).select(listed)
-    found = lines.select("rid", "line", F.explode(held).alias("keyword")).join(F.broadcast(signatures), "keyword")
-    found = found.select("rid", "tier", "order", "label", F.inline(_intervals(F.col("line"), F.col("regex"))))
+    found = lines.select("rid", "line", F.explode("called").alias("order")).join(F.broadcast(signatures), "order")
+    found = found.select("rid", "tier", "order", "label", F.posexplode(_lengths(F.col("line"), F.col("regex"))).alias("i", "x"))
+    # (start, end) of each match, the leading space left out; a fold over an array would copy it for each match
+    end = F.sum(F.col("x.gap") + F.col("x.hit")).over(Window.partitionBy("rid", "order").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.repartition("rid").withColumn("end", end).withColumn("start", F.col("end") - F.col("x.hit") + 1)
     before = Window.partitionBy("rid").orderBy("start", F.desc("end"), F.desc("tier"), "order").rowsBetween(Window.unboundedPreceding, -1)
     reach = [F.coalesce(F.max(F.when(F.col("tier") >= t, F.col("end"))).over(before), F.lit(-1)) for t in (NAMED, VERSIONED, DECLARED)]
     found = found.withColumns({f"reach{t}": r for t, r in zip((NAMED, VERSIONED, DECLARED), reach)})
@@ -445,20 +497,26 @@ def detections(lines: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    passed = _passes(text)
-    rows = C.settled(docs).select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD_COUNT)).cast("long").alias("n_words"),
-        F.when(passed, F.regexp_extract_all(C.ascii_lower(text), F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("w"),
+    # of texts in ASCII alone, lower() does the same and is faster
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(C.ascii_lower(text))
+    rows = C.settled(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.regexp_replace(low, F.lit(BETWEEN), F.lit(" "))).alias("said"))
+    said = F.col("said")
+    n_words = F.when(said == "", 0).otherwise(F.octet_length(said) - F.octet_length(F.replace(said, F.lit(" "), F.lit(""))) + 1)
+    rows = rows.select("rid", "doc_id", n_words.cast("long").alias("n_words"), F.concat(F.lit(" "), said, F.lit(" ")).alias("line"))
+    rows = rows.select("*", F.array_distinct(F.regexp_extract_all("line", F.lit(_anchors()), F.lit(1))).alias("hits"))
+    based = [(F.size("hits") > 0) & F.contains("line", F.lit(f" {p} ")) for p, _ in BASE]
+    rows = rows.select("rid", "doc_id", "n_words", "line", _called(F.col("hits"), F.col("line")).alias("called"), F.when(functools.reduce(Column.__or__, based), F.split(F.trim("line"), " ")).alias("w"))
+    w, none = F.col("w"), F.array().cast("array<int>")
+    rows = rows.select(
+        "rid", "doc_id", "n_words", F.when(F.size("called") > 0, F.col("line")).alias("line"), "called",
+        *[F.when(w.isNotNull() & F.contains("line", F.lit(f" {p} ")), _places(w, p)).otherwise(none).alias(f"p{i}") for i, (p, _) in enumerate(BASE)],
     )
-    w = F.col("w")
-    line = F.when(F.size(w) > 0, F.concat(F.lit(" "), F.concat_ws(" ", w), F.lit(" ")))
-    rows = rows.select("rid", "doc_id", "n_words", line.alias("line"), *[F.when(F.contains(line, F.lit(f" {p} ")), _places(w, p)).otherwise(F.array().cast("array<int>")).alias(f"p{i}") for i, (p, _) in enumerate(BASE)])
     places = F.concat(*[F.col(f"p{i}") for i in range(len(BASE))])
     labels = F.array_sort(F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]), lambda x: x.isNotNull()))
-    rows = rows.select("rid", "doc_id", "n_words", "line", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), labels.alias("base"))
+    rows = rows.select("rid", "doc_id", "n_words", "line", "called", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), labels.alias("base"))
     rows = C.stage(rows, "scanned")
-    found = detections(rows.where("line IS NOT NULL").select("rid", "line")).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("tier").alias("tier"))
-    out = rows.drop("line").join(found, "rid", "left")
+    found = detections(rows.where("line IS NOT NULL").select("rid", "line", "called")).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("tier").alias("tier"))
+    out = rows.drop("line", "called").join(found, "rid", "left")
     none = F.array().cast("array<string>")
     score = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv]), F.col("tier")), F.when(F.size("base") > 0, BASE_SCORE), F.lit(0.0))
     return out.select(
